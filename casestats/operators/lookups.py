@@ -86,10 +86,29 @@ def processes(tables: CaseTables) -> DataFrame:
     return tables.derived("processes", build)
 
 
-def stage_processes(tables: CaseTables) -> None:
-    """Have `processes` written once, for jobs that build several marts from it."""
-    built = processes(tables)
-    tables.replace("processes", stage(built, "processes"))
+def followed_processes(tables: CaseTables) -> DataFrame:
+    """`processes` with what their activities say: whether there is any (`tramitado`),
+    whether one is open (`aberto`), and the conclusion of the one with the greatest id
+    (`ultima_conclusao`).
+
+    One pass over the activities. They are combined per process before the shuffle, so a
+    process with very many of them is no heavier than others.
+    """
+
+    def build():
+        ended = F.col("dth_conclusao")
+        activity = (
+            tables["atividade"]
+            .groupBy("id_protocolo")
+            .agg(
+                F.max_by("dth_conclusao", "id_atividade").alias("ultima_conclusao"),
+                F.bool_or(ended.isNull()).alias("aberto"),
+                F.lit(True).alias("tramitado"),
+            )
+        )
+        return processes(tables).join(activity, "id_protocolo", "left")
+
+    return tables.derived("followed_processes", build)
 
 
 def open_processes(tables: CaseTables) -> DataFrame:
@@ -101,14 +120,14 @@ def open_processes(tables: CaseTables) -> DataFrame:
     """
 
     def build():
-        open_ids = (
-            tables["atividade"]
-            .filter(F.col("dth_conclusao").isNull())
-            .select("id_protocolo")
-            .distinct()
-        )
-        return stage(
-            processes(tables).join(open_ids, "id_protocolo", "left_semi"), "open_processes"
-        )
+        return stage(followed_processes(tables).filter("aberto"), "open_processes")
 
     return tables.derived("open_processes", build)
+
+
+def stage_processes(tables: CaseTables) -> None:
+    """Have the processes written once, for jobs that build several marts from them."""
+    staged = stage(followed_processes(tables), "processes")
+    tables.replace("processes", staged)
+    tables.replace("followed_processes", staged)
+    tables.replace("open_processes", staged.filter("aberto"))

@@ -25,6 +25,7 @@ from casestats.functions.dates import (
 )
 from casestats.functions.stats import median_of
 from casestats.operators.lookups import (
+    followed_processes,
     open_processes,
     processes,
     with_current_unit,
@@ -202,7 +203,11 @@ def stock_movements(tables: CaseTables, as_of=None) -> DataFrame:
 
 
 def open_process_control(tables: CaseTables, as_of) -> DataFrame:
-    """One row per open activity: where the process came from, where it is, how long."""
+    """One row per open activity: where the process came from, where it is, how long.
+
+    Assignees join the narrow activity rows and creators the processes, so the wide
+    process columns are not carried through the user joins once per activity.
+    """
     now = moment(as_of)
     level = F.col("sta_nivel_acesso_global")
     access = reduce(
@@ -212,6 +217,13 @@ def open_process_control(tables: CaseTables, as_of) -> DataFrame:
     )
     created = F.to_date("dta_geracao")
 
+    users = tables["usuario"]
+    creators = users.select(
+        F.col("id_usuario").alias("id_usuario_gerador"), F.col("nome").alias("usuario")
+    )
+    assignees = users.select(
+        F.col("id_usuario").alias("id_usuario_atribuicao"), F.col("nome").alias("atribuido")
+    )
     waiting = (
         tables["atividade"]
         .filter(F.col("dth_conclusao").isNull())
@@ -221,19 +233,11 @@ def open_process_control(tables: CaseTables, as_of) -> DataFrame:
             "id_usuario_atribuicao",
             days_between(F.col("dth_abertura"), now).alias("dias_unidade"),
         )
-    )
-    users = tables["usuario"]
-    creators = users.select(
-        F.col("id_usuario").alias("id_usuario_gerador"), F.col("nome").alias("usuario")
-    )
-    assignees = users.select(
-        F.col("id_usuario").alias("id_usuario_atribuicao"), F.col("nome").alias("atribuido")
-    )
-    held = (
-        waiting.join(open_processes(tables), "id_protocolo")
-        .join(creators, "id_usuario_gerador")
         .join(assignees, "id_usuario_atribuicao", "left")
+        .drop("id_usuario_atribuicao")
     )
+    cases = open_processes(tables).join(creators, "id_usuario_gerador")
+    held = waiting.join(cases, "id_protocolo")
     held = with_type(with_unit(held, tables, "id_unidade_geradora"), tables)
     return with_current_unit(held, tables, "id_unidade_atual").select(
         "orgao",
@@ -258,16 +262,10 @@ def open_process_control(tables: CaseTables, as_of) -> DataFrame:
 
 def process_lifetime(tables: CaseTables, as_of) -> DataFrame:
     """Days from creation to the conclusion of the activity with the greatest id."""
-    last = (
-        tables["atividade"]
-        .groupBy("id_protocolo")
-        .agg(F.max_by("dth_conclusao", "id_atividade").alias("dth_conclusao"))
-    )
-    end = F.coalesce("dth_conclusao", moment(as_of))
+    end = F.coalesce("ultima_conclusao", moment(as_of))
     lived = (
-        processes(tables)
-        .select("id_protocolo", "id_unidade_geradora", "id_tipo_procedimento", "dta_geracao")
-        .join(last, "id_protocolo")
+        followed_processes(tables)
+        .filter("tramitado")
         .select(
             "id_unidade_geradora",
             "id_tipo_procedimento",
@@ -433,22 +431,13 @@ BASE: dict[str, Callable] = {
     )
 }
 
-# In an order in which each finds its inputs.
-DERIVED: dict[str, Callable] = {
-    f.__name__: f
-    for f in (
-        open_process_summary,
-        assignee_days,
-        lifetime_counts,
-        days_in_unit_counts,
-        stock_daily,
-        stock_units,
-        current_unit_options,
-        pages_saved,
-        lifetime_median_by_type,
-        days_in_unit_median_by_type,
-    )
-}
+# Step by step: each step reads marts of earlier ones only.
+STEPS: list[list[Callable]] = [
+    [open_process_summary, assignee_days, lifetime_counts, stock_daily, pages_saved],
+    [days_in_unit_counts, stock_units, lifetime_median_by_type],
+    [current_unit_options, days_in_unit_median_by_type],
+]
+DERIVED: dict[str, Callable] = {f.__name__: f for step in STEPS for f in step}
 
 
 class LazyMarts(Mapping):

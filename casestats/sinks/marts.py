@@ -8,13 +8,14 @@ cut off is simply started again.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casestats.functions.dates import moment
-from casestats.operators.lookups import open_processes, stage_processes
-from casestats.plans.marts import BASE, DERIVED, LazyMarts
+from casestats.operators.lookups import stage_processes
+from casestats.plans.marts import BASE, STEPS, LazyMarts
 from casestats.sources.schemas import MARTS, schema_of
 from casestats.sources.tables import CaseTables
 
@@ -28,24 +29,36 @@ PARTITIONED_BY = {
 }
 
 
+SIDE_BY_SIDE = 4
+
+
 def build_marts(tables: CaseTables, path: str, as_of) -> dict[str, DataFrame]:
     """The daily job: stage what several marts share, then write them all."""
     stage_processes(tables)
-    open_processes(tables)
     return write_marts(LazyMarts(tables, as_of), path, as_of)
 
 
 def write_marts(
     marts: Mapping[str, DataFrame], path: str, as_of
 ) -> dict[str, DataFrame]:
-    """Write the base marts, then the derived ones out of the files just written."""
+    """Write the base marts, then the derived ones out of the files just written.
+
+    Marts that do not read each other are written side by side, so that small ones fill
+    the executors a large one leaves idle.
+    """
     run = run_folder(path, as_of)
     written: dict[str, DataFrame] = {}
-    for name in [*BASE, *DERIVED]:
-        df = marts[name] if name in BASE else DERIVED[name](written)
-        spark = df.sparkSession
+
+    def write(named: tuple[str, DataFrame]) -> None:
+        name, df = named
         _write(df, name, f"{run}/{name}")
-        written[name] = _read(spark, name, f"{run}/{name}")
+        written[name] = _read(df.sparkSession, name, f"{run}/{name}")
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        list(pool.map(write, [(name, marts[name]) for name in BASE]))
+        for step in STEPS:
+            list(pool.map(write, [(f.__name__, f(written)) for f in step]))
+    spark = next(iter(written.values())).sparkSession
     (
         spark.range(1)
         .select(moment(as_of).alias("as_of"), F.current_timestamp().alias("published_at"))
