@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from casestats.fixed_values import EARLY, EXPECTED, LATE
 
 
+def _formatted(x: Column, pattern: str) -> Column:
+    return F.call_function("format_number", x, F.lit(pattern))
+
+
 def number_text(x: Column) -> Column:
     """`1.234.567`, `12,5`: dots between thousands, a comma before decimals."""
-    grouped = F.call_function("format_number", x, F.lit("#,##0.#########"))
-    return F.translate(grouped, ",.", ".,")
+    return F.translate(_formatted(x, "#,##0.#########"), ",.", ".,")
 
 
 def plain_number(x: Column) -> Column:
-    """`5`, `5.5`: a whole number shows no decimals."""
-    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+    """`5`, `5.5`: a whole number shows no decimals, a large one no exponent."""
+    return _formatted(x, "0.###############")
 
 
 def decimal_comma(x: Column) -> Column:
