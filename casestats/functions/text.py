@@ -17,6 +17,10 @@ def number_text(x: Column) -> Column:
     return F.translate(_formatted(x, "#,##0.#########"), ",.", ".,")
 
 
+def days_text(x: Column) -> Column:
+    return F.concat(number_text(x), F.lit("  dias"))
+
+
 def plain_number(x: Column) -> Column:
     """`5`, `5.5`: a whole number shows no decimals, a large one no exponent."""
     return _formatted(x, "0.###############")

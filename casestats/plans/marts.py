@@ -431,13 +431,20 @@ BASE: dict[str, Callable] = {
     )
 }
 
-# Step by step: each step reads marts of earlier ones only.
+# Columns of a base mart under other names: never stored a second time.
+PROJECTIONS: dict[str, Callable] = {
+    f.__name__: f for f in (open_process_summary, assignee_days)
+}
+
+# Step by step: each step reads base marts, projections and marts of earlier steps.
 STEPS: list[list[Callable]] = [
-    [open_process_summary, assignee_days, lifetime_counts, stock_daily, pages_saved],
-    [days_in_unit_counts, stock_units, lifetime_median_by_type],
-    [current_unit_options, days_in_unit_median_by_type],
+    [lifetime_counts, days_in_unit_counts, stock_daily, pages_saved],
+    [stock_units, current_unit_options, lifetime_median_by_type, days_in_unit_median_by_type],
 ]
-DERIVED: dict[str, Callable] = {f.__name__: f for step in STEPS for f in step}
+DERIVED: dict[str, Callable] = {
+    **PROJECTIONS,
+    **{f.__name__: f for step in STEPS for f in step},
+}
 
 
 class LazyMarts(Mapping):

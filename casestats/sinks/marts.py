@@ -15,20 +15,24 @@ from pyspark.sql import functions as F
 
 from casestats.functions.dates import moment
 from casestats.operators.lookups import stage_processes
-from casestats.plans.marts import BASE, STEPS, LazyMarts
+from casestats.plans.marts import BASE, PROJECTIONS, STEPS, LazyMarts
 from casestats.sources.schemas import MARTS, schema_of
 from casestats.sources.tables import CaseTables
 
-# Marts that grow with the cases, and the org column their readers filter on.
+# Marts that grow with the cases: the org column their readers filter on, and the order
+# of rows within a file, by which readers skip parts of it.
 PARTITIONED_BY = {
     "stock_movements": "orgao",
     "process_lifetime": "orgao",
     "open_process_control": "orgao_atual",
-    "open_process_summary": "orgao_atual",
-    "assignee_days": "orgao",
+}
+SORTED_BY = {
+    "stock_movements": ["data", "unidade"],
+    "process_lifetime": ["unidade", "tipo_processo"],
+    "open_process_control": ["unidade_atual", "tipo_processo"],
 }
 
-
+# Marts written at the same time
 SIDE_BY_SIDE = 4
 
 
@@ -56,6 +60,7 @@ def write_marts(
 
     with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
         list(pool.map(write, [(name, marts[name]) for name in BASE]))
+        _add_projections(written)
         for step in STEPS:
             list(pool.map(write, [(f.__name__, f(written)) for f in step]))
     spark = next(iter(written.values())).sparkSession
@@ -76,7 +81,13 @@ def read_marts(spark: SparkSession, path: str, as_of=None) -> dict[str, DataFram
         )
         as_of = latest.first()["as_of"]
     run = run_folder(path, as_of)
-    return {name: _read(spark, name, f"{run}/{name}") for name in MARTS}
+    marts = {
+        name: _read(spark, name, f"{run}/{name}")
+        for name in MARTS
+        if name not in PROJECTIONS
+    }
+    _add_projections(marts)
+    return marts
 
 
 def run_folder(path: str, as_of) -> str:
@@ -86,6 +97,10 @@ def run_folder(path: str, as_of) -> str:
     return f"{path}/as_of={stamp.translate(str.maketrans({' ': 'T', ':': '-'}))}"
 
 
+def _add_projections(marts: dict[str, DataFrame]) -> None:
+    marts.update({name: project(marts) for name, project in PROJECTIONS.items()})
+
+
 def _write(df: DataFrame, name: str, folder: str) -> None:
     org = PARTITIONED_BY.get(name)
     if org is None:
@@ -93,7 +108,13 @@ def _write(df: DataFrame, name: str, folder: str) -> None:
         return
     # Rebalancing gathers an org's rows into full files and cuts a large org into several
     # tasks by the size seen at run time.
-    df.hint("rebalance", org).write.mode("overwrite").partitionBy(org).parquet(folder)
+    (
+        df.hint("rebalance", org)
+        .sortWithinPartitions(org, *SORTED_BY[name])
+        .write.mode("overwrite")
+        .partitionBy(org)
+        .parquet(folder)
+    )
 
 
 def _read(spark: SparkSession, name: str, folder: str) -> DataFrame:

@@ -7,7 +7,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from casestats.functions import dates
-from casestats.functions.text import decimal_comma, deviation_label, number_text, plain_number
+from casestats.functions.text import (
+    days_text,
+    decimal_comma,
+    deviation_label,
+    number_text,
+    plain_number,
+)
 
 
 def value(spark, column):
@@ -83,6 +89,7 @@ def test_number_text(spark, x, text, plain, comma):
     assert value(spark, plain_number(c)) == plain
     assert value(spark, decimal_comma(c)) == comma
     assert value(spark, number_text(c)) == text
+    assert value(spark, days_text(c)) == f"{text}  dias"
     if x == int(x):
         assert value(spark, number_text(F.lit(int(x)))) == text
 
