@@ -179,15 +179,9 @@ def stock_movements(tables: CaseTables, as_of=None) -> DataFrame:
     moves = (
         tables["atividade"]
         .filter(task.isin(*fixed.TASKS_IN, *fixed.TASKS_OUT))
-        .select(
-            "id_protocolo",
-            "id_unidade",
-            F.when(task.isin(*fixed.TASKS_IN), fixed.ENTRADA)
-            .otherwise(fixed.SAIDA)
-            .alias("atividade"),
-            F.to_date("dth_abertura").alias("data"),
-        )
+        .select("id_protocolo", "id_unidade", "id_tarefa", F.to_date("dth_abertura").alias("data"))
     )
+    direction = F.when(task.isin(*fixed.TASKS_IN), fixed.ENTRADA).otherwise(fixed.SAIDA)
     still_open = open_processes(tables).select("id_protocolo", "id_tipo_procedimento")
     named = with_type(
         with_unit(moves.join(still_open, "id_protocolo"), tables, "id_unidade"), tables
@@ -196,7 +190,7 @@ def stock_movements(tables: CaseTables, as_of=None) -> DataFrame:
         "orgao",
         "unidade",
         "tipo_processo",
-        "atividade",
+        direction.alias("atividade"),
         "data",
         F.col("id_protocolo").alias("protocolo"),
     ).agg(rows().alias("qtde"))

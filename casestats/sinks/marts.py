@@ -1,12 +1,13 @@
 """Writing and reading the marts.
 
-A run writes into its own folder `<path>/as_of=<stamp>` and is published by its entry in
-`<path>/published` at the end. Readers never see a half-written run, and a run that was
-cut off is simply started again.
+Every run writes into a folder of its own under `<path>/runs` and is published at the end
+by its entry in `<path>/published`. Readers never see a half-written run, a run that was
+cut off is simply started again, and repeating one does not disturb its readers.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 
@@ -50,13 +51,13 @@ def write_marts(
     Marts that do not read each other are written side by side, so that small ones fill
     the executors a large one leaves idle.
     """
-    run = run_folder(path, as_of)
+    run = f"runs/{run_name(as_of)}-{uuid.uuid4().hex[:8]}"
     written: dict[str, DataFrame] = {}
 
     def write(named: tuple[str, DataFrame]) -> None:
         name, df = named
-        _write(df, name, f"{run}/{name}")
-        written[name] = _read(df.sparkSession, name, f"{run}/{name}")
+        _write(df, name, f"{path}/{run}/{name}")
+        written[name] = _read(df.sparkSession, name, f"{path}/{run}/{name}")
 
     with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
         list(pool.map(write, [(name, marts[name]) for name in BASE]))
@@ -66,7 +67,11 @@ def write_marts(
     spark = next(iter(written.values())).sparkSession
     (
         spark.range(1)
-        .select(moment(as_of).alias("as_of"), F.current_timestamp().alias("published_at"))
+        .select(
+            moment(as_of).alias("as_of"),
+            F.current_timestamp().alias("published_at"),
+            F.lit(run).alias("run"),
+        )
         .write.mode("append")
         .parquet(f"{path}/published")
     )
@@ -74,15 +79,15 @@ def write_marts(
 
 
 def read_marts(spark: SparkSession, path: str, as_of=None) -> dict[str, DataFrame]:
-    """The marts of the given run, or of the latest published `as_of`."""
-    if as_of is None:
-        latest = spark.read.parquet(f"{path}/published").agg(
-            F.date_format(F.max("as_of"), "yyyy-MM-dd HH:mm:ss").alias("as_of")
-        )
-        as_of = latest.first()["as_of"]
-    run = run_folder(path, as_of)
+    """The marts as last published, for the given `as_of` or for the latest one."""
+    published = spark.read.parquet(f"{path}/published")
+    if as_of is not None:
+        published = published.filter(F.col("as_of") == moment(as_of))
+    latest = published.orderBy(F.desc("as_of"), F.desc("published_at")).first()
+    if latest is None:
+        raise ValueError(f"no marts published under {path} for {as_of}")
     marts = {
-        name: _read(spark, name, f"{run}/{name}")
+        name: _read(spark, name, f"{path}/{latest['run']}/{name}")
         for name in MARTS
         if name not in PROJECTIONS
     }
@@ -90,11 +95,10 @@ def read_marts(spark: SparkSession, path: str, as_of=None) -> dict[str, DataFram
     return marts
 
 
-def run_folder(path: str, as_of) -> str:
-    stamp = str(as_of)[:19].replace("T", " ")
-    if len(stamp) == len("yyyy-MM-dd"):
-        stamp += " 00:00:00"
-    return f"{path}/as_of={stamp.translate(str.maketrans({' ': 'T', ':': '-'}))}"
+def run_name(as_of) -> str:
+    """`as_of` as part of a folder name."""
+    stamp = str(as_of)[:19].translate(str.maketrans({" ": "T", ":": "-"}))
+    return stamp if "T" in stamp else f"{stamp}T00-00-00"
 
 
 def _add_projections(marts: dict[str, DataFrame]) -> None:
@@ -104,14 +108,14 @@ def _add_projections(marts: dict[str, DataFrame]) -> None:
 def _write(df: DataFrame, name: str, folder: str) -> None:
     org = PARTITIONED_BY.get(name)
     if org is None:
-        df.write.mode("overwrite").parquet(folder)
+        df.write.parquet(folder)
         return
     # Rebalancing gathers an org's rows into full files and cuts a large org into several
     # tasks by the size seen at run time.
     (
         df.hint("rebalance", org)
         .sortWithinPartitions(org, *SORTED_BY[name])
-        .write.mode("overwrite")
+        .write
         .partitionBy(org)
         .parquet(folder)
     )

@@ -3,9 +3,10 @@ from datetime import date
 import pytest
 from conftest import rows
 
+from casestats import daily
 from casestats.plans.marts import LazyMarts
 from casestats.sinks.csv import export_csv, read_export
-from casestats.sinks.marts import build_marts, read_marts, run_folder, write_marts
+from casestats.sinks.marts import build_marts, read_marts, run_name, write_marts
 from casestats.sources.schemas import CASE_TABLES, MARTS
 from casestats.sources.staging import shared_dir, stage
 from casestats.sources.tables import jdbc_options
@@ -48,9 +49,12 @@ def test_latest_run_is_read(spark, case_tables, tmp_path):
 
 def test_a_run_can_be_repeated(spark, case_tables, tmp_path):
     path = str(tmp_path)
-    for sigla in ("A", "B"):
-        build_marts(lazy(case_tables, "2001-08-01", sigla).tables, path, "2001-08-01")
+    first = build_marts(lazy(case_tables, "2001-08-01", "A").tables, path, "2001-08-01")
+    build_marts(lazy(case_tables, "2001-08-01", "B").tables, path, "2001-08-01")
     assert rows(read_marts(spark, path)["active_orgs"]) == [("B",)]
+    assert rows(first["active_orgs"]) == [("A",)]
+    with pytest.raises(ValueError):
+        read_marts(spark, path, "2001-08-02")
 
 
 def test_an_unfinished_run_is_not_read(spark, case_tables, tmp_path):
@@ -81,11 +85,10 @@ def test_short_names_that_look_like_numbers_stay_text(spark, case_tables, tmp_pa
     assert rows(written["open_process_summary"].select("orgao_atual")) == [("007",)]
 
 
-def test_run_folder():
-    folder = "m/as_of=2001-08-01T12-00-00"
-    assert run_folder("m", "2001-08-01 12:00:00") == folder
-    assert run_folder("m", "2001-08-01T12:00:00") == folder
-    assert run_folder("m", date(2001, 8, 1)) == "m/as_of=2001-08-01T00-00-00"
+def test_run_name():
+    assert run_name("2001-08-01 12:00:00") == "2001-08-01T12-00-00"
+    assert run_name("2001-08-01T12:00:00") == "2001-08-01T12-00-00"
+    assert run_name(date(2001, 8, 1)) == "2001-08-01T00-00-00"
 
 
 def test_stage_uses_the_shared_folder(spark, frame):
@@ -108,3 +111,14 @@ def test_jdbc_options():
     }
     assert jdbc_options(source, "acesso_orgao", "x INT")["dbtable"] == "orgao"
     assert "partitionColumn" not in jdbc_options(source, "orgao", "x INT")
+
+
+def test_daily_job(spark, case_tables, tmp_path):
+    tables = case_tables(orgao=[(1, "A", "S")], usuario=[(1, 1, "ana", "S")])
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/source/{name}.parquet")
+    arguments = ["--source", f"{tmp_path}/source", "--marts", f"{tmp_path}/marts"]
+    daily.main([*arguments, "--as-of", "2001-08-01 12:00:00"])
+    assert rows(read_marts(spark, f"{tmp_path}/marts")["active_users_by_org"]) == [("A", 1)]
+    with pytest.raises(SystemExit):
+        daily.main(["--marts", "m"])
