@@ -86,33 +86,27 @@ def processes(tables: CaseTables) -> DataFrame:
     return tables.derived("processes", build)
 
 
-def followed_processes(tables: CaseTables) -> DataFrame:
-    """`processes` with what their activities say: whether there is any (`tramitado`),
-    whether one is open (`aberto`), and the conclusion of the one with the greatest id
-    (`ultima_conclusao`).
+def activity_summary(tables: CaseTables) -> DataFrame:
+    """Per item: whether an activity is open (`aberto`), and the conclusion of the one with
+    the greatest id (`ultima_conclusao`).
 
-    One pass over the activities. They are combined per process before the shuffle, so a
-    process with very many of them is no heavier than others.
+    One pass over the activities. They are combined per item before the shuffle, so an item
+    with very many of them is no heavier than others.
     """
-
-    def build():
-        ended = F.col("dth_conclusao")
-        activity = (
-            tables["atividade"]
-            .groupBy("id_protocolo")
-            .agg(
-                F.max_by("dth_conclusao", "id_atividade").alias("ultima_conclusao"),
-                F.bool_or(ended.isNull()).alias("aberto"),
-                F.lit(True).alias("tramitado"),
-            )
+    return (
+        tables["atividade"]
+        .groupBy("id_protocolo")
+        .agg(
+            F.max_by("dth_conclusao", "id_atividade").alias("ultima_conclusao"),
+            F.bool_or(F.col("dth_conclusao").isNull()).alias("aberto"),
+            F.lit(True).alias("tramitado"),
         )
-        return processes(tables).join(activity, "id_protocolo", "left")
-
-    return tables.derived("followed_processes", build)
+    )
 
 
-def open_processes(tables: CaseTables) -> DataFrame:
-    """Processes with at least one open activity, written once.
+def followed_processes(tables: CaseTables) -> DataFrame:
+    """`processes` with the summary of their activities, if there are any (`tramitado`).
+    Written once.
 
     Activities of one process may be a large part of all activities. Against a written
     table their join shuffles both sides directly, so adaptive execution can split that
@@ -120,14 +114,17 @@ def open_processes(tables: CaseTables) -> DataFrame:
     """
 
     def build():
-        return stage(followed_processes(tables).filter("aberto"), "open_processes")
+        followed = processes(tables).join(activity_summary(tables), "id_protocolo", "left")
+        return stage(followed, "processes")
+
+    return tables.derived("followed_processes", build)
+
 
-    return tables.derived("open_processes", build)
+def open_processes(tables: CaseTables) -> DataFrame:
+    """Processes with at least one open activity."""
+    return followed_processes(tables).filter("aberto")
 
 
-def stage_processes(tables: CaseTables) -> None:
-    """Have the processes written once, for jobs that build several marts from them."""
-    staged = stage(followed_processes(tables), "processes")
-    tables.replace("processes", staged)
-    tables.replace("followed_processes", staged)
-    tables.replace("open_processes", staged.filter("aberto"))
+def share_processes(tables: CaseTables) -> None:
+    """Let marts that need no activities start from the written processes too."""
+    tables.replace("processes", followed_processes(tables))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from casestats.fixed_values import ALL_ORGS, WILDCARD
 from casestats.functions.dates import day
+from casestats.operators.lookups import small_side
 
 
 def authorized_orgs(
@@ -45,7 +46,7 @@ def authorized_orgs(
 
 def restrict_to_orgs(df: DataFrame, allowed: DataFrame, org_col: str = "orgao") -> DataFrame:
     """Rows of the allowed orgs; all rows if "Todos" is among the entries."""
-    entries = allowed.select(F.col("orgao").alias("_entrada")).distinct()
+    entries = small_side(allowed.select(F.col("orgao").alias("_entrada")).distinct())
     return (
         df.join(entries, F.col(org_col) == F.col("_entrada"), "left")
         .filter(F.col("_entrada").isNotNull() | _any_row(allowed, ALL_ORGS))

@@ -33,6 +33,7 @@ from casestats.operators.lookups import (
     with_unit,
 )
 from casestats.sources.schemas import MARTS
+from casestats.sources.staging import stage
 from casestats.sources.tables import CaseTables
 
 
@@ -441,8 +442,13 @@ DERIVED: dict[str, Callable] = {
 }
 
 
+# Roll-ups that one question reads several times.
+SHARED = {"lifetime_counts", "days_in_unit_counts", "stock_daily"}
+
+
 class LazyMarts(Mapping):
-    """All marts by name, each planned when first asked for."""
+    """All marts by name, each planned when first asked for. `SHARED` ones are then
+    written to the shared folder, so that no question builds one twice."""
 
     def __init__(self, tables: CaseTables, as_of):
         self.tables = tables
@@ -452,9 +458,10 @@ class LazyMarts(Mapping):
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
             if name in BASE:
-                self._built[name] = BASE[name](self.tables, self.as_of)
+                mart = BASE[name](self.tables, self.as_of)
             else:
-                self._built[name] = DERIVED[name](self)
+                mart = DERIVED[name](self)
+            self._built[name] = stage(mart, name) if name in SHARED else mart
         return self._built[name]
 
     def __iter__(self) -> Iterator[str]:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casestats.functions.dates import moment
-from casestats.operators.lookups import stage_processes
+from casestats.operators.lookups import share_processes
 from casestats.plans.marts import BASE, PROJECTIONS, STEPS, LazyMarts
 from casestats.sources.schemas import MARTS, schema_of
 from casestats.sources.tables import CaseTables
@@ -26,11 +26,17 @@ PARTITIONED_BY = {
     "stock_movements": "orgao",
     "process_lifetime": "orgao",
     "open_process_control": "orgao_atual",
+    "stock_daily": "orgao",
+    "lifetime_counts": "orgao",
+    "days_in_unit_counts": "orgao",
 }
 SORTED_BY = {
     "stock_movements": ["data", "unidade"],
     "process_lifetime": ["unidade", "tipo_processo"],
     "open_process_control": ["unidade_atual", "tipo_processo"],
+    "stock_daily": ["unidade", "tipo_processo", "data"],
+    "lifetime_counts": ["unidade", "tipo_processo"],
+    "days_in_unit_counts": ["unidade_atual", "tipo_processo"],
 }
 
 # Marts written at the same time
@@ -38,8 +44,8 @@ SIDE_BY_SIDE = 4
 
 
 def build_marts(tables: CaseTables, path: str, as_of) -> dict[str, DataFrame]:
-    """The daily job: stage what several marts share, then write them all."""
-    stage_processes(tables)
+    """The daily job: write what several marts share, then all marts."""
+    share_processes(tables)
     return write_marts(LazyMarts(tables, as_of), path, as_of)
 
 
