@@ -27,7 +27,7 @@ def authorized_orgs(
         .select("id_user")
         .join(access["permissao"], "id_user")
         .join(access["acesso_orgao"].withColumnRenamed("id", "id_orgao"), "id_orgao")
-        .select(F.col("sigla_sei").alias("orgao"), F.lit(1).alias("ordem"))
+        .select(F.col("sigla").alias("orgao"), F.lit(1).alias("ordem"))
     )
     spark = active_orgs.sparkSession
     everything = (

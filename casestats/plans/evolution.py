@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casestats import fixed_values as fixed
-from casestats.functions.dates import day, month_start, week_start
+from casestats.functions.dates import month_start, week_start
 
 Marts = Mapping[str, DataFrame]
 

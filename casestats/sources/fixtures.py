@@ -83,7 +83,7 @@ def access_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     region = spark.read.parquet(f"{sf_dir}/region.parquet")
     user = F.col("c_custkey")
     wildcard = spark.range(1).select(
-        F.lit(WILDCARD_ID).alias("id"), F.lit(WILDCARD).alias("sigla_sei")
+        F.lit(WILDCARD_ID).alias("id"), F.lit(WILDCARD).alias("sigla")
     )
     frames = {
         "auth": customer.select(
@@ -98,7 +98,7 @@ def access_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             F.when(user % 50 == 0, WILDCARD_ID).otherwise(user % 5).alias("id_orgao"),
         ),
         "acesso_orgao": region.select(
-            F.col("r_regionkey").alias("id"), F.col("r_name").alias("sigla_sei")
+            F.col("r_regionkey").alias("id"), F.col("r_name").alias("sigla")
         ).union(wildcard),
     }
     return {n: _typed(df, ACCESS_TABLES[n]) for n, df in frames.items()}

@@ -23,11 +23,12 @@ CASE_TABLES = {
 }
 
 # Kept in a second database. `acesso_orgao` is that database's own list of
-# organisations, renamed so that it does not hide the case-file one.
+# organisations, renamed so that it does not hide the case-file one; its short name is
+# called `sigla` here too.
 ACCESS_TABLES = {
     "auth": "token STRING, id_user BIGINT, created_at TIMESTAMP",
     "permissao": "id_user BIGINT, id_orgao BIGINT",
-    "acesso_orgao": "id BIGINT, sigla_sei STRING",
+    "acesso_orgao": "id BIGINT, sigla STRING",
 }
 
 MARTS = {

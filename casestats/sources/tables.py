@@ -46,7 +46,10 @@ def load_access_tables(spark: SparkSession, source: str | Mapping) -> dict[str,
 def _load(spark, source, schemas):
     if isinstance(source, Mapping):
         return {
-            name: spark.read.format("jdbc").options(**jdbc_options(source, name, ddl)).load()
+            name: spark.read.format("jdbc")
+            .options(**jdbc_options(source, name, ddl))
+            .load()
+            .select(*schema_of(ddl).fieldNames())
             for name, ddl in schemas.items()
         }
     return {
@@ -58,8 +61,8 @@ def _load(spark, source, schemas):
 def jdbc_options(source: Mapping, table: str, ddl: str) -> dict[str, str]:
     """Options of one JDBC read.
 
-    `source["options"]` holds url, driver, user and so on. `source["tables"]` may rename
-    a table, and `source["splits"]` gives `(column, lower, upper, partitions)` for the
+    `source["options"]` holds url, driver, user and so on. `source["tables"]` may put
+    another name or a subquery with an alias (`(SELECT ...) t`) for a table, and `source["splits"]` gives `(column, lower, upper, partitions)` for the
     tables to be read in parallel; the bounds only place the cuts, no row is left out.
     The database's types are overridden by ours through `customSchema`.
     """

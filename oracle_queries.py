@@ -105,7 +105,7 @@ PARTS = {
            CASE WHEN c_custkey % 50 = 0 THEN 99 ELSE c_custkey % 5 END AS id_orgao
     FROM customer""",
     "acesso_orgao": """
-    SELECT r_regionkey AS id, r_name AS sigla_sei FROM region
+    SELECT r_regionkey AS id, r_name AS sigla FROM region
     UNION ALL SELECT 99, '*'""",
     "papel": """
     SELECT o.sigla AS orgao, CAST(p.dta_geracao AS DATE) AS data, count(*) AS papel
@@ -429,7 +429,7 @@ def _boxes(condition: str) -> str:
 
 def _authorized(token: str) -> str:
     granted = f"""
-        SELECT g.sigla_sei FROM auth a JOIN permissao p ON p.id_user = a.id_user
+        SELECT g.sigla FROM auth a JOIN permissao p ON p.id_user = a.id_user
         JOIN acesso_orgao g ON g.id = p.id_orgao
         WHERE a.token = '{token}'
           AND a.created_at > CAST(CAST({AS_OF} AS DATE) - 1 AS TIMESTAMP)"""
@@ -437,7 +437,7 @@ def _authorized(token: str) -> str:
     return f"""
     SELECT 'Todos' AS orgao WHERE {unlimited}
     UNION ALL SELECT sigla FROM active_orgs WHERE {unlimited}
-    UNION ALL SELECT sigla_sei FROM ({granted}) WHERE NOT {unlimited}"""
+    UNION ALL SELECT sigla FROM ({granted}) WHERE NOT {unlimited}"""
 
 
 def _restricted(token: str) -> str:

@@ -47,7 +47,8 @@ def test_lifetime_by_type(lived):
 
 
 def test_boxes(marts):
-    m = marts(lifetime_counts=lifetimes(("A", "U", "x", [1, 2, 3, 10]), ("A", "U", "y", [5] * 9 + [50])))
+    few, many = ("A", "U", "x", [1, 2, 3, 10]), ("A", "U", "y", [5] * 9 + [50])
+    m = marts(lifetime_counts=lifetimes(few, many))
     x, y = analysis.lifetime_boxes(m).collect()
     assert (x.q1, x.mediana, x.q3) == (1.75, 2.5, 4.75)
     assert (x.minimo, x.maximo, x.haste_inferior, x.haste_superior) == (1, 10, 1, 3)
@@ -109,7 +110,8 @@ def grants(access_tables):
     return access_tables(
         auth=[
             ("one", 1, at("2001-07-31 00:01")), ("late", 1, at("2001-07-31 00:00")),
-            ("two", 2, at("2001-08-01")), ("all", 3, at("2001-08-01")), ("none", 4, at("2001-08-01")),
+            ("two", 2, at("2001-08-01")), ("all", 3, at("2001-08-01")),
+            ("none", 4, at("2001-08-01")),
         ],
         permissao=[(1, 1), (2, 2), (2, 1), (3, 1), (3, 9)],
         acesso_orgao=[(1, "A"), (2, "B"), (9, "*")],

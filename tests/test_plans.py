@@ -106,6 +106,9 @@ def test_the_mart_job_with_hot_keys(spark, skewed, tmp_path):
     total = written["stock_daily"].agg(F.sum("qtde")).first()[0]
     assert total == ACTIVITIES
     assert rows(indicators.open_process_count(written)) == [(ACTIVITIES // 2,)]
+    # The org that holds most rows is cut into several files.
+    hot_org = [f for f in written["stock_movements"].inputFiles() if "orgao=O0" in f]
+    assert len(hot_org) > 1
 
 
 @pytest.fixture

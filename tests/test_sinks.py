@@ -68,7 +68,8 @@ def test_an_unfinished_run_is_not_read(spark, case_tables, tmp_path):
             return super().__getitem__(name)
 
     with pytest.raises(RuntimeError):
-        write_marts(Broken(lazy(case_tables, "2001-08-02", "B").tables, "2001-08-02"), path, "2001-08-02")
+        tables = lazy(case_tables, "2001-08-02", "B").tables
+        write_marts(Broken(tables, "2001-08-02"), path, "2001-08-02")
     assert rows(read_marts(spark, path)["active_orgs"]) == [("A",)]
 
 
