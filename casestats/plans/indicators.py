@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casestats.fixed_values import ALL_ORGS, ALL_UNITS
-from casestats.functions.stats import median_of, quantile_of
+from casestats.functions.stats import median_of
 from casestats.functions.text import deviation_label
 from casestats.operators.filters import (
     assigned_only,
@@ -132,13 +132,7 @@ def assignee_time(
 def _against_overall(marts, scoped, overall, keys):
     """Label each median. The lower bound of "expected" is the first quartile of all
     lifetimes, for days in a unit too."""
-    quartile = (
-        marts["lifetime_counts"]
-        .groupBy("tempo_vida")
-        .agg(F.sum("processos").alias("processos"))
-        .agg(quantile_of("tempo_vida", 0.25, "processos").alias("q1"))
-        .scalar()
-    )
+    quartile = marts["lifetime_first_quartile"].scalar()
     median, general = F.col("mediana"), F.col("mediana_geral")
     return (
         scoped.join(overall.withColumnRenamed("mediana", "mediana_geral"), "tipo_processo")

@@ -23,7 +23,7 @@ from casestats.functions.dates import (
     week_label,
     week_start,
 )
-from casestats.functions.stats import median_of
+from casestats.functions.stats import median_of, quantile_of
 from casestats.operators.lookups import (
     followed_processes,
     open_processes,
@@ -407,6 +407,16 @@ def days_in_unit_median_by_type(marts: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+def lifetime_first_quartile(marts: Mapping[str, DataFrame]) -> DataFrame:
+    """The lower bound of "expected", over all lifetimes. One row."""
+    return (
+        marts["lifetime_counts"]
+        .groupBy("tempo_vida")
+        .agg(F.sum("processos").alias("processos"))
+        .agg(quantile_of("tempo_vida", 0.25, "processos").alias("q1"))
+    )
+
+
 BASE: dict[str, Callable] = {
     f.__name__: f
     for f in (
@@ -434,7 +444,13 @@ PROJECTIONS: dict[str, Callable] = {
 # Step by step: each step reads base marts, projections and marts of earlier steps.
 STEPS: list[list[Callable]] = [
     [lifetime_counts, days_in_unit_counts, stock_daily, pages_saved],
-    [stock_units, current_unit_options, lifetime_median_by_type, days_in_unit_median_by_type],
+    [
+        stock_units,
+        current_unit_options,
+        lifetime_median_by_type,
+        days_in_unit_median_by_type,
+        lifetime_first_quartile,
+    ],
 ]
 DERIVED: dict[str, Callable] = {
     **PROJECTIONS,

@@ -90,6 +90,7 @@ MARTS = {
     ),
     "lifetime_median_by_type": "tipo_processo STRING, mediana DOUBLE",
     "days_in_unit_median_by_type": "tipo_processo STRING, mediana DOUBLE",
+    "lifetime_first_quartile": "q1 DOUBLE",
 }
 
 

@@ -204,6 +204,8 @@ PARTS = {
     "days_in_unit_median_by_type": """
     SELECT tipo_processo, quantile_cont(dias_unidade, 0.5) AS mediana
     FROM assignee_days GROUP BY ALL""",
+    "lifetime_first_quartile": """
+    SELECT quantile_cont(tempo_vida, 0.25) AS q1 FROM process_lifetime""",
     "external_pages": """
     SELECT u.orgao, u.unidade,
            CAST(sum(a.tamanho) AS DOUBLE) / 1024 / 335 AS folhas

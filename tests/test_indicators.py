@@ -4,6 +4,7 @@ import pytest
 from conftest import at, rows
 
 from casestats.plans import access, analysis, evolution, indicators
+from casestats.plans.marts import lifetime_first_quartile
 
 AS_OF = "2001-08-01 12:00:00"
 
@@ -25,6 +26,7 @@ def lived(marts):
             ("A", "U", "x", [1, 2, 3, 10]), ("B", "U", "x", [40, 41]), ("A", "V", "y", [2])
         ),
         lifetime_median_by_type=[("x", 6.5), ("y", 2.0)],
+        lifetime_first_quartile=[(2.0,)],
     )
 
 
@@ -37,7 +39,7 @@ def test_median_lifetime(lived):
 
 def test_lifetime_by_type(lived):
     assert rows(indicators.lifetime_by_type(lived)) == [("x", 6.5), ("y", 2.0)]
-    # First quartile of 1, 2, 2, 3, 10, 40, 41 is 2.
+    assert rows(lifetime_first_quartile(lived)) == rows(lived["lifetime_first_quartile"])
     assert rows(indicators.lifetime_by_type(lived, "A")) == [
         ("x", 2.5, "Dentro do esperado"),
         ("y", 2.0, "Dentro do esperado"),
@@ -66,7 +68,7 @@ def test_assignees(marts):
             waiting("bia", 30, org="B", n=3),
         ],
         days_in_unit_median_by_type=[("x", 9.0)],
-        lifetime_counts=lifetimes(("A", "U", "x", [3, 3, 3])),
+        lifetime_first_quartile=[(3.0,)],
     )
     # The blank assignee is dropped with a selection only.
     assert rows(indicators.assignee_time(m)) == [
