@@ -31,6 +31,14 @@ from casestats.sources.schemas import MARTS
 from casestats.sources.staging import shared_dir
 from casestats.sources.tables import load_access_tables, load_tables
 
+try:
+    import casestats.llm.queries as llm_queries
+    import corpus_pipeline
+except ModuleNotFoundError as missing:  # the subpackage may be left out
+    if missing.name not in ("casestats.llm", "casestats.llm.queries", "corpus_pipeline"):
+        raise
+    llm_queries = corpus_pipeline = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 AS_OF = fixtures.AS_OF
@@ -184,11 +192,15 @@ def queries() -> dict[str, Query]:
 
     add("date_functions", _date_functions)
     add("number_text", _number_text)
+    if llm_queries:
+        q |= llm_queries.QUERIES
+        q["pipeline"] = corpus_pipeline.run
     return q
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.build()
+    sql = oracle_queries.build()
+    return sql | llm_queries.ORACLE_SQL if llm_queries else sql
 
 
 def _authorized(spark, sf_dir, token):
