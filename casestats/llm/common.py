@@ -39,6 +39,8 @@ def ready(spark: SparkSession) -> None:
     package need not be installed on them.
     """
     configure(spark)
+    # Rows of long texts: a smaller batch bounds what a Python worker holds.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -80,6 +82,24 @@ def fold_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one that is no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without_rows(docs: DataFrame, bad: DataFrame, how: str = "left_anti") -> DataFrame:
+    """The rows of `docs`, all columns, whose (id, text) is not among the keys of `bad`."""
+    names = {c: free_name(docs, f"_key_{c}") for c in KEY}
+    bad = bad.select(*KEY).distinct().withColumnsRenamed(names)
+    on = docs["doc_id"].eqNullSafe(bad[names["doc_id"]]) & (
+        F.xxhash64(docs["text"]) == bad[names["text_key"]]
+    )
+    return docs.join(if_small(bad), on, how)
+
+
 def if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for broadcast if counted to be within `max_rows`; else left to a shuffle."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
@@ -97,6 +117,7 @@ def slices(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.Data
 
 
 __all__ = [
-    "BROADCAST_ROWS", "KEY", "fold_ascii", "if_small", "join_keyed", "keyed", "new_path",
+    "BROADCAST_ROWS", "KEY", "fold_ascii", "free_name", "if_small", "join_keyed", "keyed", "new_path",
     "ready", "same_key", "shared_dir", "slices", "stage", "table",
+    "without_rows",
 ]

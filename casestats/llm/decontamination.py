@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casestats.llm.common import KEY, fold_ascii, if_small, join_keyed, keyed, stage
+from casestats.llm.common import KEY, fold_ascii, if_small, join_keyed, keyed, stage, without_rows
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SIZE = 13
@@ -174,9 +174,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFr
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """The rows of `docs` that are not contaminated, with all their columns."""
-    bad = decontaminate(docs, items, size).filter("contaminated").select(*KEY).distinct()
-    bad = bad.withColumnsRenamed({c: f"_bad_{c}" for c in KEY})
-    on = docs["doc_id"].eqNullSafe(bad["_bad_doc_id"]) & (
-        F.xxhash64(docs["text"]) == bad["_bad_text_key"]
-    )
-    return docs.join(bad, on, "left_anti")
+    return without_rows(docs, decontaminate(docs, items, size).filter("contaminated"))

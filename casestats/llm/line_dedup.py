@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casestats.llm.common import if_small, stage
+from casestats.llm.common import free_name, if_small, stage
 
 MAX_RATIO = 0.1
 MIN_PAGES = 10
@@ -65,20 +65,20 @@ def drop_boilerplate(
 ) -> DataFrame:
     """`pages` with `text_col` rewritten, plus n_lines and n_dropped."""
     text = F.col(text_col)
-    bad = stage(boilerplate(pages, host, text, max_ratio, min_pages), "boilerplate")
-    bad = if_small(bad.withColumnsRenamed({"host": "_bad_host", "bad": "_bad"}), 20_000)
+    bad_host, bad, kept = (free_name(pages, f"_{x}") for x in ("bad_host", "bad", "kept"))
+    lists = stage(boilerplate(pages, host, text, max_ratio, min_pages), "boilerplate")
+    lists = if_small(lists.withColumnsRenamed({"host": bad_host, "bad": bad}), 20_000)
     keep = F.filter(
         lines(text),
-        lambda x: F.col("_bad").isNull() | ~F.array_contains(F.col("_bad"), line_key(x)),
+        lambda x: F.col(bad).isNull() | ~F.array_contains(F.col(bad), line_key(x)),
     )
-    joined = pages.join(bad, host.eqNullSafe(F.col("_bad_host")), "left")
-    joined = joined.withColumn("_kept", keep)
-    n_lines = F.greatest(F.size(F.coalesce(lines(text), F.array())), F.lit(0)).cast("long")
-    n_kept = F.greatest(F.size(F.coalesce("_kept", F.array())), F.lit(0)).cast("long")
+    joined = pages.join(lists, host.eqNullSafe(F.col(bad_host)), "left").withColumn(kept, keep)
+    n_lines = F.greatest(F.size(F.coalesce(lines(text), F.array().cast("array<string>"))), F.lit(0)).cast("long")
+    n_kept = F.greatest(F.size(F.coalesce(kept, F.array().cast("array<string>"))), F.lit(0)).cast("long")
     return joined.withColumns(
         {
             "n_lines": n_lines,
             "n_dropped": n_lines - n_kept,
-            text_col: F.array_join("_kept", "\n"),
+            text_col: F.array_join(kept, "\n"),
         }
-    ).drop("_bad", "_bad_host", "_kept")
+    ).drop(bad, bad_host, kept)

@@ -31,7 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casestats.llm.common import BROADCAST_ROWS, if_small, slices, stage
+from casestats.llm.common import (
+    BROADCAST_ROWS, KEY, free_name, if_small, keyed, slices, stage, without_rows,
+)
 
 WORDS = 5
 # Nodes that may share a shingle before it counts as costly.
@@ -67,25 +69,25 @@ def _prefix_length(n):
     return n - F.ceil(4 * n / 5).cast("int") + 1
 
 
-def shingled(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, prefix) of every row; node is NULL for an empty set."""
+def shingled(docs: DataFrame, make_set=shingle_set) -> DataFrame:
+    """(doc_id, text_key, n, node, prefix) of every row; node is NULL for an empty set."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in slices(batches, 512):
             sizes, nodes, prefixes = [], [], []
             for text in batch["text"]:
-                own = shingle_set(text)
+                own = make_set(text)
                 sizes.append(len(own))
                 key = xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
                 nodes.append(key if len(own) else None)
                 prefixes.append(own[: prefix_length(len(own))] if len(own) else [])
-            out = batch[["doc_id"]].copy()
+            out = batch[KEY].copy()
             out["n"], out["prefix"] = sizes, prefixes
             out["node"] = pd.array(nodes, dtype="Int64")
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(
-        made, "doc_id long, n int, node long, prefix array<long>"
+    return keyed(docs).mapInPandas(
+        made, "doc_id long, text_key long, n int, prefix array<long>, node long"
     )
 
 
@@ -103,14 +105,16 @@ def shared_shingles(rows: DataFrame) -> DataFrame:
     return index.join(shared, "token").distinct()
 
 
-def lengthened(index: DataFrame, texts: DataFrame, costly: int) -> DataFrame:
+def lengthened(
+    index: DataFrame, texts: DataFrame, costly: int, make_set=shingle_set
+) -> DataFrame:
     """`index` with the prefixes of nodes that have costly shingles made anew."""
     degree = index.groupBy("token").agg(F.count(F.lit(1)).alias("nodes"))
     first = stage(degree.filter(F.col("nodes") > costly).select("token"), "costly")
     if first.isEmpty():
         return index
     touched = index.join(if_small(first), "token", "left_semi").select("node").distinct()
-    every = stage(tokens(texts.join(if_small(touched), "node", "left_semi")), "tokens")
+    every = stage(tokens(texts.join(if_small(touched), "node", "left_semi"), make_set), "tokens")
     more = (
         every.groupBy("token")
         .agg(F.count(F.lit(1)).alias("nodes"))
@@ -123,7 +127,7 @@ def lengthened(index: DataFrame, texts: DataFrame, costly: int) -> DataFrame:
         index.join(if_small(dear), "token", "left_semi").select("node").distinct(), "touched"
     )
     late = touched.join(every.select("node").distinct(), "node", "left_anti")
-    every = every.unionByName(tokens(texts.join(if_small(late), "node", "left_semi")))
+    every = every.unionByName(tokens(texts.join(if_small(late), "node", "left_semi"), make_set))
     marked = every.join(
         if_small(dear.withColumn("dear", F.lit(1))), "token", "left"
     ).withColumn("dear", F.coalesce("dear", F.lit(0)))
@@ -137,12 +141,12 @@ def lengthened(index: DataFrame, texts: DataFrame, costly: int) -> DataFrame:
     return index.join(if_small(touched), "node", "left_anti").unionByName(longer)
 
 
-def tokens(texts: DataFrame) -> DataFrame:
+def tokens(texts: DataFrame, make_set=shingle_set) -> DataFrame:
     """(token, node, n) of all shingles of (node, text)."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in slices(batches, 64):
-            sets = [shingle_set(t) for t in batch["text"]]
+            sets = [make_set(t) for t in batch["text"]]
             sizes = np.array([len(s) for s in sets])
             yield pd.DataFrame(
                 {
@@ -155,7 +159,7 @@ def tokens(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInPandas(made, "token long, node long, n int")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, make_set=shingle_set) -> DataFrame:
     """The (a, b) of `pairs` whose sets have 100 * intersection >= 80 * union."""
 
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,8 +170,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 batch["b"], batch["text_a"], batch["text_b"], strict=True
             ):
                 if b != last_key:
-                    last_key, last_set = b, shingle_set(text_b)
-                own = shingle_set(text_a)
+                    last_key, last_set = b, make_set(text_b)
+                own = make_set(text_a)
                 both = len(np.intersect1d(own, last_set, assume_unique=True))
                 keep.append(100 * both >= 80 * (len(own) + len(last_set) - both))
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
@@ -258,22 +262,22 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, costly: int = COSTLY) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    rows = stage(shingled(docs), "shingled")
+def near_duplicates(docs: DataFrame, costly: int = COSTLY, make_set=shingle_set) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id of every row."""
+    rows = stage(shingled(docs, make_set), "shingled")
     index = stage(shared_shingles(rows), "shared_shingles")
     wanted = index.select("node").distinct()
     # One text of each node that shares a shingle; equal sets give equal shingles.
     having = rows.select("node", "doc_id").join(wanted, "node", "left_semi")
     having = having.groupBy("node").agg(F.min("doc_id").alias("id"))
     source = docs.select(F.col("doc_id").alias("id"), "text")
-    texts = stage(texts_of(source, if_small(having)), "node_texts")
-    index = stage(lengthened(index, texts, costly), "prefixes")
+    texts = stage(texts_of(source, if_small(having), make_set), "node_texts")
+    index = stage(lengthened(index, texts, costly, make_set), "prefixes")
 
-    links = stage(verified(nearest_least(index), texts), "links")
+    links = stage(verified(nearest_least(index), texts, make_set), "links")
     first = components(links)
     pairs = crossing_pairs(index, first)
-    more = stage(verified(pairs, texts), "links")
+    more = stage(verified(pairs, texts, make_set), "links")
     comp = components(links.union(more))
 
     own = rows.join(if_small(comp), "node", "left").withColumn(
@@ -285,11 +289,13 @@ def near_duplicates(docs: DataFrame, costly: int = COSTLY) -> DataFrame:
         .agg(F.min("doc_id").alias("low"))
     )
     return own.join(low, own["comp"] == F.col("_comp"), "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id")
+        *KEY,
+        F.col("n").cast("long").alias("n_shingles"),
+        F.coalesce("low", "doc_id").alias("component_id"),
     )
 
 
-def texts_of(source: DataFrame, having: DataFrame) -> DataFrame:
+def texts_of(source: DataFrame, having: DataFrame, make_set=shingle_set) -> DataFrame:
     """(node, text): the text of the row with id `id` that has the node's set."""
     having = having.withColumnRenamed("id", "_id")
     rows = source.join(having, source["id"].eqNullSafe(F.col("_id")))
@@ -297,7 +303,7 @@ def texts_of(source: DataFrame, having: DataFrame) -> DataFrame:
     def right(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in slices(batches):
             keys = [
-                xxhash.xxh3_64_intdigest(shingle_set(t).tobytes()) - (1 << 63)
+                xxhash.xxh3_64_intdigest(make_set(t).tobytes()) - (1 << 63)
                 for t in batch["text"]
             ]
             yield batch.loc[batch["node"].to_numpy("int64") == np.array(keys, "int64"), ["node", "text"]]
@@ -309,14 +315,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component: that of the least id. A NULL id alone in its component
     stays; of repeated rows one stays."""
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    found = near_duplicates(docs).filter(first).select("doc_id").distinct()
-    found = found.withColumnRenamed("doc_id", "_keep_id")
-    kept = docs.join(if_small(found), docs["doc_id"].eqNullSafe(found["_keep_id"]), "left_semi")
-    text_key = F.xxhash64("text")
+    kept = without_rows(docs, near_duplicates(docs).filter(first), "left_semi")
+    text_key = free_name(docs, "_text_key")
     return (
-        kept.withColumn("_text_key", text_key)
-        .dropDuplicates(["doc_id", "_text_key"])
-        .drop("_text_key")
+        kept.withColumn(text_key, F.xxhash64("text"))
+        .dropDuplicates(["doc_id", text_key])
+        .drop(text_key)
     )
 
 

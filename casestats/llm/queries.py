@@ -12,18 +12,31 @@ from casestats.llm import (
     line_dedup,
     ngram_join,
     sharding,
+    spotsigs,
+    suffix_dedup,
     token_output,
     toxicity,
 )
 from casestats.llm.common import ready, table
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    ready(spark)
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.drop("text_key", "kept")
+
+
 def op2_benchmark_decontamination(spark, sf_dir):
     ready(spark)
     docs, items = (table(spark, sf_dir, n) for n in ("documents", "benchmark"))
     return decontamination.decontaminate(docs, items).drop("text_key")
 
 
+def op3_fingerprints(spark, sf_dir):
+    ready(spark)
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark, sf_dir):
     ready(spark)
     docs, labels = (table(spark, sf_dir, n) for n in ("documents", "labels"))
@@ -40,7 +53,7 @@ def op5_line_dedup(spark, sf_dir):
 
 def op6_ngram_jaccard_join(spark, sf_dir):
     ready(spark)
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op7_token_output(spark, sf_dir):
@@ -83,7 +96,9 @@ def op10_license_scan(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_suffix_dedup,
         op2_benchmark_decontamination,
+        op3_fingerprints,
         op4_toxicity,
         op5_line_dedup,
         op6_ngram_jaccard_join,

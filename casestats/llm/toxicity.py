@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casestats.llm.common import KEY, keyed, slices, stage
+from casestats.llm.common import KEY, keyed, slices, stage, without_rows
 
 MAX_EXAMPLES = 20_000
 MAX_FEATURES = 2_000
@@ -288,9 +288,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLE
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` not predicted toxic, with all their columns."""
-    bad = score_documents(docs, labels).filter("predicted = 1").select(*KEY).distinct()
-    bad = bad.withColumnsRenamed({c: f"_bad_{c}" for c in KEY})
-    on = docs["doc_id"].eqNullSafe(bad["_bad_doc_id"]) & (
-        F.xxhash64(docs["text"]) == bad["_bad_text_key"]
-    )
-    return docs.join(bad, on, "left_anti")
+    return without_rows(docs, score_documents(docs, labels).filter("predicted = 1"))

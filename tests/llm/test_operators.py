@@ -1,0 +1,481 @@
+"""The ten operators against brute force on small documents with awkward rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+tokenizers = pytest.importorskip("tokenizers")
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from casestats.llm import (  # noqa: E402
+    bpe, common, decontamination, licenses, line_dedup, ngram_join, sharding, spotsigs,
+    suffix_dedup, token_output, toxicity,
+)
+
+# Names of internal columns on purpose: they must not clash.
+DDL = (
+    "doc_id long, text string, lang string, source string, n_chars long, node long, part int, "
+    "context int, window string, token long, shard long, bundle long, _bad string, spans string"
+)
+
+
+def prose(seed, n, words=60):
+    rng = random.Random(seed)
+    vocabulary = [f"w{rng.randrange(10**6)}" for _ in range(words)] + ["the", "of", "and"] * 8
+    return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+
+def texts():
+    base = prose(1, 220)
+    near = base.split()
+    near[100] = "changed"
+    passage = prose(2, 90)
+    rows = [
+        base, base, " ".join(near), " ".join([*near[:200], "end"]),
+        prose(3, 60) + "\n" + passage + "\n" + prose(4, 70),
+        prose(5, 80) + " " + passage + " " + prose(6, 50),
+        None, "", "   \n\t ", "one", "two words", "one", "ab" * 900, "xyz " * 700,
+        "ÀÉ ünï 日本語 " * 40, prose(7, 4000), "Released under the MIT License.\n" + prose(8, 30),
+        "ONE. Licensed under the Apache License, Version 2.0; x", "<|endoftext|> a<|endoftext|>",
+    ]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    common.ready(spark)
+    rows = [(i, t) for i, t in enumerate(texts())]
+    rows += [(3, rows[3][1]), (None, "one"), (None, None), (40, prose(1, 220))]
+    filler = (None, "s", 1, 5, 6, 7, "w", 8, 9, 10, "b", "c")
+    return spark.createDataFrame([(i, t, *filler) for i, t in rows], DDL).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    common.ready(spark)
+    return spark.createDataFrame([], DDL)
+
+
+def pairs(docs):
+    return [(r.doc_id, r.text) for r in docs.collect()]
+
+
+def bag(rows):
+    return Counter(map(repr, rows))
+
+
+# 1
+
+
+def repeats(all_texts, span):
+    data = [(t or "").encode() for t in all_texts]
+    starts = Counter(b[p : p + span] for b in data for p in range(len(b) - span + 1))
+    out = []
+    for b in data:
+        hit = np.zeros(len(b), bool)
+        for p in range(len(b) - span + 1):
+            if starts[b[p : p + span]] > 1:
+                hit[p : p + span] = True
+        spans = int((np.diff(np.concatenate([[0], hit.astype(int)])) == 1).sum())
+        kept = bytes(np.frombuffer(b, "uint8")[~hit])
+        out.append((len(b), int(hit.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("most_contexts", [2000, 1])
+def test_suffix_dedup(docs, most_contexts):
+    rows = pairs(docs)
+    expected = repeats([t for _, t in rows], 400)
+    got = suffix_dedup.remove_repeats(docs, most_contexts=most_contexts).collect()
+    assert bag([(r.doc_id, *r[2:6]) for r in got]) == bag(
+        [(i, *e) for (i, _), e in zip(rows, expected, strict=True)]
+    )
+
+
+def test_suffix_dedup_of_few_symbols(spark):
+    rng = random.Random(4)
+    parts = ["".join(rng.choice("ab") for _ in range(60)) for _ in range(6)]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(9))) for i in range(60)]
+    for most in (2000, 3):
+        got = suffix_dedup.remove_repeats(
+            spark.createDataFrame(rows, "doc_id long, text string"), 100, 12, most
+        ).collect()
+        expected = repeats([t for _, t in rows], 100)
+        assert [(r.doc_id, *r[2:6]) for r in sorted(got)] == [
+            (i, *e) for (i, _), e in zip(rows, expected, strict=True)
+        ]
+
+
+def test_column_wise_construction():
+    rng = random.Random(1)
+    ahead = [rng.randrange(0, 5) for _ in range(40)]
+    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(6, a + 7))) for a in ahead]
+    found = suffix_dedup.repeated_suffixes(strings, ahead, 4, 6)
+    for i, (s, a) in enumerate(zip(strings, ahead, strict=True)):
+        for column in range(5):
+            at = column - 4 + a
+            own = s[at : at + 6] if at >= 0 else b""
+            others = [
+                t[column - 4 + b : column + 2 + b]
+                for j, (t, b) in enumerate(zip(strings, ahead, strict=True))
+                if j != i and column - 4 + b >= 0
+            ]
+            assert found[i, column] == (len(own) == 6 and own in others)
+
+
+# 2
+
+
+def word_list(text):
+    folded = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded)
+
+
+def contaminated(text, items):
+    words, hit, found = word_list(text), set(), set()
+    for item_id, item in items:
+        own = word_list(item)
+        n = min(13, len(own))
+        windows = {tuple(own[s : s + n]) for s in range(len(own) - n + 1)} if n else set()
+        for s in range(len(words) - n + 1 if n else 0):
+            if tuple(words[s : s + n]) in windows:
+                hit.update(range(s, s + n))
+                if item_id is not None:
+                    found.add(str(item_id))
+    sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+    return (
+        len(words), len(hit), len(found), sha, len(hit) > 0 and 20 * len(hit) >= len(words),
+    )
+
+
+def test_decontamination(spark, docs):
+    items = [
+        (1, prose(2, 90)[:300]), (10, " ".join(prose(1, 220).upper().split()[50:75])), (2, "one"),
+        (3, "TWO words"), (4, "ünï 日本語 ÀÉ"), (5, None), (6, ""), (7, "one"), (None, "xyz xyz"),
+        (8, "no such words in any of these documents at all, not one or two"),
+    ]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.decontaminate(docs, table).drop("text_key").collect()
+    assert bag(tuple(r) for r in got) == bag((i, *contaminated(t, items)) for i, t in pairs(docs))
+    kept = decontamination.drop_contaminated(docs, table)
+    assert kept.columns == docs.columns
+    assert bag(r.doc_id for r in kept.collect()) == bag(
+        i for i, t in pairs(docs) if not contaminated(t, items)[-1]
+    )
+
+
+# 3
+
+
+def test_fingerprints(docs):
+    rows = sorted(
+        docs.select("doc_id", F.xxhash64("text"), "text").collect(),
+        key=lambda r: (r[0] is not None, r[0] or 0, r[1]),
+        reverse=True,
+    )
+    expected = []
+    for k, (i, _, text) in enumerate(rows):
+        own, after = text or "", rows[(k + 1) % len(rows)][2] or ""
+        half = len(own) // 2
+        edited = own[: len(own) - half] + after[:half]
+        a, b, c = map(spotsigs.signatures, (own, edited, after))
+        expected.append(
+            (
+                i, len(own), hashlib.sha256(edited.encode()).hexdigest(),
+                spotsigs.fingerprint(a), spotsigs.fingerprint(b),
+                spotsigs.likeness(a, b), spotsigs.likeness(a, c), len(a),
+            )
+        )
+    assert bag(tuple(r) for r in spotsigs.fingerprints(docs).collect()) == bag(expected)
+
+
+def test_signatures_and_near_duplicates(docs):
+    assert len(spotsigs.signatures("The quick fox of old, and new days")) == 3
+    assert spotsigs.signatures("a") and not spotsigs.signatures(" ")
+    found = {r.doc_id: r.component_id for r in spotsigs.near_duplicates(docs).collect()}
+    assert found[0] == found[1] == found[2] == found[40] == 0
+
+
+# 4
+
+
+def test_toxicity(spark, docs):
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        words = prose(i, 40).split()
+        if i % 4 == 0:
+            words[5:5] = rng.sample(["grumble", "snarlish", "blargow", "nastyx", "vilelike"], 3)
+        rows.append((i, " ".join(words)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, 1, int(i % 4 == 0)) for i, _ in rows if i % 2 == 0] + [(2, 1, None), (9999, 0, 1)]
+    schema = "doc_id long, quality int, toxic int"
+    got = toxicity.score_documents(table, spark.createDataFrame(labels, schema)).collect()
+    assert len(got) == 400
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert sum(r.predicted == (r.doc_id % 4 == 0) for r in got) >= 396
+    # Held-out labels teach nothing.
+    turned = [(i, q, 1 - t if t is not None and zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels]
+    again = toxicity.score_documents(table, spark.createDataFrame(turned, schema)).collect()
+    assert {r.doc_id: r.score for r in got} == {r.doc_id: r.score for r in again}
+    none = toxicity.score_documents(docs, spark.createDataFrame([], schema)).collect()
+    assert len(none) == docs.count() and {r.score for r in none} == {0.0}
+
+
+def test_block_max_index_is_exact():
+    rng = np.random.default_rng(5)
+    idf = rng.random(30) + 1
+    made = [
+        toxicity.weigh(np.sort(rng.choice(30, n, False)), rng.integers(1, 5, n), idf)
+        for n in rng.integers(1, 8, 500)
+    ]
+    index = toxicity.BlockMaxIndex(made, 30)
+    dense = np.zeros((500, 30))
+    for row, (ids, w) in zip(dense, made, strict=True):
+        row[ids] = w
+    for q in range(60):
+        cos = dense @ dense[q]
+        cos[q] = 0
+        rows, scores = index.nearest(*made[q], 10, leave_out=q)
+        best = np.lexsort((np.arange(500), -np.round(cos, 12)))[:10]
+        best = best[cos[best] > 0]
+        assert np.allclose(scores, cos[best])
+
+
+# 5
+
+
+def test_line_dedup(spark):
+    rows = [(i, "h" if i < 40 else None, f"menu\nbody {i}\n\nmenu \nlast{i % 2}") for i in range(50)]
+    rows += [(60, "h", None), (61, "h", ""), (0, *rows[0][1:])]
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    table = table.withColumn("host", F.lit("x")).withColumn("lines", F.lit("y"))
+    got = line_dedup.drop_boilerplate(table, F.col("source")).collect()
+    found = {(r.doc_id, r.source): r for r in got}
+    assert len(got) == len(rows)
+    assert found[3, "h"].text == "body 3\n" and found[3, "h"].n_dropped == 3
+    # Ten pages without host: both last lines stand on five pages only.
+    assert found[45, None].text == "body 45\n\nlast1" and found[45, None].n_lines == 5
+    assert found[60, "h"].text is None and found[60, "h"].n_lines == 0
+    assert found[61, "h"].text == "" and found[61, "h"].n_lines == 1
+
+
+# 6
+
+
+def brute_components(rows):
+    sets = []
+    for _, text in rows:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        grams = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+        sets.append(grams or ({tuple(words)} if words else set()))
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                parent[root(i)] = root(j)
+    out = []
+    for i, (doc_id, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if root(j) == root(i)]
+        ids = [x for x in ids if x is not None]
+        out.append((doc_id, len(sets[i]), min(ids) if ids else None))
+    return out
+
+
+def test_ngram_join(docs):
+    got = ngram_join.near_duplicates(docs).drop("text_key").collect()
+    assert bag(tuple(r) for r in got) == bag(brute_components(pairs(docs)))
+
+
+@pytest.mark.parametrize("costly", [2, 1000])
+def test_ngram_join_of_chains_and_shared_passages(spark, costly):
+    rng = random.Random(9)
+    rows, passage = [], prose(77, 40)
+    for group in range(6):
+        words = prose(100 + group, 130).split()
+        for _ in range(12):
+            rows.append(" ".join(words))
+            for _ in range(rng.randrange(1, 4)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+    rows += [prose(i, 50) + " " + passage for i in range(200, 230)] + [passage, passage + " z"]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.near_duplicates(table, costly).drop("text_key").collect()
+    assert sorted(tuple(r) for r in got) == brute_components(rows)
+
+
+def test_keep_one(docs):
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    expected = {(i, t) for (i, t), c in zip(pairs(docs), brute_components(pairs(docs)), strict=True) if c[0] == c[2]}
+    assert bag((r.doc_id, r.text) for r in kept.collect()) == bag(expected)
+
+
+# 7
+
+
+@given(st.integers(1, 5000), st.integers(0, 2**40))
+@settings(max_examples=60, deadline=None)
+def test_permutation(n, key):
+    assert sorted(token_output.permuted(np.arange(n), n, key).tolist()) == list(range(n))
+
+
+def test_token_output(spark, docs):
+    path = common.new_path(spark, "test_shards")
+    n = token_output.write_shards(docs, path, length=256, per_shard=16)
+    rows = token_output.read_shards(spark, path, per_shard=16).orderBy("slot").collect()
+    assert [r.slot for r in rows] == list(range(n))
+    assert all(r.shard == r.slot // 16 and r.row == r.slot % 16 and len(r.ids) == 256 for r in rows)
+    parts = Counter()
+    for r in sorted(rows, key=lambda r: r.part):
+        assert set(r.ids[r.n_ids :]) <= {token_output.PAD}
+    for i, t in pairs(docs):
+        parts[i] += -(-(len((t or "").encode()) + 1) // 256)
+    assert Counter(r.doc_id for r in rows) == parts
+    for i in (0, 7, 14, 15):
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.part)
+        data = b"".join(bytes(r.ids[: r.n_ids]) for r in own)
+        assert data == (texts()[i] or "").encode() + b"\xff"
+    later = token_output.read_shards(spark, path, 37, per_shard=16)
+    assert later.agg(F.min("slot"), F.count(F.lit(1))).first() == (37, n - 37)
+    again = common.new_path(spark, "test_shards")
+    token_output.write_shards(docs.repartition(5), again, length=256, per_shard=16)
+    both = token_output.read_shards(spark, again, per_shard=16).orderBy("slot").collect()
+    assert [bytes(r.ids) for r in both] == [bytes(r.ids) for r in rows]
+
+
+# 8
+
+
+def test_sharding(docs):
+    rows = sharding.assign_shards(docs, shards=3, per_shard=4).collect()
+    assert len(rows) == docs.count()
+    for shard in {r.shard for r in rows}:
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    size = {i: len((t or "").encode()) + 16 for i, t in pairs(docs) if i is not None}
+    crc = {i: zlib.crc32((t or "").encode()) for i, t in pairs(docs) if i is not None}
+    assert all((r.size, r.text_crc32) == (size[r.doc_id], crc[r.doc_id]) for r in rows if r.doc_id is not None)
+
+
+def test_sharding_splits_a_hot_group(spark):
+    rows = [(i, "same text" * 20 if i % 3 == 0 else prose(i, 20)) for i in range(6000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.assign_shards(table).collect()
+    load = Counter()
+    for r in got:
+        load[r.shard] += r.size
+    assert len(load) == 40 and max(load.values()) <= 1.02 * min(load.values())
+
+
+# 9
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def encoded(tokenizer, text):
+    ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+    back = tokenizer.decode(ids, skip_special_tokens=False)
+    return (
+        len(ids),
+        hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+        hashlib.sha256(back.encode()).hexdigest(),
+    )
+
+
+def test_bpe(docs, tokenizer):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = bpe.encode_documents(docs, path).drop("text_key").collect()
+    assert bag(tuple(r) for r in got) == bag((i, *encoded(tokenizer, t)) for i, t in pairs(docs))
+
+
+ALPHABET = st.sampled_from(list("ab  \n'st.5é²日  ") + ["<|endoftext|>", " the", "'ll"])
+
+
+@given(st.lists(ALPHABET, max_size=400).map("".join))
+@settings(max_examples=150, deadline=None)
+def test_bpe_of_any_text(tokenizer, text):
+    own = bpe.coder(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    text = (text + " word and more " + text) * 3
+    ids, _, decoded = own.encode_text(text)
+    library = tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ids, "<u4").tolist() == library
+    assert decoded.decode() == text
+
+
+def test_bpe_reuses_chunks(tokenizer):
+    own = bpe.Coder(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    shared = prose(5, 3000)
+    own.encode_text(prose(6, 50) + shared)
+    before = len(own.chunks)
+    own.encode_text(prose(7, 70) + shared)
+    assert before > 5 and len(own.chunks) <= before + 3
+
+
+# 10
+
+
+def test_license_scan(spark):
+    bsd = (
+        "Redistribution and use in source and binary forms, with or without modification, are "
+        "permitted provided that the following conditions are met: "
+    )
+    rows = [
+        (1, "Hello.\nReleased under the MIT License.\nBye"),
+        (2, "licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0."),
+        (3, bsd.replace(": ", ". ") + "x. Redistributions of source code must retain the above "
+            "copyright notice. Redistributions in binary form must reproduce the above copyright "
+            "notice; Neither the name of the copyright holder nor the names of its contributors "
+            "may be used to endorse or promote products."),
+        (4, None), (5, ""), (6, "Redistributions of source code must retain."), (1, "x"),
+    ]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.licenses) for r in got) == [
+        (1, ""), (1, "MIT"), (2, "Apache-2.0,CC-BY-NC-4.0"), (3, "BSD-3-Clause"), (4, ""),
+        (5, ""), (6, ""),
+    ]
+    assert {r.n_sentences for r in got if r.doc_id in (4, 5)} == {0}
+
+
+def test_empty_tables(spark, empty):
+    items = spark.createDataFrame([(1, "some words")], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for out in (
+        suffix_dedup.remove_repeats(empty),
+        decontamination.decontaminate(empty, items),
+        spotsigs.fingerprints(empty),
+        toxicity.score_documents(empty, labels),
+        line_dedup.drop_boilerplate(empty, F.col("source")),
+        ngram_join.near_duplicates(empty),
+        token_output.materialised(empty),
+        sharding.assign_shards(empty),
+        bpe.encode_documents(empty, path),
+        licenses.scan_licenses(empty),
+    ):
+        assert out.count() == 0
+
+
+def test_no_items(spark, docs):
+    items = spark.createDataFrame([], "item_id long, text string")
+    got = decontamination.decontaminate(docs, items)
+    assert got.filter("n_hit = 0 and not contaminated").count() == docs.count()
