@@ -40,7 +40,7 @@ SPAN = 400
 GRAM = 48
 # Contexts in a collection, and of one anchor before it is refined.
 COLLECTION = 4_000
-MOST_CONTEXTS = 2_000
+MOST_CONTEXTS = 20_000
 # Sizes of blocks of start positions when refining.
 BLOCKS = (32, 4, 1)
 FACTOR = 0x9E3779B97F4A7C15
