@@ -2,8 +2,7 @@
 
 Texts are cut where a rolling hash of the last characters says so, so equal passages give
 equal chunks wherever they stand. A worker encodes a chunk once and keeps the ids of its
-inside (a bounded store, least recently used chunks go first); words inside it are kept the
-same way. What lies around a cut, from the last word start before it to the first one after
+inside (a bounded store, least recently used chunks go first). What lies around a cut, from the last word start before it to the first one after
 it, is encoded anew as one string. The repair stands if the same string with one more word on
 either side encodes to the same ids between those of the two words; else the two chunks are
 joined and encoded as one. Results equal encoding whole texts, whatever was kept.
@@ -20,8 +19,10 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -34,20 +35,18 @@ from casestats.llm.common import KEY, keyed, slices
 WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 256, 8192
 FACTOR = 0x9E3779B97F4A7C15
 CHUNK_BYTES = 48_000_000
-WORDS_KEPT = 150_000
+NEAR_END = 120
 
 # Characters for which words are found here as the library finds them; others go to the library.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(rf"[\t\n -~{LETTERS}]*")
-WORDS = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+"
+# Fixed value: the pattern of byte-level vocabularies.
+PATTERN = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 # A word start that holds whatever stands around it: letter, blank, letter.
 ANCHOR = re.compile(rf"(?<=[{LETTERS}]) (?=[{LETTERS}])")
 
-Encoded = tuple[bytes, bytes, bytes]  # ids as uint32, decimal ids with commas, decoded bytes
-NOTHING: Encoded = (b"", b"", b"")
-
 
 def _powers(n: int, factor: int) -> np.ndarray:
     out = np.full(n, factor, "uint64")
@@ -100,41 +99,28 @@ class Coder:
             i: bytes(back[c] for c in token) for token, i in said["model"]["vocab"].items()
         }
         self.bytes_of |= {t["id"]: t["content"].encode() for t in said["added_tokens"]}
-        split = said["pre_tokenizer"]
-        self.own_words = split["type"] == "ByteLevel" and split["use_regex"]
-        self.words: dict[str, Encoded] = {}
+        self.number_of = {i: b"%d" % i for i in self.bytes_of}
+        self.fast = _merger(said)
         self.chunks: OrderedDict[str, tuple] = OrderedDict()
         self.kept = 0
         self.cutter = Cutter()
 
-    def by_library(self, text: str) -> Encoded:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return (
-            np.array(ids, "<u4").tobytes(),
-            b"".join(b"%d," % i for i in ids),
-            b"".join([self.bytes_of[i] for i in ids]),
-        )
-
-    def encode(self, text: str) -> Encoded:
-        """Without chunks: word by word where words are certain, else by the library."""
+    def encode(self, text: str) -> bytes:
+        """Ids (uint32) without chunks: by the fast merger where words are certain to be cut
+        the same way, else by the library."""
         if not text:
-            return NOTHING
-        if not (self.own_words and PLAIN.fullmatch(text)) or any(s in text for s in self.special):
-            return self.by_library(text)
-        known = self.words
-        words = WORDS.findall(text)
-        found = list(map(known.get, words))
-        if None in found:
-            if len(known) > WORDS_KEPT:
-                known.clear()
-            for i, (word, has) in enumerate(zip(words, found, strict=True)):
-                if has is None:
-                    has = known.get(word)
-                    if has is None:
-                        has = known[word] = self.by_library(word)
-                    found[i] = has
-        ids, decimal, decoded = zip(*found, strict=True)
-        return b"".join(ids), b"".join(decimal), b"".join(decoded)
+            return b""
+        if self.fast and PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            ids = self.fast.encode_ordinary(text)
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def decimal(self, ids: list[int]) -> bytes:
+        return b",".join(map(self.number_of.__getitem__, ids))
+
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
     def chunk(self, text: str):
         """(first two word starts, last two, ids between, ids of the words next to the ends)
@@ -142,22 +128,24 @@ class Coder:
         if text in self.chunks:
             self.chunks.move_to_end(text)
             return self.chunks[text]
-        at = [m.start() for m in ANCHOR.finditer(text)]
+        at = [m.start() for m in islice(ANCHOR.finditer(text), 4)]
         if len(at) < 4:
             return None
-        a, b, y, z = at[0], at[1], at[-2], at[-1]
-        parts = self.encode(text[a:b]), self.encode(text[b:y]), self.encode(text[y:z])
-        inside = tuple(b"".join(x) for x in zip(*parts, strict=True))
-        out = (a, b, y, z, inside, parts[0][0], parts[2][0])
+        near_end = [m.start() for m in ANCHOR.finditer(text, max(at[1] + 1, len(text) - NEAR_END))]
+        if len(near_end) < 2:
+            near_end = [m.start() for m in ANCHOR.finditer(text, at[1] + 1)]
+        (a, b), (y, z) = at[:2], near_end[-2:]
+        first, last = self.encode(text[a:b]), self.encode(text[y:z])
+        out = (a, b, y, z, first + self.encode(text[b:y]) + last, first, last)
         self.chunks[text] = out
-        self.kept += 2 * len(text) + sum(map(len, inside)) + 500
+        self.kept += 2 * len(text) + len(out[4]) + 500
         while self.kept > CHUNK_BYTES:
             old, gone = self.chunks.popitem(last=False)
-            self.kept -= 2 * len(old) + sum(map(len, gone[4])) + 500
+            self.kept -= 2 * len(old) + len(gone[4]) + 500
         return out
 
-    def encode_text(self, text: str) -> Encoded:
-        out: list[Encoded] = []
+    def encode_text(self, text: str) -> bytes:
+        out: list[bytes] = []
         left = ""  # since the last word start that is settled
         context, ids = "", b""  # the word before it and its ids
         start = 0
@@ -171,13 +159,31 @@ class Coder:
             a, b, y, z, inside, first, last = found
             seam = self.encode(left + piece[:a])
             around = self.encode(context + left + piece[:b])
-            if around[0] == ids + seam[0] + first:
+            if around == ids + seam + first:
                 out += [seam, inside]
                 left, context, ids = piece[z:], piece[y:z], last
             else:
                 left += piece
         out.append(self.encode(left))
-        return tuple(b"".join(x) for x in zip(*out, strict=True))
+        return b"".join(out)
+
+
+def _merger(said: dict):
+    """The same vocabulary for a faster library, if its merges stand in the order of ids and
+    its words are cut by the usual pattern; else None."""
+    model, split = said["model"], said["pre_tokenizer"]
+    merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+    in_order = all(model["vocab"].get(m.replace(" ", "")) == 256 + i for i, m in enumerate(merges))
+    usual = split == {
+        "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True,
+    }
+    if not (in_order and usual and said["normalizer"] is None and not model.get("ignore_merges")):
+        return None
+    import tiktoken
+
+    back = {c: b for b, c in _byte_letters().items()}
+    ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items()}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def _byte_letters() -> dict[int, str]:
@@ -213,13 +219,13 @@ def encode_documents(docs: DataFrame, vocabulary_file: str, with_ids: bool = Fal
         for batch in slices(batches):
             rows = []
             for text in batch["text"]:
-                ids, decimal, decoded = own.encode_text(text or "")
-                plain = decoded.decode("utf-8", "replace").encode()
+                ids = own.encode_text(text or "")
+                listed = array("I", ids).tolist()
                 rows.append(
                     (
-                        len(ids) // 4,
-                        hashlib.sha256(decimal[:-1]).hexdigest(),
-                        hashlib.sha256(plain).hexdigest(),
+                        len(listed),
+                        hashlib.sha256(own.decimal(listed)).hexdigest(),
+                        hashlib.sha256(own.decode(listed).encode()).hexdigest(),
                         *([ids] if with_ids else []),
                     )
                 )
