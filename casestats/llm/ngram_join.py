@@ -5,8 +5,9 @@ shingles in one order for all, two sets of Jaccard 0.8 or more share a shingle w
 first |x| - ceil(0.8 |x|) + 1 (the prefix).
 
 1. Prefixes in the order of shingle hashes are joined; what only one node has goes.
-2. Estimated cost: shingles that many nodes share are costly. A node with costly ones in its
-   prefix lengthens it past them, by as many cheap shingles, and need share no costly one.
+2. Estimated cost: shingles that many nodes share are costly. A node with k costly ones in
+   its prefix lengthens it by k or more. As |prefix| + k shingles must share k + 1, one of
+   those shared is not costly, and the costly ones need not be joined.
 3. Each node is verified against the nearest of the least nodes it shares shingles with. A
    group of copies becomes one component by as many checks as it has members.
 4. Pairs that share a prefix shingle but are in different components yet are counted; a pair
@@ -38,6 +39,8 @@ from casestats.llm.common import (
 WORDS = 5
 # Nodes that may share a shingle before it counts as costly.
 COSTLY = 48
+# Shingles beyond a prefix that are read ahead, besides two for each costly one.
+AHEAD = 32
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -105,58 +108,108 @@ def shared_shingles(rows: DataFrame) -> DataFrame:
     return index.join(shared, "token").distinct()
 
 
+def costly_tokens(index: DataFrame, costly: int) -> DataFrame:
+    counted = index.groupBy("token").agg(F.count(F.lit(1)).alias("nodes"))
+    return counted.filter(F.col("nodes") > costly).select("token")
+
+
 def lengthened(
-    index: DataFrame, texts: DataFrame, costly: int, make_set=shingle_set
+    index: DataFrame, rows: DataFrame, texts: DataFrame, costly: int, make_set=shingle_set
 ) -> DataFrame:
-    """`index` with the prefixes of nodes that have costly shingles made anew."""
-    degree = index.groupBy("token").agg(F.count(F.lit(1)).alias("nodes"))
-    first = stage(degree.filter(F.col("nodes") > costly).select("token"), "costly")
-    if first.isEmpty():
+    """`index` with longer prefixes for nodes that have costly shingles in theirs.
+
+    In the order (costly last, hash) a node needs its first |prefix| shingles. It is given
+    shingles beyond its prefix, twice as many as the costly ones and `AHEAD` more; shingles
+    costly among these are left out as well. A node for which that is too few is given all
+    its shingles, until every node has enough. What a node without costly ones shares with it
+    is within both first prefixes, so those stay as they are.
+    """
+    dear = stage(costly_tokens(index, costly), "costly")
+    if dear.isEmpty():
         return index
-    touched = index.join(if_small(first), "token", "left_semi").select("node").distinct()
-    every = stage(tokens(texts.join(if_small(touched), "node", "left_semi"), make_set), "tokens")
-    more = (
-        every.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("nodes"))
-        .filter(F.col("nodes") > costly)
-        .select("token")
-    )
-    dear = stage(first.union(more).distinct(), "costly")
-    # Nodes that the second count adds have their own tokens read here as well.
-    touched = stage(
-        index.join(if_small(dear), "token", "left_semi").select("node").distinct(), "touched"
+    touched = (
+        index.join(if_small(dear), "token", "left_semi")
+        .groupBy("node")
+        .agg(F.count(F.lit(1)).alias("costly"))
     )
-    late = touched.join(every.select("node").distinct(), "node", "left_anti")
-    every = every.unionByName(tokens(texts.join(if_small(late), "node", "left_semi"), make_set))
-    marked = every.join(
+    touched = stage(touched, "touched")
+    reach = (2 * F.col("costly") + AHEAD).cast("int")
+    more = texts.join(if_small(touched), "node").withColumn("reach", reach)
+    more = stage(tokens(more, make_set), "longer_prefixes").withColumn("every", F.lit(False))
+    first = dear
+    own = rows.select("node", F.explode("prefix").alias("token"))
+    own = own.join(if_small(touched.select("node")), "node", "left_semi")
+    while True:
+        dear = stage(dear.union(costly_tokens(more, costly)).distinct(), "costly")
+        marker = if_small(dear)
+        needed = (
+            own.join(marker, "token", "left_semi")
+            .groupBy("node")
+            .agg(F.countDistinct("token").alias("needed"))
+        )
+        has = (
+            more.filter("not every")
+            .join(marker, "token", "left_anti")
+            .groupBy("node")
+            .agg(F.count(F.lit(1)).alias("has"))
+        )
+        done = more.filter("every").select("node").distinct()
+        short = (
+            needed.join(has, "node", "left")
+            .filter(F.coalesce("has", F.lit(0)) < F.col("needed"))
+            .select("node")
+            .join(done, "node", "left_anti")
+        )
+        short = stage(short, "short_prefixes")
+        if short.isEmpty():
+            break
+        every = texts.join(if_small(short), "node").withColumn("reach", F.lit(-1))
+        every = tokens(every, make_set).withColumn("every", F.lit(True))
+        kept = more.join(if_small(short), "node", "left_anti")
+        more = stage(kept.unionByName(every), "longer_prefixes")
+
+    some = more.filter("not every").join(marker, "token", "left_anti")
+    marked = more.filter("every").join(
         if_small(dear.withColumn("dear", F.lit(1))), "token", "left"
-    ).withColumn("dear", F.coalesce("dear", F.lit(0)))
-    order = Window.partitionBy("node").orderBy("dear", "token")
-    longer = (
-        marked.join(if_small(touched), "node", "left_semi")
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= _prefix_length(F.col("n")))
-        .select("token", "node", "n")
     )
-    return index.join(if_small(touched), "node", "left_anti").unionByName(longer)
+    order = Window.partitionBy("node").orderBy(F.coalesce("dear", F.lit(0)), "token")
+    whole = marked.withColumn("rank", F.row_number().over(order)).filter(
+        F.col("rank") <= _prefix_length(F.col("n"))
+    )
+    columns = ["token", "node", "n"]
+    return (
+        index.join(if_small(first), "token", "left_anti")
+        .select(columns)
+        .unionByName(some.select(columns))
+        .unionByName(whole.select(columns))
+        .distinct()
+    )
 
 
 def tokens(texts: DataFrame, make_set=shingle_set) -> DataFrame:
-    """(token, node, n) of all shingles of (node, text)."""
+    """(token, node, n) of (node, text, reach): the `reach` shingles that follow the prefix,
+    or all shingles if `reach` is negative."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in slices(batches, 64):
-            sets = [make_set(t) for t in batch["text"]]
-            sizes = np.array([len(s) for s in sets])
+            sets, counts = [], []
+            for text, reach in zip(batch["text"], batch["reach"], strict=True):
+                own = make_set(text)
+                at = prefix_length(len(own))
+                counts.append(len(own))
+                sets.append(own if reach < 0 else own[at : at + reach])
+            sizes = np.array([len(x) for x in sets])
             yield pd.DataFrame(
                 {
-                    "token": np.concatenate(sets) if len(sets) else np.empty(0, "int64"),
+                    "token": np.concatenate(sets),
                     "node": np.repeat(batch["node"].to_numpy("int64"), sizes),
-                    "n": np.repeat(sizes, sizes).astype("int32"),
+                    "n": np.repeat(np.array(counts, "int32"), sizes),
                 }
             )
 
-    return texts.select("node", "text").mapInPandas(made, "token long, node long, n int")
+    return texts.select("node", "text", "reach").mapInPandas(
+        made, "token long, node long, n int"
+    )
 
 
 def verified(pairs: DataFrame, texts: DataFrame, make_set=shingle_set) -> DataFrame:
@@ -272,7 +325,7 @@ def near_duplicates(docs: DataFrame, costly: int = COSTLY, make_set=shingle_set)
     having = having.groupBy("node").agg(F.min("doc_id").alias("id"))
     source = docs.select(F.col("doc_id").alias("id"), "text")
     texts = stage(texts_of(source, if_small(having), make_set), "node_texts")
-    index = stage(lengthened(index, texts, costly, make_set), "prefixes")
+    index = stage(lengthened(index, rows, texts, costly, make_set), "prefixes")
 
     links = stage(verified(nearest_least(index), texts, make_set), "links")
     first = components(links)
