@@ -24,7 +24,7 @@ from casestats.operators.paging import table_page
 from casestats.plans import access, analysis, evolution, indicators, stock
 from casestats.plans.marts import LazyMarts
 from casestats.session import configure
-from casestats.sinks.csv import export_csv, read_export
+from casestats.sinks.csv import MOVEMENTS, export_csv, read_export
 from casestats.sinks.marts import build_marts, read_marts
 from casestats.sources import fixtures
 from casestats.sources.schemas import MARTS
@@ -98,6 +98,9 @@ def queries() -> dict[str, Query]:
     q["load_access_tables"] = _loaded_access_tables
     q["write_marts"] = _written_marts
     q["export_csv"] = _exported
+    q["export_csv_stock"] = _exported_stock
+    q["export_csv_pages"] = _exported_pages
+    q["export_csv_blanks"] = _exported_blanks
 
     movements = lambda build: lambda m: build(m["stock_movements"])
     add("scope_org_unit", lambda m: filters.scope(m["process_lifetime"], ORG, UNIT))
@@ -254,6 +257,24 @@ def _exported(spark, sf_dir):
     return read_export(spark, export_csv(rows, _new_folder(spark, "export")))
 
 
+def _exported_stock(spark, sf_dir):
+    rows = stock.stock_export(marts_of(spark, sf_dir), **PERIOD)
+    return read_export(spark, export_csv(rows, _new_folder(spark, "export"), name=MOVEMENTS))
+
+
+def _exported_pages(spark, sf_dir):
+    rows = marts_of(spark, sf_dir)["pages_saved"]
+    return read_export(spark, export_csv(rows, _new_folder(spark, "export"), name="folhas"))
+
+
+def _exported_blanks(spark, sf_dir):
+    """Blanks at both ends, and a text that is a blank alone."""
+    rows = marts_of(spark, sf_dir)["stock_units"].select(
+        "orgao", F.concat(F.lit("  "), "unidade", F.lit(" ")).alias("unidade"), F.lit(" ").alias("so")
+    )
+    return read_export(spark, export_csv(rows, _new_folder(spark, "export"), "A/B"))
+
+
 def _date_functions(marts):
     dia = F.col("dia")
     inicio = dates.week_start(dia)

@@ -27,7 +27,8 @@ def plain_number(x: Column) -> Column:
 
 
 def decimal_comma(x: Column) -> Column:
-    return F.translate(plain_number(x), ".", ",")
+    """Every significant digit, no exponent: the smallest double has 324 decimals."""
+    return F.translate(_formatted(x, "0." + "#" * 340), ".", ",")
 
 
 def deviation_label(scoped: Column, overall: Column, first_quartile: Column) -> Column:

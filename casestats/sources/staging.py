@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+def require_shared(folder: str, master: str) -> None:
+    """Refuse a folder on each machine's own disk, unless all runs on one machine."""
+    if folder.startswith("file:") and not master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_DIR} is {folder}: executors would not share it")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`.
 
@@ -17,6 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if folder:
+        require_shared(folder, spark.sparkContext.master)
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")

@@ -506,6 +506,16 @@ def build() -> dict[str, str]:
     q["load_access_tables"] = _counts([(n, n) for n in ACCESS_TABLES])
     q["write_marts"] = _counts([(n, n) for n in MARTS])
     q["export_csv"] = _export("true", as_text=True)
+    movement = "orgao, unidade, tipo_processo, atividade, data, protocolo, qtde".split(", ")
+    as_text = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in movement)
+    q["export_csv_stock"] = f"SELECT {as_text} FROM stock_movements WHERE {PERIOD}"
+    q["export_csv_pages"] = """
+        SELECT orgao, unidade,
+          regexp_replace(replace(CAST(soma AS VARCHAR), '.', ','), ',0$', '') AS soma
+        FROM pages_saved"""
+    q["export_csv_blanks"] = (
+        "SELECT orgao, '  ' || unidade || ' ' AS unidade, ' ' AS so FROM stock_units"
+    )
 
     q["scope_org_unit"] = f"SELECT * FROM process_lifetime WHERE {SCOPES['org_unit']}"
     q["scope_org_unit_type"] = (

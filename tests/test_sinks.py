@@ -8,7 +8,7 @@ from casestats.plans.marts import LazyMarts
 from casestats.sinks.csv import export_csv, read_export
 from casestats.sinks.marts import build_marts, read_marts, run_name, write_marts
 from casestats.sources.schemas import CASE_TABLES, MARTS
-from casestats.sources.staging import shared_dir, stage
+from casestats.sources.staging import require_shared, shared_dir, stage
 from casestats.sources.tables import jdbc_options
 
 
@@ -123,3 +123,19 @@ def test_daily_job(spark, case_tables, tmp_path):
     assert rows(read_marts(spark, f"{tmp_path}/marts")["active_users_by_org"]) == [("A", 1)]
     with pytest.raises(SystemExit):
         daily.main(["--marts", "m"])
+
+
+def test_export_keeps_blanks_and_digits(spark, frame, tmp_path):
+    texts = [("  lead", 1e-17), ("trail  ", 5e-324), (" ", 123456789.125), ("x", 0.1)]
+    target = export_csv(frame("t string, x double", texts), str(tmp_path), "A/B", name="n")
+    assert target.endswith("/n_A%2FB.csv")
+    found = dict(rows(read_export(spark, target)))
+    assert found["  lead"] == "0,00000000000000001" and found["x"] == "0,1"
+    assert found[" "] == "123456789,125" and found["trail  "].startswith("0,000")
+
+
+def test_staging_refuses_a_local_folder_on_a_cluster():
+    require_shared("file:/tmp/x", "local[2]")
+    require_shared("hdfs:/x", "yarn")
+    with pytest.raises(ValueError, match="share"):
+        require_shared("file:///tmp/x", "yarn")
