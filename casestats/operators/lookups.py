@@ -11,6 +11,9 @@ from casestats.sources.tables import CaseTables
 
 MAX_LOOKUP_ROWS = 200_000
 
+# Texts of a process, which only lists of open processes show.
+TEXTS = ["protocolo_formatado", "descricao"]
+
 
 def small_side(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
     """Mark `df` for broadcast if it is counted to be within `max_rows`.
@@ -106,7 +109,7 @@ def activity_summary(tables: CaseTables) -> DataFrame:
 
 def followed_processes(tables: CaseTables) -> DataFrame:
     """`processes` with the summary of their activities, if there are any (`tramitado`).
-    Written once.
+    Written once, without their texts: see `with_texts`.
 
     Activities of one process may be a large part of all activities. Against a written
     table their join shuffles both sides directly, so adaptive execution can split that
@@ -114,7 +117,8 @@ def followed_processes(tables: CaseTables) -> DataFrame:
     """
 
     def build():
-        followed = processes(tables).join(activity_summary(tables), "id_protocolo", "left")
+        narrow = processes(tables).drop(*TEXTS)
+        followed = narrow.join(activity_summary(tables), "id_protocolo", "left")
         return stage(followed, "processes")
 
     return tables.derived("followed_processes", build)
@@ -125,6 +129,12 @@ def open_processes(tables: CaseTables) -> DataFrame:
     return followed_processes(tables).filter("aberto")
 
 
+def with_texts(cases: DataFrame, tables: CaseTables) -> DataFrame:
+    """`cases` with the number and description of their processes."""
+    texts = tables["protocolo"].filter(F.col("sta_protocolo") == PROCESS)
+    return cases.join(texts.select("id_protocolo", *TEXTS), "id_protocolo")
+
+
 def share_processes(tables: CaseTables) -> None:
     """Let marts that need no activities start from the written processes too."""
     tables.replace("processes", followed_processes(tables))

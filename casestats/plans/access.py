@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from casestats.fixed_values import ALL_ORGS, WILDCARD
 from casestats.functions.dates import day
-from casestats.operators.lookups import small_side
 
 
 def authorized_orgs(
@@ -45,13 +44,15 @@ def authorized_orgs(
 
 
 def restrict_to_orgs(df: DataFrame, allowed: DataFrame, org_col: str = "orgao") -> DataFrame:
-    """Rows of the allowed orgs; all rows if "Todos" is among the entries."""
-    entries = small_side(allowed.select(F.col("orgao").alias("_entrada")).distinct())
-    return (
-        df.join(entries, F.col(org_col) == F.col("_entrada"), "left")
-        .filter(F.col("_entrada").isNotNull() | _any_row(allowed, ALL_ORGS))
-        .select(*df.columns)
-    )
+    """Rows of the allowed orgs; all rows if "Todos" is among the entries.
+
+    The entries (one per org at most) come in as one subquery, so that a scan of files
+    partitioned by org opens the allowed folders only. A NULL org needs "Todos".
+    """
+    entries = allowed.agg(F.collect_set("orgao").alias("entradas")).scalar()
+    org = F.col(org_col)
+    granted = F.array_contains(entries, org) | F.array_contains(entries, ALL_ORGS)
+    return df.filter(F.coalesce(granted, F.lit(False)))
 
 
 def _any_row(orgs: DataFrame, value: str):

@@ -29,6 +29,7 @@ from casestats.operators.lookups import (
     open_processes,
     processes,
     with_current_unit,
+    with_texts,
     with_type,
     with_unit,
 )
@@ -231,7 +232,7 @@ def open_process_control(tables: CaseTables, as_of) -> DataFrame:
         .join(assignees, "id_usuario_atribuicao", "left")
         .drop("id_usuario_atribuicao")
     )
-    cases = open_processes(tables).join(creators, "id_usuario_gerador")
+    cases = with_texts(open_processes(tables), tables).join(creators, "id_usuario_gerador")
     held = waiting.join(cases, "id_protocolo")
     held = with_type(with_unit(held, tables, "id_unidade_geradora"), tables)
     return with_current_unit(held, tables, "id_unidade_atual").select(

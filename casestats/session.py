@@ -13,6 +13,11 @@ SETTINGS = {
     # Split a hot key even where the next step needs the join's partitioning: the extra
     # shuffle is added only when a skewed partition was seen.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Drop activities of closed processes before they are shuffled, however large the table
+    # of open ones is. The filter itself has a fixed size (8 MB at most).
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1TB",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "40000000",
 }
 
 

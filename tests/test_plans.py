@@ -8,8 +8,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from casestats.operators.lookups import activity_summary, small_side
-from casestats.plans import indicators, stock
+from casestats.operators.lookups import activity_summary, followed_processes, small_side
+from casestats.plans import access, indicators, stock
 from casestats.plans.marts import LazyMarts
 from casestats.sinks.marts import build_marts
 from casestats.sources.schemas import CASE_TABLES, MARTS, schema_of
@@ -180,3 +180,27 @@ def test_written_marts_are_pruned_by_org(spark, plain, tmp_path):
     text = plan(stock.stock_export(written, "O1", **PERIOD))
     assert "PartitionFilters: [isnotnull(orgao" in text
     assert "GreaterThanOrEqual(data,2001-01-10)" in text
+
+
+def test_moves_of_closed_processes_are_dropped_before_the_shuffle(skewed, setting):
+    setting("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    text = plan(skewed["stock_movements"])
+    assert "might_contain" in text
+    # Below the exchange of the moves: lower lines are earlier steps.
+    assert text.index("might_contain") > text.index("Exchange hashpartitioning(id_protocolo")
+
+
+def test_texts_stay_out_of_the_process_table(skewed):
+    staged = followed_processes(skewed.tables)
+    assert not {"descricao", "protocolo_formatado"} & set(staged.columns)
+    for name in ("stock_movements", "process_lifetime"):
+        assert "descricao" not in plan(skewed[name])
+
+
+def test_restricted_marts_are_pruned_by_org(spark, plain, frame, tmp_path):
+    written = build_marts(plain.tables, str(tmp_path), AS_OF)
+    one = frame("orgao STRING", [("O1",)])
+    df = access.restrict_to_orgs(written["stock_movements"], one)
+    filters = plan(df).split("PartitionFilters: [")[1].split("DataFilters")[0]
+    assert "subquery" in filters.lower() and "orgao" in filters
+    assert {r.orgao for r in df.select("orgao").distinct().collect()} == {"O1"}
