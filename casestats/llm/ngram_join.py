@@ -10,6 +10,9 @@ first |x| - ceil(0.8 |x|) + 1 (the prefix).
    those shared is not costly, and the costly ones need not be joined.
 3. Each node is verified against the nearest of the least nodes it shares shingles with. A
    group of copies becomes one component by as many checks as it has members.
+   Where many components still meet in a shingle (copies edited apart, each near to some of
+   the others only), rounds of pivots follow: the least by several hashes, for each node the
+   pivot of each hash it shares most shingles with.
 4. Pairs that share a prefix shingle but are in different components yet are counted; a pair
    needs as many shared prefix shingles as its sizes and prefixes demand before its texts are
    compared exactly. What passes is linked, so no link between components is missed.
@@ -39,6 +42,8 @@ from casestats.llm.common import (
 WORDS = 5
 # Nodes that may share a shingle before it counts as costly.
 COSTLY = 48
+# Components that meet in a shingle before pivots are tried; hashes a round; rounds.
+MANY, PIVOTS, ROUNDS = 16, 8, 2
 # Shingles beyond a prefix that are read ahead, besides two for each costly one.
 AHEAD = 32
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -255,11 +260,42 @@ def nearest_least(index: DataFrame) -> DataFrame:
     return votes.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b"))
 
 
-def crossing_pairs(index: DataFrame, component: DataFrame) -> DataFrame:
-    """(a, b) of nodes in different components that share enough prefix shingles."""
-    own = index.join(if_small(component), "node", "left").withColumn(
+def with_component(index: DataFrame, component: DataFrame) -> DataFrame:
+    return index.join(if_small(component), "node", "left").withColumn(
         "comp", F.coalesce("comp", "node")
     )
+
+
+def pivot_pairs(index: DataFrame, component: DataFrame, salt: int) -> DataFrame:
+    """(a, b): nodes of shingles in which more than `MANY` components meet, each with a pivot
+    of another component for each of `PIVOTS` hashes."""
+    own = with_component(index, component)
+    met = own.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("nodes"))
+    crowded = met.groupBy("token").agg(F.count(F.lit(1)).alias("comps")).filter(
+        F.col("comps") > MANY
+    )
+    rows = stage(own.join(crowded.select("token"), "token", "left_semi"), "crowded")
+    by_hash = [
+        F.min(F.struct(F.xxhash64("node", F.lit(salt + i)), "node", "n", "comp")).alias(f"h{i}")
+        for i in range(PIVOTS)
+    ]
+    pivots = rows.groupBy("token").agg(*by_hash)
+    pivots = pivots.select(
+        "token", F.posexplode(F.array(*[f"h{i}" for i in range(PIVOTS)])).alias("hash", "p")
+    )
+    votes = (
+        rows.join(pivots, "token")
+        .filter((F.col("comp") != F.col("p.comp")) & within_size("n", "p.n"))
+        .groupBy(F.col("node").alias("a"), "hash", F.col("p.node").alias("b"))
+        .agg(F.count(F.lit(1)).alias("votes"))
+    )
+    best = votes.groupBy("a", "hash").agg(F.max_by("b", F.struct("votes", "b")).alias("b"))
+    return best.select("a", "b").distinct()
+
+
+def crossing_pairs(index: DataFrame, component: DataFrame) -> DataFrame:
+    """(a, b) of nodes in different components that share enough prefix shingles."""
+    own = with_component(index, component)
     open_tokens = (
         own.groupBy("token")
         .agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
@@ -290,12 +326,13 @@ def crossing_pairs(index: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp): the least node that links lead to, for every node with a link.
+    """(node, comp): the least node that links, a pair a row, lead to, for every node with a
+    link.
 
     Large and small stars by turns; every round is written, and edges get fewer and shorter
     until each node points at its least one.
     """
-    edges = stage(links.select("a", "b").distinct(), "edges")
+    edges = stage(links.toDF("a", "b").distinct(), "edges")
     before = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
@@ -328,10 +365,16 @@ def near_duplicates(docs: DataFrame, costly: int = COSTLY, make_set=shingle_set)
     index = stage(lengthened(index, rows, texts, costly, make_set), "prefixes")
 
     links = stage(verified(nearest_least(index), texts, make_set), "links")
-    first = components(links)
-    pairs = crossing_pairs(index, first)
+    comp = components(links)
+    for turn in range(ROUNDS):
+        pairs = pivot_pairs(index, comp, turn * PIVOTS)
+        more = stage(verified(pairs, texts, make_set), "links")
+        if more.isEmpty():
+            break
+        comp = components(comp.union(more))
+    pairs = crossing_pairs(index, comp)
     more = stage(verified(pairs, texts, make_set), "links")
-    comp = components(links.union(more))
+    comp = components(comp.union(more))
 
     own = rows.join(if_small(comp), "node", "left").withColumn(
         "comp", F.coalesce("comp", "node")

@@ -320,6 +320,21 @@ def test_ngram_join_of_chains_and_shared_passages(spark, costly):
     assert sorted(tuple(r) for r in got) == brute_components(rows)
 
 
+def test_ngram_join_of_copies_edited_apart(spark):
+    """Copies of one text that are near to some of the others only."""
+    rng, rows = random.Random(5), []
+    for i in range(60):
+        words = prose(300, 150).split()
+        for _ in range(rng.randrange(2, 6)):
+            words[rng.randrange(len(words))] = f"y{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    sizes = Counter(c for _, _, c in brute_components(rows))
+    assert 1 < len(sizes) < 60
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.near_duplicates(table).drop("text_key").collect()
+    assert sorted(tuple(r) for r in got) == brute_components(rows)
+
+
 def test_keep_one(docs):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
