@@ -15,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casestats.llm.common import free_name, if_small, stage
+from casestats.llm.common import free_name, stage
 
 MAX_RATIO = 0.1
 MIN_PAGES = 10
+# Line keys (16 bytes each) and hosts up to which the lists are broadcast.
+BROADCAST_KEYS = 500_000
 
 
 def lines(text: Column) -> Column:
@@ -67,7 +69,10 @@ def drop_boilerplate(
     text = F.col(text_col)
     bad_host, bad, kept = (free_name(pages, f"_{x}") for x in ("bad_host", "bad", "kept"))
     lists = stage(boilerplate(pages, host, text, max_ratio, min_pages), "boilerplate")
-    lists = if_small(lists.withColumnsRenamed({"host": bad_host, "bad": bad}), 20_000)
+    lists = lists.withColumnsRenamed({"host": bad_host, "bad": bad})
+    keys = lists.agg(F.sum(F.size(bad) + 1)).first()[0]
+    if (keys or 0) <= BROADCAST_KEYS:
+        lists = F.broadcast(lists)
     keep = F.filter(
         lines(text),
         lambda x: F.col(bad).isNull() | ~F.array_contains(F.col(bad), line_key(x)),
