@@ -12,7 +12,8 @@ first |x| - ceil(0.8 |x|) + 1 (the prefix).
    group of copies becomes one component by as many checks as it has members.
    Where many components still meet in a shingle (copies edited apart, each near to some of
    the others only), rounds of pivots follow: the least by several hashes, for each node the
-   pivot of each hash it shares most shingles with.
+   pivot of each hash it shares most shingles with. Texts are read only for pairs whose
+   first prefixes, which stand next to the texts, share enough.
 4. Pairs that share a prefix shingle but are in different components yet are counted; a pair
    needs as many shared prefix shingles as its sizes and prefixes demand before its texts are
    compared exactly. What passes is linked, so no link between components is missed.
@@ -236,10 +237,26 @@ def verified(pairs: DataFrame, texts: DataFrame, make_set=shingle_set) -> DataFr
 
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.select("a", "b").join(a, "a").join(b, "b")
+    rows = stage(plausible(pairs, texts), "plausible").join(a, "a").join(b, "b")
     return rows.mapInPandas(kept, "a long, b long")
 
 
+def needed_prefix(n: str, m: str):
+    """Prefix shingles that linked sets of sizes n and m share at least: those that share s
+    of them share at most s + |x| - |prefix| in all."""
+    overlap = F.ceil(4 * (F.col(n).cast("long") + F.col(m)) / 9)
+    return F.greatest(overlap - F.ceil(4 * F.greatest(n, m) / 5) + 1, F.lit(1))
+
+
+def plausible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The (a, b) of `pairs` whose prefixes in the order of hashes share enough shingles."""
+    a = texts.select(F.col("node").alias("a"), "n", F.col("prefix").alias("prefix_a"))
+    b = texts.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("prefix").alias("prefix_b"))
+    met = F.size(F.array_intersect("prefix_a", "prefix_b"))
+    rows = pairs.select("a", "b").join(a, "a").join(b, "b")
+    return rows.filter(met >= needed_prefix("n", "m")).select("a", "b")
+
+
 def within_size(a: str, b: str):
     small, large = F.least(a, b), F.greatest(a, b)
     return 5 * small.cast("long") >= 4 * large.cast("long")
@@ -309,16 +326,12 @@ def crossing_pairs(index: DataFrame, component: DataFrame) -> DataFrame:
         F.col("n").alias("m"),
         F.col("comp").alias("comp_b"),
     )
-    n = F.greatest("n", "m")
-    overlap = F.ceil(4 * (F.col("n").cast("long") + F.col("m")) / 9)
-    # Sets that share s prefix shingles share at most s + |x| - |prefix| in all.
-    needed = F.greatest(overlap - F.ceil(4 * n / 5) + 1, F.lit(1))
     return (
         rows.join(other, "token")
         .filter(
             (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & within_size("n", "m")
         )
-        .groupBy(F.col("node").alias("a"), "b", needed.alias("needed"))
+        .groupBy(F.col("node").alias("a"), "b", needed_prefix("n", "m").alias("needed"))
         .agg(F.count(F.lit(1)).alias("met"))
         .filter(F.col("met") >= F.col("needed"))
         .select("a", "b")
@@ -392,19 +405,21 @@ def near_duplicates(docs: DataFrame, costly: int = COSTLY, make_set=shingle_set)
 
 
 def texts_of(source: DataFrame, having: DataFrame, make_set=shingle_set) -> DataFrame:
-    """(node, text): the text of the row with id `id` that has the node's set."""
+    """(node, text, n, prefix): the text of the row with id `id` that has the node's set."""
     having = having.withColumnRenamed("id", "_id")
     rows = source.join(having, source["id"].eqNullSafe(F.col("_id")))
 
     def right(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in slices(batches):
-            keys = [
-                xxhash.xxh3_64_intdigest(make_set(t).tobytes()) - (1 << 63)
-                for t in batch["text"]
-            ]
-            yield batch.loc[batch["node"].to_numpy("int64") == np.array(keys, "int64"), ["node", "text"]]
-
-    return rows.mapInPandas(right, "node long, text string").dropDuplicates(["node"])
+            sets = [make_set(t) for t in batch["text"]]
+            keys = [xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) for own in sets]
+            out = batch[["node", "text"]].copy()
+            out["n"] = np.array([len(own) for own in sets], "int32")
+            out["prefix"] = [own[: prefix_length(len(own))] for own in sets]
+            yield out[batch["node"].to_numpy("int64") == np.array(keys, "int64")]
+
+    schema = "node long, text string, n int, prefix array<long>"
+    return rows.mapInPandas(right, schema).dropDuplicates(["node"])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
