@@ -127,8 +127,10 @@ def lengthened(
     In the order (costly last, hash) a node needs its first |prefix| shingles. It is given
     shingles beyond its prefix, twice as many as the costly ones and `AHEAD` more; shingles
     costly among these are left out as well. A node for which that is too few is given all
-    its shingles, until every node has enough. What a node without costly ones shares with it
-    is within both first prefixes, so those stay as they are.
+    its shingles, until every node has enough. Its first prefix counts in full: what no other
+    node has in its first prefix may lie beyond the first prefix of one that was lengthened.
+    What a node without costly ones shares with it is within both first prefixes, so those
+    stay as they are.
     """
     dear = stage(costly_tokens(index, costly), "costly")
     if dear.isEmpty():
@@ -143,7 +145,7 @@ def lengthened(
     more = texts.join(if_small(touched), "node").withColumn("reach", reach)
     more = stage(tokens(more, make_set), "longer_prefixes").withColumn("every", F.lit(False))
     first = dear
-    own = rows.select("node", F.explode("prefix").alias("token"))
+    own = rows.select("node", "n", F.explode("prefix").alias("token"))
     own = own.join(if_small(touched.select("node")), "node", "left_semi")
     while True:
         dear = stage(dear.union(costly_tokens(more, costly)).distinct(), "costly")
@@ -186,6 +188,7 @@ def lengthened(
     return (
         index.join(if_small(first), "token", "left_anti")
         .select(columns)
+        .unionByName(own.join(marker, "token", "left_anti").select(columns))
         .unionByName(some.select(columns))
         .unionByName(whole.select(columns))
         .distinct()

@@ -335,6 +335,19 @@ def test_ngram_join_of_copies_edited_apart(spark):
     assert sorted(tuple(r) for r in got) == brute_components(rows)
 
 
+def test_ngram_join_of_templated_texts(spark):
+    """Short texts with one beginning that differ by a few last words."""
+    rng, rows = random.Random(8), []
+    for template in ("one two three four five six seven", prose(400, 9), prose(401, 14)):
+        for _ in range(150):
+            text = f"{template} z{rng.randrange(10**6)}"
+            rows += [text, f"{text} z{rng.randrange(10**6)}"]
+    rows = list(enumerate(rows))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.near_duplicates(table).drop("text_key").collect()
+    assert sorted(tuple(r) for r in got) == brute_components(rows)
+
+
 def test_keep_one(docs):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
