@@ -483,6 +483,92 @@ def test_license_scan(spark):
     assert {r.n_sentences for r in got if r.doc_id in (4, 5)} == {0}
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 A. Name
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+"""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_NAME = """
+3. Neither the name of Some Institute of Names nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE
+"""
+GPL_NOTICE = """    This program is free software{} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{} either version {} of the License, or
+    (at your option) any later version.
+"""
+UNLICENSE_TEXT = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_license_scan_of_wrapped_texts(spark):
+    gpl_3, gpl_2 = GPL_NOTICE.format(":", ",", 3), GPL_NOTICE.format(";", ";", 2)
+    expected = [
+        (MIT_TEXT, "MIT"), (BSD_TEXT, "BSD-2-Clause"), (BSD_TEXT + BSD_NAME, "BSD-3-Clause"),
+        (ISC_TEXT, "ISC"), (gpl_3, "GPL-3.0-or-later"), (gpl_2, "GPL-2.0-or-later"),
+        (gpl_3.replace("GNU General", "GNU Affero General"), "AGPL-3.0-or-later"),
+        (gpl_2.replace("GNU General", "GNU Lesser General").replace("version 2", "version 2.1"),
+            "LGPL-2.1-or-later"),
+        (UNLICENSE_TEXT, "Unlicense"), (APACHE_NOTICE, "Apache-2.0"), (MPL_NOTICE, "MPL-2.0"),
+    ]
+    commented = [("".join(f" * {x}\n" for x in t.split("\n")), name) for t, name in expected]
+    unwrapped = [(re.sub(r"(?<!\n)\n *(?!\n)", " ", t), name) for t, name in expected]
+    apart = [(t.replace("of", "\n\nof", 1).replace("Apache", "\n\n"), "") for t in (MIT_TEXT, APACHE_NOTICE)]
+    every = [*expected, *commented, *unwrapped, *apart]
+    rows = [(i, t) for i, (t, _) in enumerate(every)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.licenses for r in sorted(got)] == [name for _, name in every]
+    known = {**licenses.SENTENCES, **licenses.TEXTS}
+    assert all(any(h in s for h in licenses.HINTS) for s in known)
+
+
 def test_empty_tables(spark, empty):
     items = spark.createDataFrame([(1, "some words")], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
