@@ -57,9 +57,10 @@ def op6_ngram_jaccard_join(spark, sf_dir):
 
 
 def op7_token_output(spark, sf_dir):
-    """The place and check sums of every sequence that was written."""
+    """The place and check sums of every sequence of BPE ids that was written."""
     ready(spark)
-    out = token_output.materialised(table(spark, sf_dir, "documents"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = token_output.materialised(table(spark, sf_dir, "documents"), path)
     return out.select(
         "slot", "shard", "row", "doc_id", "part", "n_ids",
         F.octet_length("ids").cast("long").alias("stride"),

@@ -1,7 +1,8 @@
 """Training-order materialisation of token ids.
 
-Every text becomes byte tokens (its UTF-8 bytes, then END), cut into sequences of `length`
-ids, the last one filled with PAD. Sequences get dense numbers by (bucket, doc_id, text,
+Ids of any vocabulary, of a fixed number of bytes each, are written by `write_ids`; `bpe_ids`
+makes those of a byte-level BPE vocabulary, `byte_ids` the UTF-8 bytes of a text. Every text's
+ids, then END, are cut into sequences of `length` ids, the last one filled with PAD. Sequences get dense numbers by (bucket, doc_id, text,
 part); a keyed Feistel network with cycle-walking maps number to slot, a permutation of
 0..N-1. Slots are range-partitioned into shards of `per_shard` rows: sequence `slot` is row
 `slot % per_shard` of shard `slot // per_shard`, every row has the same length, so a reader
@@ -13,14 +14,17 @@ their own. An empty table writes no shard.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casestats.llm.common import keyed, new_path
+from casestats.llm import bpe
+from casestats.llm.common import keyed, new_path, slices, stage
 
 # Bytes that UTF-8 never uses.
 END, PAD = 0xFF, 0xFE
@@ -59,16 +63,42 @@ def permuted(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype("int64")
 
 
-def numbered(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
-    """Rows with their bytes and the number of their first sequence; how many there are."""
+def byte_ids(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, ids): UTF-8 bytes and END."""
     data = F.concat(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.lit(bytes([END])))
-    size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
-    rows = keyed(docs).select(
+    return keyed(docs).select("doc_id", "text_key", data.alias("ids"))
+
+
+def bpe_ids(docs: DataFrame, vocabulary_file: str) -> tuple[DataFrame, int, int, int]:
+    """(doc_id, text_key, ids) in a vocabulary, bytes an id (2 or 4, little-endian), END and
+    PAD: the two ids after the greatest one of the vocabulary."""
+    said = json.loads(Path(vocabulary_file).read_text())
+    known = [*said["model"]["vocab"].values(), *(t["id"] for t in said["added_tokens"])]
+    end, pad = max(known) + 1, max(known) + 2
+    width = 2 if pad < 1 << 16 else 4
+
+    vocabulary = docs.sparkSession.sparkContext.broadcast(json.dumps(said))
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = bpe.coder(vocabulary.value)
+        for batch in slices(batches):
+            out = batch[["doc_id", "text_key"]].copy()
+            ids = (np.append(np.frombuffer(own.encode_text(t or ""), "<u4"), end) for t in batch["text"])
+            out["ids"] = [x.astype(f"<u{width}").tobytes() for x in ids]
+            yield out
+
+    ids = keyed(docs).mapInPandas(packed, "doc_id long, text_key long, ids binary")
+    return ids, width, end, pad
+
+
+def numbered(ids: DataFrame, stride: int) -> tuple[DataFrame, int]:
+    """Rows with the number of their first sequence of `stride` bytes; how many there are."""
+    rows = ids.select(
         "doc_id",
         "text_key",
         F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(BUCKETS)).alias("bucket"),
-        F.ceil(size / length).alias("parts"),
-        data.alias("data"),
+        F.ceil(F.octet_length("ids") / stride).alias("parts"),
+        F.col("ids").alias("data"),
     )
     totals = rows.groupBy("bucket").agg(F.sum("parts").alias("parts")).collect()  # BUCKETS rows
     start, at = [0] * BUCKETS, 0
@@ -87,8 +117,23 @@ def numbered(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
 def write_shards(
     docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY
 ) -> int:
-    """Write the shards under `path`; returns how many sequences there are."""
-    rows, n = numbered(docs, length)
+    """Write the byte tokens of texts; returns how many sequences there are."""
+    return write_ids(byte_ids(docs), path, 1, PAD, length, per_shard, key)
+
+
+def write_ids(
+    ids: DataFrame,
+    path: str,
+    width: int,
+    pad: int,
+    length: int = LENGTH,
+    per_shard: int = PER_SHARD,
+    key: int = KEY,
+) -> int:
+    """Write the shards of (doc_id, text_key, ids of `width` bytes each) under `path`; returns
+    how many sequences there are."""
+    stride = length * width
+    rows, n = numbered(ids, stride)
 
     @F.pandas_udf("long")
     def slot_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -97,17 +142,17 @@ def write_shards(
 
     chunk = F.transform(
         F.sequence(F.lit(0), F.col("parts").cast("int") - 1),
-        lambda i: F.substring(F.col("data"), i * length + 1, length),
+        lambda i: F.substring(F.col("data"), i * stride + 1, stride),
     )
-    pad = F.lit(bytes([PAD]) * 1)
+    filler = F.lit(pad.to_bytes(width, "little"))
     sequences = rows.select(
         "doc_id", "first", F.posexplode(chunk).alias("part", "ids")
     ).select(
         slot_of(F.col("first") + F.col("part")).alias("slot"),
         "doc_id",
         "part",
-        F.length("ids").alias("n_ids"),
-        F.rpad("ids", length, pad).alias("ids"),
+        (F.length("ids") / width).cast("int").alias("n_ids"),
+        F.rpad("ids", stride, filler).alias("ids"),
     )
     (
         sequences.withColumn("shard", F.floor(F.col("slot") / per_shard))
@@ -133,11 +178,17 @@ def read_shards(
     )
 
 
-def materialised(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
-    """Write shards to the shared folder and read them back."""
+def materialised(
+    docs: DataFrame, vocabulary_file: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD
+) -> DataFrame:
+    """Write shards, of BPE ids if a vocabulary is given, to the shared folder and read them back."""
     spark = docs.sparkSession
     path = new_path(spark, "token_shards")
-    if write_shards(docs, path, length, per_shard) == 0:
+    ids, width, pad = byte_ids(docs), 1, PAD
+    if vocabulary_file is not None:
+        ids, width, _, pad = bpe_ids(docs, vocabulary_file)
+        ids = stage(ids, "token_ids")  # counted and cut; encoded once
+    if write_ids(ids, path, width, pad, length, per_shard) == 0:
         return spark.createDataFrame(
             [], "slot long, doc_id long, part int, n_ids int, ids binary, row int, shard long"
         )

@@ -388,6 +388,24 @@ def test_token_output(spark, docs):
     assert [bytes(r.ids) for r in both] == [bytes(r.ids) for r in rows]
 
 
+def test_token_output_of_bpe_ids(spark, docs, tokenizer):
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    path = common.new_path(spark, "test_shards")
+    ids, width, end, pad = token_output.bpe_ids(docs, file)
+    assert (width, end, pad) == (2, tokenizer.get_vocab_size(), tokenizer.get_vocab_size() + 1)
+    n = token_output.write_ids(ids, path, width, pad, length=128, per_shard=16)
+    rows = token_output.read_shards(spark, path, per_shard=16).orderBy("slot").collect()
+    assert [r.slot for r in rows] == list(range(n)) and {len(r.ids) for r in rows} == {256}
+    for i, text in enumerate(texts()):
+        if i == 3:  # stands twice
+            continue
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.part)
+        found = np.concatenate([np.frombuffer(bytes(r.ids), "<u2") for r in own]).tolist()
+        expected = [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]
+        assert found == expected + [pad] * (-len(expected) % 128)
+        assert sum(r.n_ids for r in own) == len(expected)
+
+
 # 8
 
 
