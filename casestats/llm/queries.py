@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casestats.llm import (
     bpe,
     decontamination,
+    hard_negatives,
     licenses,
     line_dedup,
     ngram_join,
@@ -94,6 +95,16 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark, sf_dir):
+    ready(spark)
+    vec_id, label = F.col("vec_id"), F.col("label")
+    return hard_negatives.mine(
+        table(spark, sf_dir, "embeddings"),
+        is_anchor=vec_id % 100 == 0,
+        label=F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -107,6 +118,7 @@ QUERIES = {
         op8_sharding,
         op9_bpe,
         op10_license_scan,
+        op12_hard_negatives,
     )
 }
 
@@ -160,6 +172,27 @@ k AS (
 SELECT doc_id, source, count(*) AS n_lines, CAST(sum(dropped::INT) AS BIGINT) AS n_dropped,
   coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '') AS text
 FROM k GROUP BY doc_id, source
+""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (
+    PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
 """,
 }
 
