@@ -17,6 +17,7 @@ from casestats.llm import (
     suffix_dedup,
     token_output,
     toxicity,
+    variants,
 )
 from casestats.llm.common import ready, table
 
@@ -105,6 +106,12 @@ def op12_hard_negatives(spark, sf_dir):
     )
 
 
+def op13_spelling_variants(spark, sf_dir):
+    ready(spark)
+    words = variants.count_words(table(spark, sf_dir, "documents"), variants.misspelt)
+    return variants.group_variants(words)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -119,6 +126,7 @@ QUERIES = {
         op9_bpe,
         op10_license_scan,
         op12_hard_negatives,
+        op13_spelling_variants,
     )
 }
 
