@@ -12,6 +12,7 @@ from casestats.llm import (
     licenses,
     line_dedup,
     ngram_join,
+    packing,
     sharding,
     spotsigs,
     suffix_dedup,
@@ -96,6 +97,12 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark, sf_dir):
+    ready(spark)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), path, F.col("source"))
+
+
 def op12_hard_negatives(spark, sf_dir):
     ready(spark)
     vec_id, label = F.col("vec_id"), F.col("label")
@@ -125,6 +132,7 @@ QUERIES = {
         op8_sharding,
         op9_bpe,
         op10_license_scan,
+        op11_packing,
         op12_hard_negatives,
         op13_spelling_variants,
     )
