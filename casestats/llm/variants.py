@@ -36,7 +36,7 @@ MIN_LENGTH, MIN_COUNT = 5, 3
 # Letters by how often they occur in the languages of the corpus, dealt in turn to the classes.
 BY_USE = "etaoinshrdlcumwfgypbvkjxqz"
 ACCENTED = "".join(map(chr, range(0xC0, 0x100)))
-PARTS = 5
+PARTS = 4
 
 HELD = 300_000
 
