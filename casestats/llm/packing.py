@@ -25,7 +25,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
@@ -36,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casestats.llm.bpe import PLAIN, _byte_letters
 from casestats.llm.common import stage
 
 LENGTH, PACKET, END = 4096, 512, 2
@@ -45,11 +48,16 @@ UNITS = 1 << 16
 # Rounds whose packets are ordered together, and bands whose sums are.
 BAND, BANDS = 256, 4096
 
-# Words that a worker remembers, and their greatest size in bytes.
-WORDS, WORD_BYTES = 400_000, 48
+# Words that a worker remembers, and their greatest size.
+WORDS, WORD_SIZE = 500_000, 48
 
-# Fixed value: how the vocabulary cuts words. White space is dropped, so words on either side of
-# it are encoded apart from each other.
+# Stands for the end of a word; texts of `PLAIN` characters have none.
+WORD_END = "\0"
+# Words as the vocabulary cuts them, in texts of these characters alone and in lower case.
+CUT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s0-9a-zß-öø-ÿ]+")
+
+# Fixed value: how the vocabulary cuts words. White space is dropped, so what stands on either
+# side of it is encoded apart.
 DROPS_WHITE_SPACE = {
     "type": "Split",
     "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
@@ -68,9 +76,12 @@ PIECES = (
 
 
 class Words(dict):
-    """Ids (little-endian, of `dtype`) by word, encoded when first met."""
+    """Ids (little-endian, of `dtype`) by word, encoded when first met.
+
+    `merges` says that the vocabulary's merges are settled, see `settled`.
+    """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, merges: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,31 +89,36 @@ class Words(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         said = json.loads(vocabulary)
-        self.apart = _words_apart(said)
+        self.apart = words_apart(said)
+        self.special = [t["content"] for t in said["added_tokens"]]
+        self.merger = _merger(said) if merges and self.apart else None
         greatest = max(self.tokenizer.get_vocab_size(), END + 1)
-        self.dtype = "<u2" if greatest <= 1 << 16 else "<u4"
+        self.dtype, self.code = ("<u2", "H") if greatest <= 1 << 16 else ("<u4", "I")
 
-    def encode(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, self.dtype).tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.encode(word.decode())
-        if len(word) <= WORD_BYTES:
+    def __missing__(self, word: str | bytes) -> bytes:
+        """A word as the vocabulary cuts it, or in bytes whatever stands between white space."""
+        if isinstance(word, str):
+            ids = self.merger.encode_ordinary(word + WORD_END)
+        else:
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        found = array(self.code, ids).tobytes()
+        if len(word) <= WORD_SIZE:
             if len(self) >= WORDS:
                 self.clear()
-            self[word] = ids
-        return ids
+            self[word] = found
+        return found
 
     def ids(self, text: str) -> np.ndarray:
-        if self.apart:
-            found = b"".join(map(self.__getitem__, text.encode().split()))
+        if not self.apart:
+            words = [text.encode()]
+        elif self.merger and PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            words = CUT.findall(text.lower())
         else:
-            found = self.encode(text)
-        return np.frombuffer(found, self.dtype)
+            words = text.encode().split()
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), self.dtype)
 
 
-def _words_apart(said: dict) -> bool:
+def words_apart(said: dict) -> bool:
     """Whether words between ASCII white space are encoded each for itself."""
     cuts = said["pre_tokenizer"] or {}
     normal = [n["type"] for n in (said["normalizer"] or {}).get("normalizers", [])]
@@ -119,24 +135,82 @@ def _words_apart(said: dict) -> bool:
     )
 
 
+def settled(said: dict) -> bool:
+    """Whether merging any neighbours that make a token, lowest id first, gives what the listed
+    merges give.
+
+    It does if merges stand in the order of their ids and each token, cut into letters and
+    merged by itself, becomes one token: two parts of a token that meet have then been merged
+    as they are in the token alone, so they are the listed pair.
+    """
+    model = said["model"]
+    end, ids = model.get("end_of_word_suffix"), model["vocab"]
+    if model["type"] != "BPE" or not end or model.get("ignore_merges") or model.get("dropout"):
+        return False
+    merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    rank = {pair: n for n, pair in enumerate(merges)}
+    at = [ids["".join(pair)] for pair in merges]
+    letters = [t for t in ids if len(t.removesuffix(end)) <= 1]
+    if at != sorted(set(at)) or max((ids[t] for t in letters), default=0) >= at[0]:
+        return False
+    never = len(merges)
+    for pair in merges:
+        token = "".join(pair)
+        parts = list(token.removesuffix(end))
+        if token.endswith(end):
+            parts[-1] += end
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda k: rank.get((parts[k], parts[k + 1]), never))
+            if (parts[best], parts[best + 1]) not in rank:
+                return False
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    return True
+
+
+def _merger(said: dict):
+    """The vocabulary for a library that merges by id alone: a word's end is a character that
+    no word has, and takes part in the first merge."""
+    import tiktoken
+
+    end = said["model"]["end_of_word_suffix"]
+    back = {c: b for b, c in _byte_letters().items()}
+    ranks = {
+        bytes(back[c] for c in t.removesuffix(end)) + WORD_END.encode() * t.endswith(end): i
+        for t, i in said["model"]["vocab"].items()
+    }
+    pattern = f"[^{WORD_END}]+{WORD_END}"
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 _words: dict[int, Words] = {}
+_settled: dict[int, bool] = {}
 
 
-def words_of(vocabulary: str) -> Words:
+def words_of(vocabulary: str, merges: bool) -> Words:
     """One per worker and vocabulary."""
     key = zlib.crc32(vocabulary.encode())
     if key not in _words:
         _words.clear()
-        _words[key] = Words(vocabulary)
+        _words[key] = Words(vocabulary, merges)
     return _words[key]
 
 
+def read_vocabulary(file: str) -> tuple[str, bool]:
+    """A vocabulary file's text, and whether its merges are settled (looked at on the driver,
+    once)."""
+    text = Path(file).read_text(encoding="utf-8")
+    key = zlib.crc32(text.encode())
+    if key not in _settled:
+        _settled[key] = settled(json.loads(text))
+    return text, _settled[key]
+
+
 def packets(
     docs: DataFrame, vocabulary_file: str, source: Column, packet: int = PACKET, end: int = END
 ) -> DataFrame:
     """Each document's ids and the closing one in packets. `sent` counts the tokens of the
     packet's source earlier in the same part."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Path(vocabulary_file).read_text())
+    vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_file))
     schema = pa.schema(
         [
             ("packet", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()),
@@ -146,7 +220,7 @@ def packets(
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part = words_of(vocabulary.value), TaskContext.get().partitionId()
+        own, part = words_of(*vocabulary.value), TaskContext.get().partitionId()
         number, sent = part << 33, Counter()
         rows, held = [], 0
         for batch in batches:
@@ -272,7 +346,8 @@ def pack(
     cut = stage(packets(docs, vocabulary_file, source, packet), "packets")
     total = cut.agg(F.sum("size")).first()[0] or 0
     last = borders(total, length)
-    full, dtype = total // length, words_of(Path(vocabulary_file).read_text()).dtype
+    full = total // length
+    dtype = words_of(*read_vocabulary(vocabulary_file)).dtype
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = [*last[1:], total]
