@@ -39,6 +39,7 @@ ACCENTED = "".join(map(chr, range(0xC0, 0x100)))
 PARTS = 4
 
 HELD = 300_000
+TASK_WORDS = 20_000
 
 # Which of a document's words is misspelt, and where.
 Change = Callable[[str, str], str]
@@ -144,7 +145,9 @@ def group_variants(words: DataFrame, parts: int = PARTS) -> DataFrame:
     form.
     """
     words = stage(words, "words")
-    pairs = near_words(words, parts)
+    # Words are few bytes but make many signatures: small tasks, however few files there are.
+    dealt = words.repartition(1 + words.count() // TASK_WORDS)
+    pairs = near_words(dealt, parts)
     both = pairs.select("a", "na", "b", "nb").union(pairs.select("b", "nb", "a", "na"))
     near = (
         both.groupBy(F.col("a").alias("word"), F.col("na").alias("n"))
