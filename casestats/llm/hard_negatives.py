@@ -289,9 +289,11 @@ def mine(
 
 
 def _hundredth(factor: int) -> Column:
-    """floor(factor * positive_score / 100) in whole numbers."""
-    x = f"({factor} * positive_score)"
-    return F.expr(f"({x} - pmod({x}, 100)) div 100")
+    """floor(factor * positive_score / 100) in whole numbers, of whole hundreds and the rest."""
+    rest = "pmod(positive_score, 100)"
+    return F.expr(
+        f"(positive_score - {rest}) div 100 * {factor} + cast(floor({factor} * {rest} / 100) AS long)"
+    )
 
 
 def _answer(negatives: int) -> Column:

@@ -268,7 +268,8 @@ def credits(cut: DataFrame, targets: DataFrame | None, length: int) -> DataFrame
         )
         named = totals.join(wanted, F.col("source").eqNullSafe(F.col("_source")), "left")
         given = F.col("wanted") > 0
-        refused = F.raise_error(F.concat(F.lit("no target for "), "source")).cast("double")
+        name = F.coalesce("source", F.lit("NULL"))
+        refused = F.raise_error(F.concat(F.lit("no target for "), name)).cast("double")
         totals = named.select("source", F.when(given, F.col("wanted")).otherwise(refused).alias("target"))
     whole = totals.agg(F.sum("target").alias("target")).scalar()
     quantum = F.floor(F.col("target") / whole * (length * UNITS)).cast("long")
