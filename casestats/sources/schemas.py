@@ -22,6 +22,17 @@ CASE_TABLES = {
     "documento_conteudo": "id_documento BIGINT, conteudo STRING",
 }
 
+# Tables that grow with the cases, and the number by which a database splits them.
+SPLIT_KEYS = {
+    "protocolo": "id_protocolo",
+    "procedimento": "id_procedimento",
+    "atividade": "id_atividade",
+    "anexo": "id_unidade",
+    "documento": "id_documento",
+    "documento_conteudo": "id_documento",
+    "usuario": "id_usuario",
+}
+
 # Kept in a second database. `acesso_orgao` is that database's own list of
 # organisations, renamed so that it does not hide the case-file one; its short name is
 # called `sigla` here too.
@@ -84,6 +95,20 @@ MARTS = {
         "orgao STRING, unidade_atual STRING, tipo_processo STRING, atribuido STRING, "
         "dias_unidade BIGINT, atividades BIGINT"
     ),
+    # Open activities with the assignee (`nivel` 0) and without (`nivel` 1)
+    "open_activity_rollup": (
+        "nivel INT, orgao STRING, unidade_atual STRING, tipo_processo STRING, "
+        "atribuido STRING, dias_unidade BIGINT, atividades BIGINT"
+    ),
+    "days_in_unit_totals": (
+        "orgao STRING, unidade_atual STRING, tipo_processo STRING, dias_unidade BIGINT, "
+        "atividades BIGINT"
+    ),
+    # Sets of process numbers: a bit for each number of a bucket
+    "open_process_bitmaps": (
+        "orgao_atual STRING, unidade_atual STRING, tipo_processo STRING, balde BIGINT, "
+        "mapa BINARY"
+    ),
     "stock_daily": (
         "orgao STRING, unidade STRING, tipo_processo STRING, atividade STRING, "
         "data DATE, qtde BIGINT"

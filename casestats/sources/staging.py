@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+MANIFEST = "run STRING, name STRING, path STRING, written_at TIMESTAMP"
 
-def require_shared(folder: str, master: str) -> None:
-    """Refuse a folder on each machine's own disk, unless all runs on one machine."""
-    if folder.startswith("file:") and not master.startswith("local"):
+
+def require_shared(folder: str, master: str, default_fs: str = "") -> None:
+    """Refuse a folder on each machine's own disk, unless all runs on one machine.
+
+    A path without a scheme lies where the cluster's default file system is.
+    """
+    scheme = urlsplit(folder).scheme or urlsplit(default_fs).scheme
+    if scheme == "file" and not master.startswith("local"):
         raise ValueError(f"{CHECKPOINT_DIR} is {folder}: executors would not share it")
 
 
@@ -23,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if folder:
-        require_shared(folder, spark.sparkContext.master)
+        require_shared(folder, spark.sparkContext.master, default_file_system(spark))
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
@@ -33,7 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def default_file_system(spark: SparkSession) -> str:
+    return spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or ""
+
+
+def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     A lost executor then costs a re-read instead of a rebuild. The written table has a
@@ -41,6 +53,74 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     both sides itself, which is the shape in which adaptive execution splits a hot key.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/casestats/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(spark) + '/casestats'}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Staging:
+    """Intermediate tables of one run. Its manifest lists what it wrote; `close` deletes that.
+
+    A run that was cut off leaves its folder and manifest behind: see `abandoned`.
+    """
+
+    def __init__(self, spark: SparkSession, run: str | None = None):
+        self.spark = spark
+        self.run = run or uuid.uuid4().hex
+        self.folder = f"{shared_dir(spark)}/casestats/runs/{self.run}"
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        written = stage(df, name, self.folder)
+        entry = self.spark.range(1).select(
+            F.lit(self.run).alias("run"),
+            F.lit(name).alias("name"),
+            F.lit(self.folder).alias("path"),
+            F.current_timestamp().alias("written_at"),
+        )
+        entry.write.parquet(f"{self.folder}/manifest/{name}-{uuid.uuid4().hex}")
+        return written
+
+    def manifest(self) -> DataFrame:
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest/*")
+
+    def close(self) -> None:
+        delete(self.spark, self.folder)
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+def abandoned(spark: SparkSession, older_than_hours: float = 48) -> list[str]:
+    """Delete the folders of runs that wrote nothing for so long; their names."""
+    root = f"{shared_dir(spark)}/casestats/runs"
+    runs = [run for run in folders(spark, root) if folders(spark, f"{root}/{run}/manifest")]
+    if not runs:
+        return []
+    manifests = spark.read.schema(MANIFEST).parquet(*[f"{root}/{run}/manifest/*" for run in runs])
+    last = F.unix_timestamp(F.max("written_at"))
+    seconds = F.unix_timestamp(F.current_timestamp()) - last
+    old = manifests.groupBy("path").agg(seconds.alias("seconds"))
+    gone = [r.path for r in old.filter(F.col("seconds") >= older_than_hours * 3600).collect()]
+    for folder in gone:
+        delete(spark, folder)
+    return gone
+
+
+def _file_system(spark: SparkSession, folder: str):
+    """The Hadoop file system of a folder, whichever store that is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    fs, path = _file_system(spark, folder)
+    fs.delete(path, True)
+
+
+def folders(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder."""
+    fs, path = _file_system(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []

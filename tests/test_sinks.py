@@ -106,7 +106,8 @@ def test_jdbc_options():
     }
     ddl = CASE_TABLES["protocolo"]
     assert jdbc_options(source, "protocolo", ddl) == {
-        "url": "jdbc:x:y", "fetchsize": "10000", "dbtable": "protocolo", "customSchema": ddl,
+        "url": "jdbc:x:y", "fetchsize": "10000", "dbtable": "protocolo",
+        "customSchema": ddl.replace("TIMESTAMP", "TIMESTAMP_NTZ"), "preferTimestampNTZ": "true",
         "partitionColumn": "id_protocolo", "lowerBound": "0", "upperBound": "1000000000",
         "numPartitions": "200",
     }
