@@ -16,17 +16,18 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import oracle_queries
 from casestats.fixed_values import ALL_ORGS, ALL_TYPES, ALL_UNITS
 from casestats.functions import dates
+from casestats.functions.digest import table_digest
 from casestats.functions.stats import median_of
 from casestats.functions.text import number_text
 from casestats.operators import filters
 from casestats.operators.lookups import with_unit
-from casestats.operators.paging import table_page
+from casestats.operators.paging import next_cursor, numbered, table_page, table_page_after
 from casestats.plans import access, analysis, evolution, indicators, stock
 from casestats.plans.marts import LazyMarts
 from casestats.session import configure
 from casestats.sinks.csv import MOVEMENTS, export_csv, read_export
 from casestats.sinks.marts import build_marts, read_marts
-from casestats.sources import fixtures
+from casestats.sources import fixtures, landing
 from casestats.sources.schemas import MARTS
 from casestats.sources.staging import shared_dir
 from casestats.sources.tables import load_access_tables, load_tables
@@ -34,15 +35,20 @@ from casestats.sources.tables import load_access_tables, load_tables
 try:
     import casestats.llm.queries as llm_queries
     import corpus_pipeline
-except ModuleNotFoundError as missing:  # the subpackage may be left out
+except ImportError as missing:
+    # The subpackage may be left out, and a library it needs may be absent: the other queries
+    # must run without it.
     if missing.name not in ("casestats.llm", "casestats.llm.queries", "corpus_pipeline"):
-        raise
+        print(f"queries on training text are left out: {missing}", file=sys.stderr)
     llm_queries = corpus_pipeline = None
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 AS_OF = fixtures.AS_OF
+# Its numbers of buckets depend on a hash: its sets are compared instead of its rows.
+BITMAPS = "open_process_bitmaps"
 PERIOD = {"start": "2000-01-01", "end": "2000-03-31"}
+RANGE = {"start": "1998-02-10", "end": "1999-01-05"}
 ORG, UNIT, TYPE = "AFRICA", "NATION_5", "2-HIGH"
 
 SCOPES = {
@@ -92,9 +98,13 @@ def queries() -> dict[str, Query]:
         q[name] = lambda spark, sf_dir: build(marts_of(spark, sf_dir))
 
     for name in MARTS:
-        add(name, lambda m, name=name: m[name])
+        if name != BITMAPS:
+            add(name, lambda m, name=name: m[name])
+    add("open_process_sets", _set_sizes)
 
     q["load_tables"] = _loaded_tables
+    q["land_tables"] = _landed_tables
+    q["land_access_tables"] = _landed_access_tables
     q["load_access_tables"] = _loaded_access_tables
     q["write_marts"] = _written_marts
     q["export_csv"] = _exported
@@ -184,12 +194,28 @@ def queries() -> dict[str, Query]:
         ),
     )
 
+    add("table_page_after", _third_page)
+    add("lifetime_by_type_headers", lambda m: indicators.lifetime_by_type(m, ORG, headers=True))
+    add("assignee_time_headers", lambda m: indicators.assignee_time(m, ORG, headers=True))
+    for key, build in {
+        "top_process_types": lambda m: indicators.top_process_types(m, ORG),
+        "lifetime_by_type": lambda m: indicators.lifetime_by_type(m, ORG),
+        "assignee_time": indicators.assignee_time,
+        "weekly_evolution": lambda m: indicators.weekly_evolution(m, ORG),
+        "unit_options": indicators.unit_options,
+        "stock_balance": lambda m: stock.stock_balance(m, **PERIOD),
+        "project_monthly": lambda m: evolution.project_monthly(m, start="1996-01-01"),
+    }.items():
+        add(f"order_{key}", lambda m, build=build: numbered(build(m)))
+
     for key, token in oracle_queries.TOKENS.items():
         q[f"authorized_orgs_{key}"] = partial(_authorized, token=token)
         q[f"restrict_to_orgs_{key}"] = partial(_restricted, token=token)
 
     add("project_weekly", evolution.project_weekly)
     add("project_monthly", lambda m: evolution.project_monthly(m, start="1996-01-01"))
+    add("project_weekly_range", lambda m: evolution.project_weekly(m, **RANGE))
+    add("project_monthly_range", lambda m: evolution.project_monthly(m, **RANGE))
     for plan in (evolution.migration_ranking_weekly, evolution.migration_ranking_monthly):
         add(plan.__name__, lambda m, p=plan: p(m, fixtures.paper_filings(m.tables), AS_OF))
 
@@ -220,36 +246,74 @@ def _new_folder(spark, name):
     return f"{shared_dir(spark)}/casestats/{name}-{uuid.uuid4().hex}"
 
 
-def _row_counts(frames):
-    """One row per frame: its name and how many rows it has."""
-    counts = [
-        df.agg(F.count(F.lit(1)).alias("linhas")).select(F.lit(name).alias("nome"), "linhas")
-        for name, df in frames.items()
-    ]
-    return reduce(DataFrame.unionByName, counts)
+def _digests(frames):
+    """What each frame holds, see `table_digest`."""
+    told = [table_digest(df).select(F.lit(name).alias("nome"), "*") for name, df in frames.items()]
+    return reduce(DataFrame.unionByName, told)
+
+
+def _laid_out(spark, frames, name):
+    """Mapped tables as source files."""
+    folder = _new_folder(spark, name)
+    for table, df in frames.items():
+        df.write.parquet(f"{folder}/{table}.parquet")
+    return folder
 
 
 def _loaded_tables(spark, sf_dir):
-    """Lay the mapped tables out as source files, then load them."""
-    folder = _new_folder(spark, "source")
-    for name, df in marts_of(spark, sf_dir).tables.items():
-        df.write.parquet(f"{folder}/{name}.parquet")
-    return _row_counts(load_tables(spark, folder))
+    tables = marts_of(spark, sf_dir).tables
+    return _digests(load_tables(spark, _laid_out(spark, tables, "source")))
 
 
 def _loaded_access_tables(spark, sf_dir):
     configure(spark)
-    folder = _new_folder(spark, "access")
-    for name, df in fixtures.access_tables(spark, sf_dir).items():
-        df.write.parquet(f"{folder}/{name}.parquet")
-    return _row_counts(load_access_tables(spark, folder))
+    tables = fixtures.access_tables(spark, sf_dir)
+    return _digests(load_access_tables(spark, _laid_out(spark, tables, "access")))
+
+
+def _landed_tables(spark, sf_dir):
+    """The manifest of a landing of the case-file tables."""
+    source = _laid_out(spark, marts_of(spark, sf_dir).tables, "source")
+    return _landing(spark, landing.land, source)
+
+
+def _landed_access_tables(spark, sf_dir):
+    configure(spark)
+    source = _laid_out(spark, fixtures.access_tables(spark, sf_dir), "access")
+    return _landing(spark, landing.land_access, source)
+
+
+def _landing(spark, land, source):
+    path = _new_folder(spark, "landed")
+    told = landing.manifest(spark, path, land(spark, source, path))
+    return told.drop("pouso", "lido_de", "lido_ate").withColumnRenamed("tabela", "nome")
 
 
 def _written_marts(spark, sf_dir):
     configure(spark)
     folder = _new_folder(spark, "marts")
     build_marts(fixtures.case_tables(spark, sf_dir), folder, AS_OF)
-    return _row_counts(read_marts(spark, folder))
+    marts = read_marts(spark, folder)
+    return _digests({name: df for name, df in marts.items() if name != BITMAPS})
+
+
+def _set_sizes(marts):
+    """How many processes each place's sets hold."""
+    return (
+        marts[BITMAPS]
+        .groupBy("orgao_atual", "unidade_atual", "tipo_processo")
+        .agg(F.sum(F.bitmap_count("mapa")).alias("processos"))
+    )
+
+
+def _third_page(marts):
+    """Page by page, each after the last row of the one before."""
+    table = stock.open_process_table(marts)
+    search, sort, cursor = "5-low", [("dias_unidade", False)], None
+    for _ in range(2):
+        shown = table_page_after(table, cursor, search=search, sort=sort).collect()
+        cursor = next_cursor(shown, cursor)
+    return table_page_after(table, cursor, search=search, sort=sort)
 
 
 def _exported(spark, sf_dir):

@@ -60,3 +60,23 @@ EXPORT_HEADERS = {
     "tempo_vida": "Tempo de vida",
     "atribuido": "Atribuído para",
 }
+LIFETIME_HEADERS = {
+    "tipo_processo": "Tipo de processo",
+    "mediana": "Tempo de vida mediano",
+    "desvio": "Diferença com a mediana geral",
+}
+ASSIGNEE_HEADERS = {
+    "atribuido": "Usuário",
+    "tipo_processo": "Tipo de processo",
+    "mediana": "Tempo mediano",
+    "desvio": "Diferença em relação ao tempo mediano",
+}
+# Over the whole administration the median has another header.
+ASSIGNEE_HEADERS_ALL = {
+    "atribuido": "Usuário",
+    "tipo_processo": "Tipo de processo",
+    "mediana": "Tempo de vida mediano",
+}
+
+# Processes of a place that one task numbers
+NUMBERED_TOGETHER = 20_000

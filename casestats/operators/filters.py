@@ -12,6 +12,10 @@ from casestats.fixed_values import ALL_ORGS, ALL_TYPES, ALL_UNITS, WILDCARD
 from casestats.functions.dates import day
 
 
+# Units that a selection names one by one.
+MAX_NAMES = 10_000
+
+
 def scope(
     df: DataFrame,
     orgao: str = ALL_ORGS,
@@ -20,18 +24,27 @@ def scope(
     *,
     subunits: bool = False,
     literal: bool = False,
+    units: DataFrame | None = None,
     org_col: str = "orgao",
     unit_col: str = "unidade",
     type_col: str = "tipo_processo",
 ) -> DataFrame:
     """Rows of the selection. Which org and unit is meant depends on the mart, hence
-    the column arguments."""
+    the column arguments. `units` lists the units of `df`: sub-units are then looked up there
+    once, and the rows are selected by name."""
     parts = []
     if orgao != ALL_ORGS:
         parts.append(F.col(org_col) == orgao)
     if unidade != ALL_UNITS:
-        match = unit_with_subunits(unit_col, unidade, literal) if subunits else None
-        parts.append(unit_exact(unit_col, unidade) if match is None else match)
+        names = None
+        if subunits and units is not None:
+            names = units_matching(units, unit_col, unidade, literal)
+        if names is not None:
+            parts.append(F.col(unit_col).isin(names))
+        elif subunits:
+            parts.append(unit_with_subunits(unit_col, unidade, literal))
+        else:
+            parts.append(unit_exact(unit_col, unidade))
     if tipo != ALL_TYPES:
         parts.append(F.col(type_col) == tipo)
     return df.filter(reduce(and_, parts)) if parts else df
@@ -55,6 +68,19 @@ def unit_with_subunits(unit_col: str, unidade: str, literal: bool = False) -> Co
     return name.contains(unidade) if literal else name.rlike(unidade)
 
 
+def units_matching(
+    units: DataFrame, unit_col: str, unidade: str, literal: bool = False, most: int = MAX_NAMES
+) -> list[str] | None:
+    """Names of the units that match; `None` if there are more than `most`.
+
+    The pattern is tried on each unit instead of each row, and a scan can skip row groups by
+    names, which it can't by a pattern.
+    """
+    found = units.filter(unit_with_subunits(unit_col, unidade, literal)).select(unit_col)
+    names = [r[0] for r in found.distinct().limit(most + 1).collect()]
+    return sorted(names) if len(names) <= most else None
+
+
 def between_dates(date_col: str, start, end) -> Column:
     return F.col(date_col).between(day(start), day(end))
 

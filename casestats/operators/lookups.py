@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casestats.fixed_values import PROCESS
-from casestats.sources.staging import stage
 from casestats.sources.tables import CaseTables
 
 MAX_LOOKUP_ROWS = 200_000
@@ -119,7 +118,7 @@ def followed_processes(tables: CaseTables) -> DataFrame:
     def build():
         narrow = processes(tables).drop(*TEXTS)
         followed = narrow.join(activity_summary(tables), "id_protocolo", "left")
-        return stage(followed, "processes")
+        return tables.stage(followed, "processes")
 
     return tables.derived("followed_processes", build)
 

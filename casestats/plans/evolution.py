@@ -12,28 +12,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casestats import fixed_values as fixed
-from casestats.functions.dates import month_start, week_start
+from casestats.functions.dates import day, month_start, week_start
 
 Marts = Mapping[str, DataFrame]
 
 
-def project_weekly(marts: Marts) -> DataFrame:
-    """Filings of all orgs by week, up to the last complete week."""
+def project_weekly(marts: Marts, start=None, end=None) -> DataFrame:
+    """Filings of all orgs by week, up to the last complete week. A range shows the week of
+    its first day to the week of its last."""
+    weeks = marts["weekly_history"]
+    if start is not None:
+        weeks = weeks.filter(F.col("inicio") >= week_start(start))
+    if end is not None:
+        weeks = weeks.filter(F.col("inicio") <= day(end))
     return (
-        marts["weekly_history"]
-        .groupBy("ano", "semana", "inicio", "fim", "intervalo")
+        weeks.groupBy("ano", "semana", "inicio", "fim", "intervalo")
         .agg(F.sum("total").alias("total"))
         .orderBy("inicio")
     )
 
 
-def project_monthly(marts: Marts, start=fixed.PROJECT_START) -> DataFrame:
-    """Filings of all orgs by month, from the month of `start`."""
+def project_monthly(marts: Marts, start=fixed.PROJECT_START, end=None) -> DataFrame:
+    """Filings of all orgs by month, from the month of `start` to the month of `end`."""
     month = F.make_date("ano", "mes", F.lit(1))
+    shown = marts["monthly_filings"].filter(month >= month_start(start))
+    if end is not None:
+        shown = shown.filter(month <= day(end))
     return (
-        marts["monthly_filings"]
-        .filter(month >= month_start(start))
-        .groupBy("ano", "mes", "periodo")
+        shown.groupBy("ano", "mes", "periodo")
         .agg(F.sum("total").alias("total"))
         .orderBy("ano", "mes")
     )

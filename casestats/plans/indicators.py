@@ -7,7 +7,13 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casestats.fixed_values import ALL_ORGS, ALL_UNITS
+from casestats.fixed_values import (
+    ALL_ORGS,
+    ALL_UNITS,
+    ASSIGNEE_HEADERS,
+    ASSIGNEE_HEADERS_ALL,
+    LIFETIME_HEADERS,
+)
 from casestats.functions.stats import median_of
 from casestats.functions.text import deviation_label
 from casestats.operators.filters import (
@@ -25,7 +31,7 @@ def open_process_count(
     marts: Marts, orgao: str = ALL_ORGS, unidade: str = ALL_UNITS
 ) -> DataFrame:
     """Open activities in scope: a process open in three units counts three times."""
-    rows = scope(marts["days_in_unit_counts"], orgao, unidade, unit_col="unidade_atual")
+    rows = scope(marts["days_in_unit_totals"], orgao, unidade, unit_col="unidade_atual")
     return rows.agg(F.coalesce(F.sum("atividades"), F.lit(0)).alias("total"))
 
 
@@ -91,12 +97,14 @@ def unit_options(marts: Marts, orgao: str = ALL_ORGS) -> DataFrame:
 
 
 def lifetime_by_type(
-    marts: Marts, orgao: str = ALL_ORGS, unidade: str = ALL_UNITS
+    marts: Marts, orgao: str = ALL_ORGS, unidade: str = ALL_UNITS, *, headers: bool = False
 ) -> DataFrame:
-    """Median lifetime by type; with a selection, how far it is off the overall median."""
+    """Median lifetime by type; with a selection, how far it is off the overall median.
+    `headers` names the columns as the screen does."""
     overall = marts["lifetime_median_by_type"]
     if orgao == ALL_ORGS and unidade == ALL_UNITS:
-        return overall.orderBy(F.desc("mediana"), "tipo_processo")
+        ordered = overall.orderBy(F.desc("mediana"), "tipo_processo")
+        return _titled(ordered, LIFETIME_HEADERS, headers)
     scoped = (
         scope(marts["lifetime_counts"], orgao, unidade)
         .groupBy("tipo_processo", "tempo_vida")
@@ -104,15 +112,17 @@ def lifetime_by_type(
         .groupBy("tipo_processo")
         .agg(median_of("tempo_vida", "processos").alias("mediana"))
     )
-    return _against_overall(marts, scoped, overall, ["tipo_processo"]).select(
+    compared = _against_overall(marts, scoped, overall, ["tipo_processo"]).select(
         "tipo_processo", "mediana", "desvio"
     )
+    return _titled(compared, LIFETIME_HEADERS, headers)
 
 
 def assignee_time(
-    marts: Marts, orgao: str = ALL_ORGS, unidade: str = ALL_UNITS
+    marts: Marts, orgao: str = ALL_ORGS, unidade: str = ALL_UNITS, *, headers: bool = False
 ) -> DataFrame:
-    """Median days in the unit by assignee and type, over assigned open activities."""
+    """Median days in the unit by assignee and type, over assigned open activities. `headers`
+    names the columns as the screen does."""
     whole = orgao == ALL_ORGS and unidade == ALL_UNITS
     keys = ["atribuido", "tipo_processo"]
     medians = (
@@ -124,9 +134,14 @@ def assignee_time(
         .agg(median_of("dias_unidade", "atividades").alias("mediana"))
     )
     if whole:
-        return medians.orderBy(F.desc("mediana"), *keys)
+        return _titled(medians.orderBy(F.desc("mediana"), *keys), ASSIGNEE_HEADERS_ALL, headers)
     overall = marts["days_in_unit_median_by_type"]
-    return _against_overall(marts, medians, overall, keys).select(*keys, "mediana", "desvio")
+    compared = _against_overall(marts, medians, overall, keys).select(*keys, "mediana", "desvio")
+    return _titled(compared, ASSIGNEE_HEADERS, headers)
+
+
+def _titled(df: DataFrame, titles: Mapping[str, str], wanted: bool) -> DataFrame:
+    return df.withColumnsRenamed(titles) if wanted else df
 
 
 def _against_overall(marts, scoped, overall, keys):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casestats import fixed_values as fixed
@@ -34,7 +34,6 @@ from casestats.operators.lookups import (
     with_unit,
 )
 from casestats.sources.schemas import MARTS
-from casestats.sources.staging import stage
 from casestats.sources.tables import CaseTables
 
 
@@ -333,7 +332,7 @@ def open_process_summary(marts: Mapping[str, DataFrame]) -> DataFrame:
 
 def current_unit_options(marts: Mapping[str, DataFrame]) -> DataFrame:
     return (
-        marts["days_in_unit_counts"]
+        marts["days_in_unit_totals"]
         .select(F.col("orgao").alias("orgao_atual"), "unidade_atual")
         .distinct()
     )
@@ -370,11 +369,71 @@ def lifetime_counts(marts: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def days_in_unit_counts(marts: Mapping[str, DataFrame]) -> DataFrame:
+def open_activity_rollup(marts: Mapping[str, DataFrame]) -> DataFrame:
+    """Open activities by days in the unit, with the assignee and without, in one pass.
+
+    Most questions don't ask for the assignee, and without it there are far fewer rows.
+    """
+    place = ["orgao", "unidade_atual", "tipo_processo"]
+    with_assignee = [*place, "atribuido", "dias_unidade"]
+    columns = [F.col(c) for c in with_assignee]
+    sets = [columns, [F.col(c) for c in with_assignee if c != "atribuido"]]
     return (
         marts["assignee_days"]
-        .groupBy("orgao", "unidade_atual", "tipo_processo", "atribuido", "dias_unidade")
-        .agg(rows().alias("atividades"))
+        .groupingSets(sets, *columns)
+        .agg(F.grouping("atribuido").cast("int").alias("nivel"), rows().alias("atividades"))
+        .select("nivel", *with_assignee, "atividades")
+    )
+
+
+def days_in_unit_counts(marts: Mapping[str, DataFrame]) -> DataFrame:
+    return marts["open_activity_rollup"].filter("nivel = 0").drop("nivel")
+
+
+def days_in_unit_totals(marts: Mapping[str, DataFrame]) -> DataFrame:
+    return marts["open_activity_rollup"].filter("nivel = 1").drop("nivel", "atribuido")
+
+
+def open_process_bitmaps(marts: Mapping[str, DataFrame]) -> DataFrame:
+    """Which processes are open where, as sets that can be united without counting twice.
+
+    Processes are numbered without gaps, and a number is a bit of its bucket. Those of one
+    place (the first of each process) stand together, so that a place needs few buckets. A
+    large place is numbered in parts, chosen by a hash, so that no task numbers it alone.
+    """
+    place = ["orgao_atual", "unidade_atual", "tipo_processo"]
+    held = (
+        marts["open_process_control"]
+        .filter(F.col("num_processo").isNotNull())
+        .select(*place, "num_processo")
+        .distinct()
+    )
+    first = held.groupBy("num_processo").agg(F.min(F.struct(*place)).alias("casa"))
+    sizes = first.groupBy(F.col("casa").alias("_casa")).agg(rows().alias("processos"))
+    cuts = sizes.withColumn("partes", F.expr(f"processos div {fixed.NUMBERED_TOGETHER} + 1"))
+    numbered = first.join(cuts, F.col("casa").eqNullSafe(F.col("_casa"))).select(
+        "num_processo",
+        "casa",
+        F.pmod(F.xxhash64("num_processo"), F.col("partes")).alias("parte"),
+    )
+    group = Window.partitionBy("casa", "parte").orderBy("num_processo")
+    numbered = numbered.withColumn("n", F.row_number().over(group) - 1)
+    # One row per place and part: parts hold some 20,000 processes.
+    groups = numbered.groupBy(F.struct("casa", "parte").alias("_grupo")).agg(rows().alias("processos"))
+    before = Window.orderBy("_grupo").rowsBetween(Window.unboundedPreceding, -1)
+    starts = groups.withColumn("inicio", F.coalesce(F.sum("processos").over(before), F.lit(0)))
+    number = F.col("inicio") + F.col("n")
+    bits = numbered.join(
+        starts, F.struct("casa", "parte").eqNullSafe(F.col("_grupo"))
+    ).select(
+        "num_processo",
+        F.bitmap_bucket_number(number + 1).alias("balde"),
+        F.bitmap_bit_position(number + 1).alias("bit"),
+    )
+    return (
+        held.join(bits, "num_processo")
+        .groupBy(*place, "balde")
+        .agg(F.bitmap_construct_agg("bit").alias("mapa"))
     )
 
 
@@ -400,7 +459,7 @@ def lifetime_median_by_type(marts: Mapping[str, DataFrame]) -> DataFrame:
 def days_in_unit_median_by_type(marts: Mapping[str, DataFrame]) -> DataFrame:
     """Over all open activities, assigned or not."""
     return (
-        marts["days_in_unit_counts"]
+        marts["days_in_unit_totals"]
         .groupBy("tipo_processo", "dias_unidade")
         .agg(F.sum("atividades").alias("atividades"))
         .groupBy("tipo_processo")
@@ -437,14 +496,18 @@ BASE: dict[str, Callable] = {
     )
 }
 
-# Columns of a base mart under other names: never stored a second time.
-PROJECTIONS: dict[str, Callable] = {
-    f.__name__: f for f in (open_process_summary, assignee_days)
+# Columns or rows of another mart under a name of their own, never stored a second time: the
+# mart they come from, and how.
+PROJECTIONS: dict[str, tuple[str, Callable]] = {
+    "open_process_summary": ("open_process_control", open_process_summary),
+    "assignee_days": ("open_process_control", assignee_days),
+    "days_in_unit_counts": ("open_activity_rollup", days_in_unit_counts),
+    "days_in_unit_totals": ("open_activity_rollup", days_in_unit_totals),
 }
 
-# Step by step: each step reads base marts, projections and marts of earlier steps.
+# Step by step: each step reads base marts, earlier steps and what is projected from them.
 STEPS: list[list[Callable]] = [
-    [lifetime_counts, days_in_unit_counts, stock_daily, pages_saved],
+    [lifetime_counts, open_activity_rollup, stock_daily, pages_saved, open_process_bitmaps],
     [
         stock_units,
         current_unit_options,
@@ -454,13 +517,13 @@ STEPS: list[list[Callable]] = [
     ],
 ]
 DERIVED: dict[str, Callable] = {
-    **PROJECTIONS,
+    **{name: project for name, (_, project) in PROJECTIONS.items()},
     **{f.__name__: f for step in STEPS for f in step},
 }
 
 
 # Roll-ups that one question reads several times.
-SHARED = {"lifetime_counts", "days_in_unit_counts", "stock_daily"}
+SHARED = {"lifetime_counts", "open_activity_rollup", "stock_daily", "open_process_bitmaps"}
 
 
 class LazyMarts(Mapping):
@@ -478,7 +541,7 @@ class LazyMarts(Mapping):
                 mart = BASE[name](self.tables, self.as_of)
             else:
                 mart = DERIVED[name](self)
-            self._built[name] = stage(mart, name) if name in SHARED else mart
+            self._built[name] = self.tables.stage(mart, name) if name in SHARED else mart
         return self._built[name]
 
     def __iter__(self) -> Iterator[str]:

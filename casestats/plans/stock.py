@@ -50,10 +50,9 @@ def stock_flow(
     literal: bool = False,
 ) -> DataFrame:
     """Quantity by day and direction."""
+    moves = marts["stock_daily"]
     return (
-        scope(
-            marts["stock_daily"], orgao, unidade, tipo, subunits=subunits, literal=literal
-        )
+        _moves(marts, moves, orgao, unidade, tipo, subunits=subunits, literal=literal)
         .filter(between_dates("data", start, end))
         .groupBy("data", "atividade")
         .agg(F.sum("qtde").alias("qtde"))
@@ -95,8 +94,8 @@ def _daily_balance(
     The window runs over sums by day: at most one row per day and group.
     """
     first, direction, qtde = day(start), F.col("atividade"), F.col("qtde")
-    moves = scope(
-        marts["stock_daily"], orgao, unidade, tipo, subunits=subunits, literal=literal
+    moves = _moves(
+        marts, marts["stock_daily"], orgao, unidade, tipo, subunits=subunits, literal=literal
     ).filter(F.col("data") <= day(end))
     daily = moves.groupBy(
         *by, F.greatest("data", F.date_sub(first, 1)).alias("data")
@@ -131,13 +130,8 @@ def open_process_table(
     headers: bool = False,
 ) -> DataFrame:
     """Open activities by where they are now."""
-    rows = scope_current(
-        marts["open_process_summary"],
-        orgao,
-        unidade,
-        tipo,
-        subunits=subunits,
-        literal=literal,
+    rows = _held(
+        marts, marts["open_process_summary"], orgao, unidade, tipo, subunits=subunits, literal=literal
     )
     return _columns(rows, TABLE_HEADERS, headers)
 
@@ -152,13 +146,8 @@ def open_process_export(
     literal: bool = False,
     headers: bool = True,
 ) -> DataFrame:
-    rows = scope_current(
-        marts["open_process_control"],
-        orgao,
-        unidade,
-        tipo,
-        subunits=subunits,
-        literal=literal,
+    rows = _held(
+        marts, marts["open_process_control"], orgao, unidade, tipo, subunits=subunits, literal=literal
     )
     return _columns(rows, EXPORT_HEADERS, headers)
 
@@ -172,16 +161,15 @@ def stock_distinct_total(
     subunits: bool = False,
     literal: bool = False,
 ) -> DataFrame:
-    """Processes in scope, each once."""
-    rows = scope_current(
-        marts["open_process_summary"],
-        orgao,
-        unidade,
-        tipo,
-        subunits=subunits,
-        literal=literal,
+    """Processes in scope, each once: the sets of the places in scope are united."""
+    sets = _held(
+        marts, marts["open_process_bitmaps"], orgao, unidade, tipo, subunits=subunits, literal=literal
+    )
+    return (
+        sets.groupBy("balde")
+        .agg(F.bitmap_count(F.bitmap_or_agg("mapa")).alias("processos"))
+        .agg(F.coalesce(F.sum("processos"), F.lit(0)).alias("total"))
     )
-    return rows.agg(F.countDistinct("num_processo").alias("total"))
 
 
 def stock_export(
@@ -196,10 +184,20 @@ def stock_export(
     literal: bool = False,
 ) -> DataFrame:
     """Movement rows of the period."""
-    return scope(
-        marts["stock_movements"], orgao, unidade, tipo, subunits=subunits, literal=literal
+    return _moves(
+        marts, marts["stock_movements"], orgao, unidade, tipo, subunits=subunits, literal=literal
     ).filter(between_dates("data", start, end))
 
 
+def _moves(marts, rows, *selection, **options) -> DataFrame:
+    """`scope` by the unit of a movement."""
+    return scope(rows, *selection, units=marts.get("stock_units"), **options)
+
+
+def _held(marts, rows, *selection, **options) -> DataFrame:
+    """`scope` by where a process is now."""
+    return scope_current(rows, *selection, units=marts.get("current_unit_options"), **options)
+
+
 def _columns(rows: DataFrame, names: Mapping[str, str], headers: bool) -> DataFrame:
     return rows.select(*[F.col(c).alias(h if headers else c) for c, h in names.items()])

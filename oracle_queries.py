@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import re
 
+from casestats import fixed_values as fixed
+from casestats.sources import schemas
+
 AS_OF = "TIMESTAMP '2001-08-01 12:00:00'"
 PERIOD = "data BETWEEN DATE '2000-01-01' AND DATE '2000-03-31'"
 
@@ -228,6 +231,16 @@ PARTS = {
     SELECT orgao, unidade_atual, tipo_processo, atribuido, dias_unidade,
            count(*) AS atividades
     FROM assignee_days GROUP BY ALL""",
+    "open_activity_rollup": """
+    SELECT 0 AS nivel, orgao, unidade_atual, tipo_processo, atribuido, dias_unidade,
+           count(*) AS atividades
+    FROM assignee_days GROUP BY ALL
+    UNION ALL
+    SELECT 1, orgao, unidade_atual, tipo_processo, NULL, dias_unidade, count(*)
+    FROM assignee_days GROUP BY ALL""",
+    "days_in_unit_totals": """
+    SELECT orgao, unidade_atual, tipo_processo, dias_unidade, count(*) AS atividades
+    FROM assignee_days GROUP BY ALL""",
     "stock_daily": """
     SELECT orgao, unidade, tipo_processo, atividade, data, CAST(sum(qtde) AS BIGINT) AS qtde
     FROM stock_movements GROUP BY ALL""",
@@ -384,21 +397,8 @@ def _chart(condition: str) -> str:
     LEFT JOIN ({_flow(condition)}) s ON s.data = b.data AND s.atividade = 'Saída'"""
 
 
-TABLE = "num_processo, data, tipo_processo, nivel_acesso, unidade_atual, dias_unidade, atribuido"
-EXPORT = {
-    "num_processo": "Número do processo",
-    "data": "Data de autuação",
-    "orgao": "Órgão gerador",
-    "unidade": "Unidade geradora",
-    "tipo_processo": "Tipo de processo",
-    "usuario": "Usuário gerador",
-    "nivel_acesso": "Nível de acesso",
-    "descricao": "Descrição",
-    "unidade_atual": "Unidade atual",
-    "dias_unidade": "Dias em que o processo está na unidade",
-    "tempo_vida": "Tempo de vida",
-    "atribuido": "Atribuído para",
-}
+TABLE = ", ".join(fixed.TABLE_HEADERS)
+EXPORT = fixed.EXPORT_HEADERS
 
 
 def _export(condition: str, as_text: bool = False) -> str:
@@ -465,11 +465,51 @@ def _ranking(electronic: str, start: str, end: str, minimum: int) -> str:
           WHERE eletronico + papel >= {minimum})"""
 
 
-def _counts(names) -> str:
-    return " UNION ALL ".join(
-        f"SELECT '{label}' AS nome, count(*) AS linhas FROM {name}"
-        for label, name in names
-    )
+def _as_text(column: str, kind: str) -> str:
+    """A value in the one form that is hashed."""
+    return {
+        "STRING": column,
+        "TIMESTAMP": f"strftime({column}, '%Y-%m-%d %H:%M:%S.%f')",
+        "DATE": f"strftime({column}, '%Y-%m-%d')",
+        "DOUBLE": f"CAST(CAST(floor({column} * 1000) AS BIGINT) AS VARCHAR)",
+    }.get(kind, f"CAST({column} AS VARCHAR)")
+
+
+def _digest(tables: dict[str, str]) -> str:
+    """Rows, values, least, greatest and sum of hashes by column, and of whole rows (`*`)."""
+
+    def entry(name, filled, least, greatest, text):
+        number = f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+        return (
+            f"{{'coluna': '{name}', 'linhas': count(*), 'preenchidos': {filled}, "
+            f"'minimo': {least}, 'maximo': {greatest}, "
+            f"'soma': CAST(coalesce(sum({number}), 0) AS VARCHAR)}}"
+        )
+
+    parts = []
+    for table, ddl in tables.items():
+        kinds = dict(sorted(c.split() for c in ddl.split(", ")))
+        texts = ", ".join(f"{_as_text(c, k)} AS {c}" for c, k in kinds.items())
+        whole = ", ".join(f"coalesce('v' || {c}, 'n')" for c in kinds)
+        none = "CAST(NULL AS VARCHAR)"
+        entries = [
+            entry(c, f"count({c})", f"left(min({c}), 64)", f"left(max({c}), 64)", c) for c in kinds
+        ]
+        entries.append(entry("*", "count(*)", none, none, f"concat_ws(chr(31), {whole})"))
+        parts.append(
+            f"SELECT '{table}' AS nome, unnest(entries, recursive := true) FROM "
+            f"(SELECT [{', '.join(entries)}] AS entries FROM (SELECT {texts} FROM {table}))"
+        )
+    return " UNION ALL ".join(parts)
+
+
+def _numbered(query: str, order: str) -> str:
+    return f"SELECT *, row_number() OVER (ORDER BY {order}) AS posicao FROM ({query})"
+
+
+def _titled(query: str, titles: dict[str, str]) -> str:
+    columns = ", ".join(f'{c} AS "{t}"' for c, t in titles.items())
+    return f"SELECT {columns} FROM ({query})"
 
 
 def _dotted(x: str) -> str:
@@ -491,20 +531,19 @@ def _dates() -> str:
     FROM (SELECT DISTINCT CAST(dta_geracao AS DATE) AS d FROM protocolo)"""
 
 
-CASE_TABLES = [
-    "orgao", "unidade", "usuario", "protocolo", "procedimento", "tipo_procedimento",
-    "atividade", "anexo", "documento", "documento_conteudo",
-]
-ACCESS_TABLES = ["auth", "permissao", "acesso_orgao"]
 MARTS = list(PARTS)[list(PARTS).index("active_orgs") :]
 
 
 def build() -> dict[str, str]:
     q: dict[str, str] = {name: f"SELECT * FROM {name}" for name in MARTS}
 
-    q["load_tables"] = _counts([(n, n) for n in CASE_TABLES])
-    q["load_access_tables"] = _counts([(n, n) for n in ACCESS_TABLES])
-    q["write_marts"] = _counts([(n, n) for n in MARTS])
+    q["load_tables"] = q["land_tables"] = _digest(schemas.CASE_TABLES)
+    q["load_access_tables"] = q["land_access_tables"] = _digest(schemas.ACCESS_TABLES)
+    q["write_marts"] = _digest({name: schemas.MARTS[name] for name in MARTS})
+    q["open_process_sets"] = """
+        SELECT orgao_atual, unidade_atual, tipo_processo,
+               count(DISTINCT num_processo) AS processos
+        FROM open_process_control GROUP BY ALL"""
     q["export_csv"] = _export("true", as_text=True)
     movement = "orgao, unidade, tipo_processo, atividade, data, protocolo, qtde".split(", ")
     as_text = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in movement)
@@ -596,6 +635,10 @@ def build() -> dict[str, str]:
         f"ORDER BY {order} LIMIT 10 OFFSET 20"
     )
 
+    q["table_page_after"] = q["table_page"]
+    q["lifetime_by_type_headers"] = _titled(q["lifetime_by_type_org"], fixed.LIFETIME_HEADERS)
+    q["assignee_time_headers"] = _titled(q["assignee_time_org"], fixed.ASSIGNEE_HEADERS)
+
     for key, token in TOKENS.items():
         q[f"authorized_orgs_{key}"] = _authorized(token)
         q[f"restrict_to_orgs_{key}"] = _restricted(token)
@@ -606,6 +649,29 @@ def build() -> dict[str, str]:
     q["project_monthly"] = """
         SELECT ano, mes, periodo, CAST(sum(total) AS BIGINT) AS total
         FROM monthly_filings WHERE ano * 100 + mes >= 199601 GROUP BY ALL"""
+    q["project_weekly_range"] = """
+        SELECT ano, semana, inicio, fim, intervalo, CAST(sum(total) AS BIGINT) AS total
+        FROM weekly_history
+        WHERE fim >= DATE '1998-02-10' AND inicio <= DATE '1999-01-05' GROUP BY ALL"""
+    q["project_monthly_range"] = """
+        SELECT ano, mes, periodo, CAST(sum(total) AS BIGINT) AS total
+        FROM monthly_filings WHERE ano * 100 + mes BETWEEN 199802 AND 199901 GROUP BY ALL"""
+    off = "s.mediana - g.mediana, s.tipo_processo"
+    lifetimes = _lifetime_by_type("org", AFRICA).replace(
+        "AS desvio", f"AS desvio, row_number() OVER (ORDER BY {off}) AS posicao"
+    )
+    q["order_lifetime_by_type"] = lifetimes
+    q["order_top_process_types"] = _numbered(_top_types(AFRICA), "total DESC, tipo_processo")
+    q["order_assignee_time"] = _numbered(
+        _assignee_time("all", "true"), "mediana DESC, atribuido, tipo_processo"
+    )
+    q["order_weekly_evolution"] = f"""
+        SELECT intervalo, CAST(sum(total) AS BIGINT) AS total,
+               row_number() OVER (ORDER BY inicio) AS posicao
+        FROM weekly_filings WHERE {AFRICA} GROUP BY inicio, intervalo"""
+    q["order_unit_options"] = _numbered(q["unit_options_all"], "opcao <> 'Todas', opcao")
+    q["order_stock_balance"] = _numbered(_balance("true"), "data")
+    q["order_project_monthly"] = _numbered(q["project_monthly"], "ano, mes")
     sunday = _sunday(AS_OF)
     q["migration_ranking_weekly"] = _ranking(
         f"SELECT orgao, sum(total) AS n FROM weekly_history "

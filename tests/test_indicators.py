@@ -78,7 +78,9 @@ def test_assignees(marts):
     assert rows(indicators.assignee_time(m, "B", "U")) == [
         ("bia", "x", 30.0, "Atrasado  21  dias")
     ]
-    assert rows(indicators.open_process_count(m)) == [(7,)]
+    totals = marts(days_in_unit_totals=[("A", "U", "x", 1, 3), ("B", "U", "x", 1, 4)])
+    assert rows(indicators.open_process_count(totals)) == [(7,)]
+    assert rows(indicators.open_process_count(totals, "A")) == [(3,)]
 
 
 def test_top_types(marts):
