@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from urllib.parse import urlsplit
@@ -58,6 +59,23 @@ def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(*frames: DataFrame) -> None:
+    """Delete the files of staged tables that are not read any more."""
+    for df in frames:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            delete(df.sparkSession, folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps.
+
+    It does so for shuffles that the driver's garbage collection finds unused, by itself every
+    half hour (`spark.cleaner.periodicGC.interval`): too seldom for a step after step job.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Staging:
     """Intermediate tables of one run. Its manifest lists what it wrote; `close` deletes that.
 
