@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casestats.session import configure
-from casestats.sources.staging import shared_dir, stage
+from casestats.sources.staging import drop_staged, release, shared_dir, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -93,7 +93,8 @@ def free_name(df: DataFrame, name: str) -> str:
 def without_rows(docs: DataFrame, bad: DataFrame, how: str = "left_anti") -> DataFrame:
     """The rows of `docs`, all columns, whose (id, text) is not among the keys of `bad`."""
     names = {c: free_name(docs, f"_key_{c}") for c in KEY}
-    bad = bad.select(*KEY).distinct().withColumnsRenamed(names)
+    # Written first: the size is counted and the join made from the same rows.
+    bad = stage(bad.select(*KEY).distinct(), "keys").withColumnsRenamed(names)
     on = docs["doc_id"].eqNullSafe(bad[names["doc_id"]]) & (
         F.xxhash64(docs["text"]) == bad[names["text_key"]]
     )
@@ -117,7 +118,7 @@ def slices(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.Data
 
 
 __all__ = [
-    "BROADCAST_ROWS", "KEY", "fold_ascii", "free_name", "if_small", "join_keyed", "keyed", "new_path",
-    "ready", "same_key", "shared_dir", "slices", "stage", "table",
+    "BROADCAST_ROWS", "KEY", "drop_staged", "fold_ascii", "free_name", "if_small", "join_keyed", "keyed",
+    "new_path", "ready", "release", "same_key", "shared_dir", "slices", "stage", "table",
     "without_rows",
 ]

@@ -1,8 +1,8 @@
 """Line dedup by site-relative frequency.
 
 A line is boilerplate on a host if the pages of the host that contain it, divided by all
-pages of the host, exceed `max_ratio`, and at least `min_pages` pages contain it (a host of
-few pages has no boilerplate to speak of). Lines compare without the blanks at their ends;
+pages of the host, exceed `max_ratio` (`FEW_RATIO` for a host of fewer than `FEW_PAGES`), and
+at least `min_pages` pages contain it. Lines compare without the blanks at their ends;
 blank lines are never boilerplate. Such lines are dropped from every page of the host, the
 others stay in their order.
 
@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 
 from casestats.llm.common import free_name, stage
 
+# A line on more than this part of a host's pages is boilerplate. A host of few pages tells
+# less, so more of them must hold the line.
 MAX_RATIO = 0.1
-MIN_PAGES = 10
+FEW_PAGES, FEW_RATIO = 30, 0.5
+# Pages that make a line a repeated one at all.
+MIN_PAGES = 3
 # Line keys (16 bytes each) and hosts up to which the lists are broadcast.
 BROADCAST_KEYS = 500_000
 
@@ -50,9 +54,10 @@ def boilerplate(
         .filter(F.col("with_line") >= min_pages)
     )
     totals = totals.withColumnRenamed("host", "_host")
+    ratio = F.when(F.col("pages") < FEW_PAGES, F.lit(max(max_ratio, FEW_RATIO))).otherwise(F.lit(max_ratio))
     return (
         counted.join(totals, F.col("host").eqNullSafe(F.col("_host")))
-        .filter(F.col("with_line") > max_ratio * F.col("pages"))
+        .filter(F.col("with_line") > ratio * F.col("pages"))
         .groupBy("host")
         .agg(F.collect_set("line").alias("bad"))
     )
@@ -65,8 +70,10 @@ def drop_boilerplate(
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
 ) -> DataFrame:
-    """`pages` with `text_col` rewritten, plus n_lines and n_dropped."""
+    """`pages` with `text_col` rewritten, plus n_lines and n_dropped, or `free_name` of these
+    where `pages` has columns so named."""
     text = F.col(text_col)
+    all_lines, dropped = (free_name(pages, x) for x in ("n_lines", "n_dropped"))
     bad_host, bad, kept = (free_name(pages, f"_{x}") for x in ("bad_host", "bad", "kept"))
     lists = stage(boilerplate(pages, host, text, max_ratio, min_pages), "boilerplate")
     lists = lists.withColumnsRenamed({"host": bad_host, "bad": bad})
@@ -82,8 +89,8 @@ def drop_boilerplate(
     n_kept = F.greatest(F.size(F.coalesce(kept, F.array().cast("array<string>"))), F.lit(0)).cast("long")
     return joined.withColumns(
         {
-            "n_lines": n_lines,
-            "n_dropped": n_lines - n_kept,
+            all_lines: n_lines,
+            dropped: n_lines - n_kept,
             text_col: F.array_join(kept, "\n"),
         }
     ).drop(bad, bad_host, kept)

@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casestats.llm.common import (
-    BROADCAST_ROWS, KEY, free_name, if_small, keyed, slices, stage, without_rows,
+    BROADCAST_ROWS, KEY, drop_staged, free_name, if_small, keyed, release, slices, stage,
+    without_rows,
 )
 
 WORDS = 5
@@ -120,7 +121,7 @@ def costly_tokens(index: DataFrame, costly: int) -> DataFrame:
 
 
 def lengthened(
-    index: DataFrame, rows: DataFrame, texts: DataFrame, costly: int, make_set=shingle_set
+    index: DataFrame, texts: DataFrame, costly: int, make_set=shingle_set
 ) -> DataFrame:
     """`index` with longer prefixes for nodes that have costly shingles in theirs.
 
@@ -145,8 +146,8 @@ def lengthened(
     more = texts.join(if_small(touched), "node").withColumn("reach", reach)
     more = stage(tokens(more, make_set), "longer_prefixes").withColumn("every", F.lit(False))
     first = dear
-    own = rows.select("node", "n", F.explode("prefix").alias("token"))
-    own = own.join(if_small(touched.select("node")), "node", "left_semi")
+    own = texts.join(if_small(touched.select("node")), "node", "left_semi")
+    own = own.select("node", "n", F.explode("prefix").alias("token"))
     while True:
         dear = stage(dear.union(costly_tokens(more, costly)).distinct(), "costly")
         marker = if_small(dear)
@@ -370,27 +371,34 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, costly: int = COSTLY, make_set=shingle_set) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id of every row."""
-    rows = stage(shingled(docs, make_set), "shingled")
-    index = stage(shared_shingles(rows), "shared_shingles")
-    wanted = index.select("node").distinct()
+    spark = docs.sparkSession
+    with_prefix = stage(shingled(docs, make_set), "shingled")
+    rows = stage(with_prefix.select(*KEY, "n", "node"), "nodes")
+    shared = stage(shared_shingles(with_prefix), "shared_shingles")
+    release(spark)
     # One text of each node that shares a shingle; equal sets give equal shingles.
-    having = rows.select("node", "doc_id").join(wanted, "node", "left_semi")
-    having = having.groupBy("node").agg(F.min("doc_id").alias("id"))
-    source = docs.select(F.col("doc_id").alias("id"), "text")
-    texts = stage(texts_of(source, if_small(having), make_set), "node_texts")
-    index = stage(lengthened(index, rows, texts, costly, make_set), "prefixes")
-
-    links = stage(verified(nearest_least(index), texts, make_set), "links")
-    comp = components(links)
+    chosen = stage(chosen_rows(rows, shared.select("node").distinct()), "chosen_rows")
+    texts = stage(texts_of(docs, chosen, make_set), "node_texts")
+    drop_staged(with_prefix)
+    release(spark)
+    index = stage(lengthened(shared, texts, costly, make_set), "prefixes")
+    drop_staged(shared)
+    release(spark)
+
+    comp = components(stage(verified(nearest_least(index), texts, make_set), "links"))
     for turn in range(ROUNDS):
+        release(spark)
         pairs = pivot_pairs(index, comp, turn * PIVOTS)
         more = stage(verified(pairs, texts, make_set), "links")
         if more.isEmpty():
             break
         comp = components(comp.union(more))
+    release(spark)
     pairs = crossing_pairs(index, comp)
     more = stage(verified(pairs, texts, make_set), "links")
     comp = components(comp.union(more))
+    drop_staged(texts, index)
+    release(spark)
 
     own = rows.join(if_small(comp), "node", "left").withColumn(
         "comp", F.coalesce("comp", "node")
@@ -407,22 +415,40 @@ def near_duplicates(docs: DataFrame, costly: int = COSTLY, make_set=shingle_set)
     )
 
 
-def texts_of(source: DataFrame, having: DataFrame, make_set=shingle_set) -> DataFrame:
-    """(node, text, n, prefix): the text of the row with id `id` that has the node's set."""
-    having = having.withColumnRenamed("id", "_id")
-    rows = source.join(having, source["id"].eqNullSafe(F.col("_id")))
+def texts_of(source: DataFrame, chosen: DataFrame, make_set=shingle_set) -> DataFrame:
+    """(node, text, n, prefix): the text of each node's chosen row, known by id and text key.
 
-    def right(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Only of a row that stands several times are texts shuffled, once combined within tasks.
+    """
+    names = {"doc_id": "_id", "text_key": "_key", "node": "node", "copies": "copies"}
+    chosen = chosen.select(*[F.col(c).alias(n) for c, n in names.items()])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
+
+    def found(rows):
+        return keyed(source).join(if_small(rows), same).select("node", "text")
+
+    once = found(chosen.filter("copies = 1"))
+    often = found(chosen.filter("copies > 1")).dropDuplicates(["node"])
+
+    def with_set(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in slices(batches):
             sets = [make_set(t) for t in batch["text"]]
-            keys = [xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) for own in sets]
             out = batch[["node", "text"]].copy()
             out["n"] = np.array([len(own) for own in sets], "int32")
             out["prefix"] = [own[: prefix_length(len(own))] for own in sets]
-            yield out[batch["node"].to_numpy("int64") == np.array(keys, "int64")]
+            yield out
 
     schema = "node long, text string, n int, prefix array<long>"
-    return rows.mapInPandas(right, schema).dropDuplicates(["node"])
+    return once.unionByName(often).mapInPandas(with_set, schema)
+
+
+def chosen_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, doc_id, text_key, copies): the least row of each wanted node, and how many rows
+    are equal to it."""
+    held = rows.select("node", *KEY).join(wanted, "node", "left_semi")
+    counted = held.groupBy("node", *KEY).agg(F.count(F.lit(1)).alias("copies"))
+    least = counted.groupBy("node").agg(F.min(F.struct(*KEY, "copies")).alias("least"))
+    return least.select("node", "least.*")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

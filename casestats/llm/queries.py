@@ -181,7 +181,8 @@ bad AS (
     USING (source)
   WHERE trim(line, ' ') <> ''
   GROUP BY source, trim(line, ' '), pages
-  HAVING count(DISTINCT doc_id) >= 10 AND count(DISTINCT doc_id) > 0.1 * pages),
+  HAVING count(DISTINCT doc_id) >= 3
+    AND count(DISTINCT doc_id) > CASE WHEN pages < 30 THEN 0.5 ELSE 0.1 END * pages),
 k AS (
   SELECT doc_id, l.source, pos, l.line, bad.line IS NOT NULL AS dropped
   FROM l LEFT JOIN bad ON l.source = bad.source AND trim(l.line, ' ') = bad.line)

@@ -263,12 +263,49 @@ def test_line_dedup(spark):
     found = {(r.doc_id, r.source): r for r in got}
     assert len(got) == len(rows)
     assert found[3, "h"].text == "body 3\n" and found[3, "h"].n_dropped == 3
-    # Ten pages without host: both last lines stand on five pages only.
+    # Ten pages without host: each last line stands on half of the pages, which isn't more.
     assert found[45, None].text == "body 45\n\nlast1" and found[45, None].n_lines == 5
     assert found[60, "h"].text is None and found[60, "h"].n_lines == 0
     assert found[61, "h"].text == "" and found[61, "h"].n_lines == 1
 
 
+def test_line_dedup_of_small_hosts_equals_its_sql(spark):
+    """Hosts of one to forty pages, with a footer on some of them."""
+    duckdb = pytest.importorskip("duckdb")
+    from casestats.llm import queries
+
+    rng, rows = random.Random(2), []
+    for pages in (1, 2, 3, 4, 9, 29, 30, 31, 40):
+        for share in (0.05, 0.1, 0.4, 0.5, 0.6, 1.0):
+            host, footers = f"h{pages}-{share}", round(pages * share)
+            for k in range(pages):
+                lines = [f"line {rng.random()}", "footer " * (k < footers), "", " footer" * (k < footers)]
+                rows.append((len(rows), host, "\n".join(lines)))
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = line_dedup.drop_boilerplate(table, F.col("source"))
+    found = got.select("doc_id", "source", "n_lines", "n_dropped", "text").toPandas()
+    con = duckdb.connect()
+    documents = table.toPandas()
+    con.register("documents", documents)
+    expected = con.execute(queries.ORACLE_SQL["op5_line_dedup"]).df()
+    by = {r.doc_id: (r.source, r.n_lines, r.n_dropped, r.text) for r in expected.itertuples()}
+    assert {r.doc_id: (r.source, r.n_lines, r.n_dropped, r.text) for r in found.itertuples()} == by
+    dropped = Counter(r.source for r in found.itertuples() if r.n_dropped)
+    assert dropped["h9-1.0"] == 9 and dropped["h40-0.4"] == 16 and "h9-0.5" not in dropped
+
+
+def test_line_dedup_keeps_columns_of_its_names(spark):
+    rows = [(i, "h", "menu\nx", 777, "own") for i in range(4)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string, n_lines long, n_dropped string")
+    got = line_dedup.drop_boilerplate(table, F.col("source"))
+    assert got.columns == [*table.columns, "_n_lines", "_n_dropped"]
+    assert {tuple(r)[2:] for r in got.collect()} == {("", 777, "own", 2, 2)}
+    import corpus_pipeline
+
+    kept = corpus_pipeline.drop_boilerplate(spark, table.withColumn("n_chars", F.lit(6)), "")
+    assert {r.n_lines for r in kept.collect()} == {777}
+
+
 # 6
 
 
@@ -430,6 +467,64 @@ def test_sharding_splits_a_hot_group(spark):
     assert len(load) == 40 and max(load.values()) <= 1.02 * min(load.values())
 
 
+def test_sharding_keeps_groups(spark):
+    """Groups of two to a fifth of the rows, short and long ones: each in one shard."""
+    rng, rows = random.Random(1), []
+    for k in range(60):
+        text = prose(k, rng.choice([3, 30, 100]))
+        rows += [(len(rows) + j, text) for j in range(rng.choice([2, 5, 40]))]
+    rows += [(len(rows) + j, "copied") for j in range(2000)]
+    rows += [(len(rows) + j, prose(1000 + j, 60)) for j in range(6000)]
+    rows += [(len(rows), None), (len(rows) + 1, ""), (None, "copied"), (0, rows[0][1])]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sharding.assign_shards(table).collect()
+    text_of = dict(rows)
+    shards, load = {}, Counter()
+    for r in got:
+        shards.setdefault(text_of[r.doc_id], set()).add(r.shard)
+        load[r.shard] += r.size
+    assert all(len(s) == 1 for s in shards.values())
+    assert max(load.values()) <= 1.01 * min(load.values())
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_only_groups_beyond_a_shard_are_cut(spark):
+    rows = [(i, "same text" * 20) for i in range(3000)] + [(3000 + i, prose(i, 60)) for i in range(3000)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    load = Counter()
+    for r in got:
+        load[r.shard] += r.size
+    assert len({r.shard for r in got if r.doc_id < 3000}) > 1
+    assert max(load.values()) <= 1.02 * min(load.values())
+
+
+def test_placing_takes_the_highest_dot_product():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    n = 40
+    bundles = pd.DataFrame(rng.integers(1, 100, (n, 3)), columns=["bytes", "tokens", "rows"])
+    bundles["bundle"], bundles["unit"] = np.arange(n), np.repeat(np.arange(n // 2), 2)
+    got = sharding.place(bundles, 5, weights=(4.0, 2.0, 1.0))
+    units = bundles.groupby("unit")[["bytes", "tokens", "rows"]].sum() / bundles[["bytes", "tokens", "rows"]].sum()
+    left = [[0.2] * 3 for _ in range(5)]
+    for u in sorted(units.index, key=lambda u: (-max(units.loc[u]), u)):
+        load = list(units.loc[u])
+        room = [[b, max(t, 0), max(r, 0)] for b, t, r in left]
+        value = [sum(x * y * w for x, y, w in zip(room[s], load, (4, 2, 1), strict=True)) for s in range(5)]
+        best = max(range(5), key=lambda s: value[s])
+        assert set(got[bundles["unit"] == u]["shard"]) == {best}
+        left[best] = [x - y for x, y in zip(left[best], load, strict=True)]
+    for _, own in got.join(bundles["rows"]).groupby("shard"):
+        at = 0
+        for first, rows in sorted(zip(own["first"], own["rows"], strict=True)):
+            assert first == at
+            at += rows
+
+
 # 9
 
 
