@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casestats.llm import bpe, decontamination, line_dedup, ngram_join, toxicity
-from casestats.llm.common import ready, stage, table
+from casestats.llm.common import free_name, ready, stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     to fit."""
     ready(spark)
     out = line_dedup.drop_boilerplate(docs, F.col("source"))
-    cut = F.col("n_dropped") > 0
+    cut = F.col(free_name(docs, "n_dropped")) > 0
     chars = F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", chars).select(docs.columns)
 
