@@ -106,13 +106,13 @@ def shared_shingles(rows: DataFrame) -> DataFrame:
     index = rows.filter(F.col("node").isNotNull()).select(
         F.explode("prefix").alias("token"), "node", "n"
     )
-    shared = (
-        index.groupBy("token")
-        .agg(F.min("node").alias("a"), F.max("node").alias("b"))
-        .filter("a < b")
-        .select("token")
-    )
-    return index.join(shared, "token").distinct()
+    return index.join(several_nodes(index), "token").distinct()
+
+
+def several_nodes(index: DataFrame) -> DataFrame:
+    """Tokens of two nodes or more."""
+    ends = index.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    return ends.filter("a < b").select("token")
 
 
 def costly_tokens(index: DataFrame, costly: int) -> DataFrame:
@@ -186,14 +186,16 @@ def lengthened(
         F.col("rank") <= _prefix_length(F.col("n"))
     )
     columns = ["token", "node", "n"]
-    return (
+    rows = (
         index.join(if_small(first), "token", "left_anti")
         .select(columns)
         .unionByName(own.join(marker, "token", "left_anti").select(columns))
         .unionByName(some.select(columns))
         .unionByName(whole.select(columns))
-        .distinct()
     )
+    # Most of what was read ahead no other node has. One shuffle serves all three steps.
+    dealt = rows.repartition("token").distinct()
+    return dealt.join(several_nodes(dealt), "token")
 
 
 def tokens(texts: DataFrame, make_set=shingle_set) -> DataFrame:
