@@ -7,7 +7,10 @@ import pytest
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+duckdb = pytest.importorskip("duckdb")
+
 import corpus_pipeline  # noqa: E402
+from casestats.llm import queries  # noqa: E402
 from casestats.llm.common import stage, table  # noqa: E402
 from test_operators import brute_components, contaminated, encoded, pairs  # noqa: E402
 
@@ -26,6 +29,12 @@ def test_stages(spark):
     assert out["toxicity"].count() > 0.75 * out["documents"].count()
     assert out["line_dedup"].count() == out["toxicity"].count()
 
+    # Texts without boilerplate, by the operator's SQL over what the first stage kept.
+    con = duckdb.connect()
+    con.register("documents", out["toxicity"].toPandas())
+    cleaned = con.execute(f"SELECT doc_id, text FROM ({queries.ORACLE_SQL['op5_line_dedup']})")
+    assert dict(pairs(out["line_dedup"])) == dict(cleaned.fetchall())
+
     before = pairs(out["line_dedup"])
     first = {c[0] for c in brute_components(before) if c[0] == c[2]}
     assert {i for i, _ in pairs(out["ngram_jaccard_join"])} == first
