@@ -2,8 +2,8 @@
 
 Each stage works on all rows its predecessor kept, is written as Parquet and read again, and
 all but the last return the columns of `documents`. ORACLE_SQL is None: nearest-neighbour
-scores, linked components and BPE can't be expressed in SQL; tests compare `run` with a
-brute-force version.
+scores, linked components and BPE can't be expressed in SQL; tests compare each stage but the
+first, whose score is tested by itself, with a brute-force version.
 """
 
 from __future__ import annotations
