@@ -1,21 +1,23 @@
 """Toxicity by nearest labelled examples.
 
-Features of a text are its words and the beginnings of its words (4 to 6 letters of a longer
-word). A vocabulary is chosen from labelled rows: features clearly commoner in toxic
-examples. Examples and texts are TF-IDF vectors over it, with document frequencies counted
-over all documents. The k nearest examples by exact cosine come from a block-max inverted
-index: blocks of examples are opened in the order of their upper bounds until none can
-hold a nearer one. Votes weigh by closeness and pass through a monotone calibration fitted
-on the examples' own leave-one-out votes; the ids of the nearest examples are the evidence.
-
-Examples are a bounded sample, `MAX_EXAMPLES` labelled rows of least id hash; the index, its
-vocabulary and the calibration are therefore bounded and go to every task. Everything counted
-over the corpus covers all of it.
-
-NULL and empty texts, and texts without a feature of the vocabulary, get the share of toxic
-labels among the examples without one. Labels of one id that disagree count as toxic; rows
-with a NULL label are no examples. With no usable label every score is 0. Repeated rows get
-equal results.
+A text is the TF-IDF vector of all its words that examples have, with document frequencies
+counted over all documents. A word weighs `FLOOR` plus the root of its log-likelihood gain if
+it is commoner in toxic examples: no word is left out, so every text with a word of any example
+has neighbours. The k nearest examples by exact cosine come from a block-max inverted index:
+words enter in the order of what they can add, until the greatest weights of the remaining
+words in a block show that few of its examples can still be among the nearest; those are scored
+in full. Votes weigh by closeness and pass through a monotone calibration fitted on the
+examples' own leave-one-out votes; the ids of the nearest examples are the evidence.
+
+Examples are a bounded sample of labelled rows in the order of an id hash: at most
+`MAX_EXAMPLES` rows whose whole texts have at most `MAX_EXAMPLE_BYTES` together; a text above a
+sixteenth of those bytes is no example. The index, its vocabulary and the calibration are
+therefore bounded and go to every task. Everything counted over the corpus covers all of it.
+
+NULL and empty texts, and texts without a word of any example, get the share of toxic labels
+among the examples without a word, or among all if there is none. Labels of one id that
+disagree count as toxic; rows with a NULL label are no examples. With no usable label every
+score is 0. Repeated rows get equal results, and are one example.
 """
 
 from __future__ import annotations
@@ -26,32 +28,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casestats.llm.common import KEY, keyed, slices, stage, without_rows
+from casestats.llm.common import KEY, join_keyed, keyed, slices, stage, without_rows
 
 MAX_EXAMPLES = 20_000
-MAX_FEATURES = 2_000
-MIN_TOXIC = 3
-MIN_SHARE = 0.6
-MIN_GAIN = 8.0
+MAX_EXAMPLE_BYTES = 128 << 20
+FLOOR = 0.1
 NEAREST = 25
 BLOCK = 64
+# Shares of a query's postings after which the bounds are tried, and how many rows may be left.
+TRIALS = (0.08, 0.3)
+LEFT = 96
 PRIOR_WEIGHT = 1.0
-PREFIXES = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(text: str | None) -> Counter:
-    """Counts of words and of word beginnings (marked by `*`)."""
-    words = Counter(WORD.findall((text or "").lower()))
-    out = Counter(words)
-    for word, n in words.items():
-        for k in PREFIXES:
-            if len(word) > k:
-                out[word[:k] + "*"] += n
-    return out
+    """Counts of words."""
+    return Counter(WORD.findall((text or "").lower()))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -59,8 +55,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def examples(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES) -> DataFrame:
-    """(doc_id, text_key, text, toxic) of at most `limit` labelled rows."""
+def examples(
+    docs: DataFrame,
+    labels: DataFrame,
+    limit: int = MAX_EXAMPLES,
+    max_bytes: int = MAX_EXAMPLE_BYTES,
+) -> DataFrame:
+    """(doc_id, text_key, toxic) of at most `limit` labelled rows with `max_bytes` of text."""
     known = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .filter(~held_out(F.col("doc_id")))
@@ -69,71 +70,46 @@ def examples(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES) -> D
         .orderBy(F.xxhash64("_doc_id"), "_doc_id")
         .limit(limit)
     )
-    rows = keyed(docs)
-    return rows.join(F.broadcast(known), rows["doc_id"] == F.col("_doc_id")).drop("_doc_id")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rows = keyed(docs).select(*KEY, size.alias("size")).filter(F.col("size") <= max_bytes // 16)
+    order = [F.xxhash64("doc_id"), "doc_id", "text_key"]
+    taken = (
+        rows.join(F.broadcast(known), rows["doc_id"] == F.col("_doc_id"))  # within `limit` ids
+        .select(*KEY, "size", "toxic")
+        .distinct()
+        .orderBy(*order)
+        .limit(limit)
+    )
+    # At most `limit` narrow rows, so one task may sum them.
+    so_far = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return taken.withColumn("so_far", so_far).filter(F.col("so_far") <= max_bytes).select(*KEY, "toxic")
 
 
-def choose_vocabulary(chosen: DataFrame) -> list[str]:
-    """At most MAX_FEATURES features: in MIN_TOXIC toxic examples or more, which are
-    MIN_SHARE or more of its examples, with a log-likelihood gain of MIN_GAIN or more."""
-    n = dict(chosen.groupBy("toxic").count().collect())
-    toxic, clean = n.get(1, 0), n.get(0, 0)
-    if not toxic or not clean:
-        return []
+def list_vocabulary(docs: DataFrame, chosen: DataFrame) -> list[str]:
+    """All words of the examples; their texts' bytes bound them."""
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in slices(batches):
-            seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for text, label in zip(batch["text"], batch["toxic"], strict=True):
-                seen[int(label > 0)].update(features(text).keys())
-            names = list(seen[0] | seen[1])
-            yield pd.DataFrame(
-                {
-                    "feature": names,
-                    "toxic": [seen[1][x] for x in names],
-                    "clean": [seen[0][x] for x in names],
-                }
-            )
-
-    a, b = F.col("toxic"), F.col("clean")
-    rate = F.lit(toxic / (toxic + clean))
-    share = a / (a + b)
+            words = set().union(*(features(text) for text in batch["text"]))
+            yield pd.DataFrame({"word": list(words)})
 
-    def part(x, p):
-        return F.when(x > 0, x * F.ln(x / ((a + b) * p))).otherwise(0.0)
-
-    counted = (
-        chosen.select("text", "toxic")
-        .mapInPandas(listed, "feature string, toxic long, clean long")
-        .groupBy("feature")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .filter((a >= MIN_TOXIC) & (share >= MIN_SHARE))
-        .withColumn("gain", 2 * (part(a, rate) + part(b, 1 - rate)))
-        .filter(F.col("gain") >= MIN_GAIN)
-        .orderBy(F.desc("gain"), "feature")
-        .limit(MAX_FEATURES)
-    )
-    return sorted(r["feature"] for r in counted.collect())
+    texts = join_keyed(keyed(docs), F.broadcast(chosen.select(*KEY)), "left_semi")
+    words = texts.select("text").mapInPandas(listed, "word string").distinct()
+    return sorted(words.toPandas()["word"])
 
 
 def vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(doc_id, text_key, ids, counts): the vocabulary's features in every text."""
-    number = {f: i for i, f in enumerate(vocabulary)}
+    """(doc_id, text_key, ids, counts): the vocabulary's words in every text."""
+    numbers = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        starts = {k: {f[:-1] for f in number if f[-1] == "*" and len(f) == k + 1} for k in PREFIXES}
+        number = numbers.value
         for batch in slices(batches):
             ids, counts = [], []
             for text in batch["text"]:
-                own: Counter = Counter()
-                for word, n in Counter(WORD.findall((text or "").lower())).items():
-                    if word in number:
-                        own[number[word]] += n
-                    for k, known in starts.items():
-                        if len(word) > k and word[:k] in known:
-                            own[number[word[:k] + "*"]] += n
-                ids.append(sorted(own))
-                counts.append([own[i] for i in sorted(own)])
+                own = sorted((number[w], n) for w, n in features(text).items() if w in number)
+                ids.append([i for i, _ in own])
+                counts.append([n for _, n in own])
             out = batch[KEY].copy()
             out["ids"], out["counts"] = ids, counts
             yield out
@@ -142,6 +118,24 @@ def vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     return keyed(docs).mapInPandas(found, schema)
 
 
+def word_weights(rows: list, size: int) -> np.ndarray:
+    """FLOOR, plus the root of the log-likelihood gain where a word is commoner in toxic
+    examples than in all."""
+    seen = np.zeros((2, size))
+    for _, toxic, ids, _ in rows:
+        seen[toxic, np.asarray(ids, "int64")] += 1
+    total = seen.sum(0)
+    rate = sum(r[1] for r in rows) / max(len(rows), 1)
+    if not 0 < rate < 1:
+        return np.ones(size)
+
+    def part(x, p):
+        return x * np.log(np.where(x > 0, x, 1) / np.where(x > 0, total * p, 1))
+
+    gain = np.maximum(2 * (part(seen[1], rate) + part(seen[0], 1 - rate)), 0)
+    return FLOOR + np.sqrt(np.where(seen[1] > rate * total, gain, 0))
+
+
 def weigh(ids, counts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit vector of (1 + ln tf) * idf."""
     ids = np.asarray(ids, "int64")
@@ -151,41 +145,99 @@ def weigh(ids, counts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class BlockMaxIndex:
-    """Inverted lists over blocks of examples with the greatest weight of each block."""
+    """Inverted lists over blocks of examples with the greatest weight of each block.
+
+    Examples that share their commonest words stand together, so that blocks differ.
+    """
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], size: int):
-        self.n, self.blocks = len(rows), -(-len(rows) // BLOCK)
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(size)]
-        for i, (ids, weights) in enumerate(rows):
-            for f, w in zip(ids, weights, strict=True):
-                lists[f].append((i, w))
-        self.ids = [np.array([i for i, _ in x], "int64") for x in lists]
-        self.weights = [np.array([w for _, w in x], float) for x in lists]
-        edges = np.arange(self.blocks + 1) * BLOCK
-        self.ends = [np.searchsorted(x, edges) for x in self.ids]
-        self.most = np.zeros((size, self.blocks))
-        for f, (x, w) in enumerate(zip(self.ids, self.weights, strict=True)):
-            np.maximum.at(self.most[f], x // BLOCK, w)
+        self.n, self.size = len(rows), size
+        lengths = np.array([len(ids) for ids, _ in rows], "int64")
+        everything = np.concatenate([ids for ids, _ in rows]) if rows else np.empty(0, "int64")
+        df = np.bincount(everything, minlength=size)
+        common = [tuple(ids[np.argsort(-df[ids], kind="stable")[:3]].tolist()) for ids, _ in rows]
+        self.row = np.array(sorted(range(self.n), key=common.__getitem__), "int64")
+        self.place = np.argsort(self.row, kind="stable")
+        self.ends = np.concatenate([[0], np.cumsum(lengths[self.row])]).astype("int64")
+        self.words = np.empty(len(everything), "int32")
+        self.exact = np.empty(len(everything))
+        for at, i in enumerate(self.row):
+            self.words[self.ends[at] : self.ends[at + 1]] = rows[i][0]
+            self.exact[self.ends[at] : self.ends[at + 1]] = rows[i][1]
+        by_word = np.argsort(self.words, kind="stable")
+        self.places = np.repeat(np.arange(self.n, dtype="int32"), np.diff(self.ends))[by_word]
+        self.weights = self.exact[by_word].astype("float32")
+        self.starts = np.concatenate([[0], np.cumsum(df)]).astype("int64")
+        # One entry for each block that a word occurs in, with its greatest weight there.
+        block = self.places // BLOCK
+        word = self.words[by_word]
+        first = np.ones(len(word), bool)
+        first[1:] = (word[1:] != word[:-1]) | (block[1:] != block[:-1])
+        at = np.flatnonzero(first)
+        self.blocks = block[at]
+        self.most = np.maximum.reduceat(self.weights, at) if len(at) else self.weights
+        self.block_starts = np.searchsorted(word[at], np.arange(size + 1))
+        self.peak = np.zeros(size, "float32")
+        np.maximum.at(self.peak, word[at], self.most)
+        self.scratch = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "scratch": None}
+
+    def scores(self, places, ids, weights) -> np.ndarray:
+        """Exact cosines of the examples at these places."""
+        if self.scratch is None:
+            self.scratch = np.zeros(self.size)
+        lengths = self.ends[places + 1] - self.ends[places]
+        starts = np.cumsum(lengths) - lengths
+        at = np.arange(lengths.sum()) + np.repeat(self.ends[places] - starts, lengths)
+        self.scratch[ids] = weights
+        products = self.exact[at] * self.scratch[self.words[at]]
+        self.scratch[ids] = 0
+        return np.add.reduceat(products, starts)
 
     def nearest(self, ids, weights, k: int, leave_out: int = -1):
         """Row numbers and cosines of the k nearest rows with a cosine above 0, nearest
         first, equal ones by row number."""
-        bound = weights @ self.most[ids]
-        rows, scores = np.empty(0, "int64"), np.empty(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(rows) == k and bound[block] < scores[-1] - 1e-12:
+        if not self.n or not len(ids):
+            return np.empty(0, "int64"), np.empty(0)
+        order = np.argsort(-weights * self.peak[ids], kind="stable")
+        words, w = ids[order], weights[order].astype("float32")
+        lo, hi = self.starts[words], self.starts[words + 1]
+        read = np.cumsum(hi - lo)
+        edges = [int(np.searchsorted(read, read[-1] * share)) + 1 for share in TRIALS]
+        least = np.zeros(self.n, "float32")
+        done = 0
+        for edge in [*edges, len(words)]:
+            for i in range(done, edge):
+                at = self.places[lo[i] : hi[i]]
+                least[at] += self.weights[lo[i] : hi[i]] * w[i]
+            done = max(done, edge)
+            if leave_out >= 0:
+                least[self.place[leave_out]] = 0
+            kth = np.partition(least, -k)[-k] if self.n > k else 0.0
+            greatest = least
+            if done < len(words):
+                greatest = least + np.repeat(self.bounds(words[done:], w[done:]), BLOCK)[: self.n]
+            # The slack is far above what single precision rounds away.
+            left = np.flatnonzero((greatest >= kth - 1e-4) & (greatest > 0))
+            if len(left) <= LEFT:
                 break
-            own = np.zeros(BLOCK)
-            for f, w in zip(ids, weights, strict=True):
-                lo, hi = self.ends[f][block], self.ends[f][block + 1]
-                own[self.ids[f][lo:hi] - block * BLOCK] += w * self.weights[f][lo:hi]
-            at = np.flatnonzero(own > 0)
-            at = at[at + block * BLOCK != leave_out]
-            rows = np.concatenate([rows, at + block * BLOCK])
-            scores = np.concatenate([scores, own[at]])
-            best = np.lexsort((rows, -np.round(scores, 12)))[:k]
-            rows, scores = rows[best], scores[best]
-        return rows, scores
+        left = left[self.row[left] != leave_out]
+        if not len(left):
+            return left, np.empty(0)
+        scores, rows = self.scores(left, ids, weights), self.row[left]
+        best = np.lexsort((rows, -np.round(scores, 12)))[:k]
+        best = best[scores[best] > 0]
+        return rows[best], scores[best]
+
+    def bounds(self, words, weights) -> np.ndarray:
+        """What these words can add at most to an example of each block."""
+        lo, hi = self.block_starts[words], self.block_starts[words + 1]
+        out = np.zeros(-(-self.n // BLOCK), "float32")
+        for i, weight in enumerate(weights):
+            out[self.blocks[lo[i] : hi[i]]] += self.most[lo[i] : hi[i]] * weight
+        return out
 
 
 class Scorer:
@@ -193,19 +245,28 @@ class Scorer:
 
     def __init__(self, rows: list, idf: np.ndarray):
         """rows: (doc_id, toxic, ids, counts) of the examples."""
-        self.idf = idf
+        self.idf = idf * word_weights(rows, len(idf))
         filled = [r for r in rows if len(r[2])]
         bare = [r[1] for r in rows if not len(r[2])]
         self.rate = sum(r[1] for r in rows) / len(rows) if rows else 0.0
         self.bare = sum(bare) / len(bare) if bare else self.rate
         self.doc_ids = [r[0] for r in filled]
         self.toxic = np.array([r[1] for r in filled], float)
-        self.index = BlockMaxIndex([weigh(r[2], r[3], idf) for r in filled], len(idf))
-        own = [self.vote(r[2], r[3], i)[0] for i, r in enumerate(filled)]
-        self.x, self.y = isotonic(np.array(own), self.toxic)
+        self.index = BlockMaxIndex([weigh(r[2], r[3], self.idf) for r in filled], len(idf))
+        self.x = self.y = np.empty(0)
+
+    def calibrate(self, votes: np.ndarray) -> None:
+        """Fit the scores to the examples' votes, each made without the example."""
+        self.x, self.y = isotonic(votes, self.toxic)
+
+    def own_vote(self, i: int) -> float:
+        """The vote on an example by the others."""
+        at = self.index.place[i]
+        part = slice(self.index.ends[at], self.index.ends[at + 1])
+        words = self.index.words[part].astype("int64")
+        return self.count_votes(words, self.index.exact[part], i)[0]
 
-    def vote(self, ids, counts, leave_out: int = -1):
-        ids, weights = weigh(ids, counts, self.idf)
+    def count_votes(self, ids, weights, leave_out: int = -1):
         rows, close = self.index.nearest(ids, weights, NEAREST, leave_out)
         w = close**2
         vote = (w @ self.toxic[rows] + PRIOR_WEIGHT * self.rate) / (w.sum() + PRIOR_WEIGHT)
@@ -214,7 +275,7 @@ class Scorer:
     def score(self, ids, counts) -> tuple[float, list]:
         if not len(ids):
             return self.bare, []
-        vote, evidence = self.vote(ids, counts)
+        vote, evidence = self.count_votes(*weigh(ids, counts, self.idf))
         return float(np.interp(vote, self.x, self.y)) if len(self.x) else self.rate, evidence
 
 
@@ -234,40 +295,50 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
+def own_votes(spark: SparkSession, scorer: Scorer) -> np.ndarray:
+    """Every example's vote by the others, as a job over the examples."""
+    shared = spark.sparkContext.broadcast(scorer)
+    n = len(scorer.doc_ids)
+
+    def voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(vote=[shared.value.own_vote(i) for i in batch["id"]])
+
+    votes = spark.range(0, n, 1, max(1, n // 500)).mapInPandas(voted, "id long, vote double")
+    return votes.toPandas().sort_values("id")["vote"].to_numpy()  # within the sample's size
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES) -> DataFrame:
     """doc_id, text_key, held_out, score, predicted, evidence (nearest examples)."""
+    spark = docs.sparkSession
     chosen = stage(examples(docs, labels, limit), "toxicity_examples")
-    vocabulary = choose_vocabulary(chosen)
+    vocabulary = list_vocabulary(docs, chosen)
     every = stage(vectors(docs, vocabulary), "toxicity_vectors")
     n, *_ = every.agg(F.count(F.lit(1))).first()
+    counted = every.select(F.explode("ids").alias("i")).groupBy("i").count().toPandas()
     df = np.zeros(len(vocabulary))
-    for i, count in every.select(F.explode("ids").alias("i")).groupBy("i").count().collect():
-        df[i] = count
+    df[counted["i"].to_numpy("int64")] = counted["count"].to_numpy()
     idf = np.log((1 + n) / (1 + df)) + 1
-    mine = chosen.select(*KEY, "toxic").withColumnsRenamed({c: f"_{c}" for c in KEY})
-    rows = (
-        every.join(
-            F.broadcast(mine),  # within `limit` labelled ids
-            (every["doc_id"] == F.col("_doc_id")) & (every["text_key"] == F.col("_text_key")),
-        )
-        .select("doc_id", "toxic", "ids", "counts")
-        .distinct()
-        .orderBy("doc_id", "ids")
-        .collect()
-    )
-    scorer = Scorer([(r[0], int(r[1] > 0), r[2], r[3]) for r in rows], idf)
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    found = join_keyed(every, F.broadcast(chosen), "inner")  # within `limit` rows
+    rows = found.dropDuplicates(KEY).select("doc_id", "toxic", "ids", "counts").toPandas()
+    rows["order"] = [(i, tuple(ids)) for i, ids in zip(rows["doc_id"], rows["ids"], strict=True)]
+    rows["toxic"] = (rows["toxic"] > 0).astype(int)
+    rows = rows.sort_values("order").drop(columns="order")
+    scorer = Scorer(list(rows.itertuples(index=False, name=None)), idf)
+    scorer.calibrate(own_votes(spark, scorer))
+    shared = spark.sparkContext.broadcast(scorer)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge, known = shared.value, {}
         for batch in slices(batches, 2_000):
             found = []
-            for ids, counts in zip(batch["ids"], batch["counts"], strict=True):
-                key = (tuple(ids), tuple(counts))
+            for text, ids, counts in zip(batch["text_key"], batch["ids"], batch["counts"], strict=True):
+                # Equal texts have one key, but so may others: the sizes are compared too.
+                key = (text, len(ids), int(np.sum(counts)))
                 if key not in known:
                     if len(known) > 50_000:
                         known.clear()
-                    known[key] = judge.score(list(ids), list(counts))
+                    known[key] = judge.score(ids, counts)
                 found.append(known[key])
             out = batch[KEY].copy()
             out["score"] = [s for s, _ in found]
