@@ -4,9 +4,9 @@ A text is the TF-IDF vector of all its words that examples have, with document f
 counted over all documents. A word weighs `FLOOR` plus the root of its log-likelihood gain if
 it is commoner in toxic examples: no word is left out, so every text with a word of any example
 has neighbours. The k nearest examples by exact cosine come from a block-max inverted index:
-words enter in the order of what they can add, until the greatest weights of the remaining
-words in a block show that few of its examples can still be among the nearest; those are scored
-in full. Votes weigh by closeness and pass through a monotone calibration fitted on the
+words enter in the order of what they can add for the postings they cost; then the greatest
+weights of the remaining words in each block tell which examples can still be among the nearest.
+If these are few they are scored in full, else the remaining lists are read first. Votes weigh by closeness and pass through a monotone calibration fitted on the
 examples' own leave-one-out votes; the ids of the nearest examples are the evidence.
 
 Examples are a bounded sample of labelled rows in the order of an id hash: at most
@@ -38,9 +38,8 @@ MAX_EXAMPLE_BYTES = 128 << 20
 FLOOR = 0.1
 NEAREST = 25
 BLOCK = 64
-# Shares of a query's postings after which the bounds are tried, and how many rows may be left.
-TRIALS = (0.08, 0.3)
-LEFT = 96
+# Share of a query's postings after which the bounds are tried.
+TRIAL = 0.4
 PRIOR_WEIGHT = 1.0
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -165,8 +164,8 @@ class BlockMaxIndex:
             self.words[self.ends[at] : self.ends[at + 1]] = rows[i][0]
             self.exact[self.ends[at] : self.ends[at + 1]] = rows[i][1]
         by_word = np.argsort(self.words, kind="stable")
-        self.places = np.repeat(np.arange(self.n, dtype="int32"), np.diff(self.ends))[by_word]
-        self.weights = self.exact[by_word].astype("float32")
+        self.places = np.repeat(np.arange(self.n), np.diff(self.ends))[by_word]
+        self.weights = self.exact[by_word]
         self.starts = np.concatenate([[0], np.cumsum(df)]).astype("int64")
         # One entry for each block that a word occurs in, with its greatest weight there.
         block = self.places // BLOCK
@@ -177,8 +176,9 @@ class BlockMaxIndex:
         self.blocks = block[at]
         self.most = np.maximum.reduceat(self.weights, at) if len(at) else self.weights
         self.block_starts = np.searchsorted(word[at], np.arange(size + 1))
-        self.peak = np.zeros(size, "float32")
+        self.peak = np.zeros(size)
         np.maximum.at(self.peak, word[at], self.most)
+        self.length = len(everything) / max(self.n, 1)
         self.scratch = None
 
     def __getstate__(self):
@@ -201,27 +201,33 @@ class BlockMaxIndex:
         first, equal ones by row number."""
         if not self.n or not len(ids):
             return np.empty(0, "int64"), np.empty(0)
-        order = np.argsort(-weights * self.peak[ids], kind="stable")
-        words, w = ids[order], weights[order].astype("float32")
+        size = np.maximum(self.starts[ids + 1] - self.starts[ids], 1)
+        order = np.argsort(-weights * self.peak[ids] / size, kind="stable")
+        words, w = ids[order], weights[order]
         lo, hi = self.starts[words], self.starts[words + 1]
         read = np.cumsum(hi - lo)
-        edges = [int(np.searchsorted(read, read[-1] * share)) + 1 for share in TRIALS]
-        least = np.zeros(self.n, "float32")
+        trial = int(np.searchsorted(read, read[-1] * TRIAL)) + 1
+        least = np.zeros(self.n)
         done = 0
-        for edge in [*edges, len(words)]:
-            for i in range(done, edge):
-                at = self.places[lo[i] : hi[i]]
-                least[at] += self.weights[lo[i] : hi[i]] * w[i]
-            done = max(done, edge)
+        for edge in (min(trial, len(words)), len(words)):
+            if edge > done:
+                part = slice(done, edge)
+                least += summed(self.places, self.weights, lo[part], hi[part], w[part], self.n)
+                done = edge
             if leave_out >= 0:
                 least[self.place[leave_out]] = 0
-            kth = np.partition(least, -k)[-k] if self.n > k else 0.0
-            greatest = least
+            kth, greatest = 0.0, least
+            if self.n > k:
+                top = np.argpartition(least, -k)[-k:]
+                kth = least[top].min()
             if done < len(words):
+                if kth > 0:  # their whole scores are a higher bar
+                    kth = self.scores(top, ids, weights).min()
                 greatest = least + np.repeat(self.bounds(words[done:], w[done:]), BLOCK)[: self.n]
-            # The slack is far above what single precision rounds away.
-            left = np.flatnonzero((greatest >= kth - 1e-4) & (greatest > 0))
-            if len(left) <= LEFT:
+            # The slack is far above what sums in another order differ by.
+            left = np.flatnonzero((greatest >= kth - 1e-9) & (greatest > 0))
+            # Scoring them in full must cost less than reading on.
+            if len(left) * self.length <= read[-1] - read[done - 1]:
                 break
         left = left[self.row[left] != leave_out]
         if not len(left):
@@ -234,10 +240,16 @@ class BlockMaxIndex:
     def bounds(self, words, weights) -> np.ndarray:
         """What these words can add at most to an example of each block."""
         lo, hi = self.block_starts[words], self.block_starts[words + 1]
-        out = np.zeros(-(-self.n // BLOCK), "float32")
-        for i, weight in enumerate(weights):
-            out[self.blocks[lo[i] : hi[i]]] += self.most[lo[i] : hi[i]] * weight
-        return out
+        return summed(self.blocks, self.most, lo, hi, weights, -(-self.n // BLOCK))
+
+
+def summed(keys, values, starts, ends, factors, size: int) -> np.ndarray:
+    """Sums by key of values times their list's factor, over the lists `starts` to `ends`."""
+    parts = [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    if not parts:
+        return np.zeros(size)
+    found = np.concatenate([values[p] for p in parts]) * np.repeat(factors, ends - starts)
+    return np.bincount(np.concatenate([keys[p] for p in parts]), found, size)
 
 
 class Scorer:

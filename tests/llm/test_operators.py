@@ -251,6 +251,98 @@ def test_block_max_index_is_exact():
         assert np.allclose(scores, cos[best])
 
 
+def test_block_max_index_with_few_candidates():
+    """Rare words tell a few rows apart, so that bounds leave few rows to score."""
+    rng = np.random.default_rng(6)
+    size, n = 3_000, 900
+    idf = np.concatenate([np.full(40, 0.2), rng.random(size - 40) + 4])
+    made = []
+    for i in range(n):
+        ids = np.concatenate([rng.choice(40, 25, False), 40 + (i // 30) * 60 + rng.choice(60, 12, False)])
+        made.append(toxicity.weigh(np.sort(ids), rng.integers(1, 4, len(ids)), idf))
+    index = toxicity.BlockMaxIndex(made, size)
+    dense = np.zeros((n, size))
+    for row, (ids, w) in zip(dense, made, strict=True):
+        row[ids] = w
+    for q in range(0, n, 15):
+        cos = dense @ dense[q]
+        rows, scores = index.nearest(*made[q], 25)
+        best = np.lexsort((np.arange(n), -np.round(cos, 12)))[:25]
+        assert rows.tolist() == best.tolist() and np.allclose(scores, cos[best])
+
+
+def test_toxicity_equals_dense_vectors(spark):
+    """Scores and evidence of every row, from all words, worked out without an index."""
+    rng = random.Random(8)
+    rows = [(i, prose(i % 70, rng.randrange(3, 60)) + (" vilex" if i % 5 == 1 else "")) for i in range(150)]
+    rows += [(5, rows[5][1]), (6, "another text of one id vilex"), (200, None), (201, ""), (202, "unheardof")]
+    labels = [(i, int(i % 5 == 1)) for i in range(0, 150, 2)] + [(6, 1), (200, 0), (201, 1), (8, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxic", F.lit(1))
+    known = spark.createDataFrame(labels, "doc_id long, toxic int").withColumn("text", F.lit("x"))
+    got = toxicity.score_documents(table, known).collect()
+
+    mark = {}
+    for i, t in labels:
+        if t is not None and zlib.crc32(str(i).encode()) % 5:
+            mark[i] = max(t, mark.get(i, 0))
+    bags = [(i, Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))) for i, t in rows]
+    taught = {(i, t): bag for (i, t), (_, bag) in zip(rows, bags, strict=True) if i in mark}
+    words = sorted(set().union(*taught.values()))
+    df = np.array([sum(w in bag for _, bag in bags) for w in words])
+    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    order = sorted(taught, key=lambda k: (k[0], tuple(j for j, w in enumerate(words) if w in taught[k])))
+    y = np.array([mark[i] for i, _ in order])
+    bare = [mark[i] for i, _ in order if not taught[i, _]]
+    order = [k for k in order if taught[k]]
+    rate = y.mean()
+    y = np.array([mark[i] for i, _ in order])
+    weight = []
+    for w in words:
+        a = sum(mark[k[0]] for k in order if w in taught[k])
+        n = sum(w in taught[k] for k in order)
+        gain = sum(2 * x * np.log(x / (n * p)) for x, p in ((a, rate), (n - a, 1 - rate)) if x)
+        weight.append(toxicity.FLOOR + (max(gain, 0) ** 0.5 if a > rate * n else 0))
+
+    def unit(bag):
+        v = np.array([(1 + np.log(bag[w])) if bag[w] else 0 for w in words]) * idf * weight
+        return v / np.sqrt((v * v).sum()) if v.any() else v
+
+    base = np.array([unit(taught[k]) for k in order])
+
+    def vote(v, without=-1):
+        cos = np.round(base @ v, 12)
+        if without >= 0:
+            cos[without] = 0
+        best = [j for j in np.lexsort((np.arange(len(cos)), -cos))[: toxicity.NEAREST] if cos[j] > 0]
+        w = cos[best] ** 2
+        return (w @ y[best] + rate) / (w.sum() + 1), [order[j][0] for j in best[:3]]
+
+    xs, ys = toxicity.isotonic(np.array([vote(v, j)[0] for j, v in enumerate(base)]), y)
+    expected = []
+    for i, bag in bags:
+        v = unit(bag)
+        share = sum(bare) / len(bare) if bare else rate
+        score, near = (np.interp(vote(v)[0], xs, ys), vote(v)[1]) if v.any() else (share, [])
+        expected.append((i, round(float(score), 6), near))
+    assert sorted((r.doc_id, round(r.score, 6), r.evidence) for r in got) == sorted(expected)
+    assert all(r.evidence for r in got if r.doc_id < 200)
+
+
+def test_toxicity_examples_are_bounded(spark):
+    """Repeated ids with many texts, repeated rows and long texts stay within rows and bytes."""
+    rows = [(1, f"text {i}") for i in range(80)] + [(2, "same")] * 50 + [(3, "long " * 400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert {zlib.crc32(str(i).encode()) % 5 for i in (1, 2, 3)}.isdisjoint({0})
+    took = toxicity.examples(table, labels, limit=20).collect()
+    assert len(took) == 20 and len({(r.doc_id, r.text_key) for r in took}) == 20
+    everything = toxicity.examples(table, labels, max_bytes=16_000).collect()
+    assert len(everything) == 81  # the long text has more than 1,000 bytes
+    few = toxicity.examples(table, labels, max_bytes=200).collect()
+    sizes = {t[0]: t[1] for t in table.select(F.xxhash64("text"), F.octet_length("text")).collect()}
+    assert 0 < sum(sizes[r.text_key] for r in few) <= 200
+
+
 # 5
 
 
