@@ -23,11 +23,14 @@ score is 0. Repeated rows get equal results, and are one example.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +44,8 @@ BLOCK = 64
 # Share of a query's postings after which the bounds are tried.
 TRIAL = 0.4
 PRIOR_WEIGHT = 1.0
+# Examples whose votes one task counts.
+VOTES = 2_500
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -117,27 +122,47 @@ def vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     return keyed(docs).mapInPandas(found, schema)
 
 
-def word_weights(rows: list, size: int) -> np.ndarray:
+@dataclass
+class Examples:
+    """The examples' words, one row after the other; row i ends at `ends[i]`."""
+
+    doc_ids: list[int]
+    toxic: np.ndarray
+    ids: np.ndarray
+    counts: np.ndarray
+    ends: np.ndarray
+    idf: np.ndarray
+
+    @classmethod
+    def collected(cls, rows: DataFrame, idf: np.ndarray) -> Examples:
+        """From (doc_id, toxic, ids, counts), whose size the sample's bounds limit."""
+        table = rows.toArrow().combine_chunks()
+        lengths = pc.list_value_length(table["ids"]).to_numpy()
+        ids, counts = (pc.list_flatten(table[c]).to_numpy() for c in ("ids", "counts"))
+        toxic = (table["toxic"].to_numpy() > 0).astype("int64")
+        return cls(table["doc_id"].to_pylist(), toxic, ids, counts, np.cumsum(lengths), idf)
+
+
+def word_weights(examples: Examples) -> np.ndarray:
     """FLOOR, plus the root of the log-likelihood gain where a word is commoner in toxic
     examples than in all."""
-    seen = np.zeros((2, size))
-    for _, toxic, ids, _ in rows:
-        seen[toxic, np.asarray(ids, "int64")] += 1
-    total = seen.sum(0)
-    rate = sum(r[1] for r in rows) / max(len(rows), 1)
+    size, rate = len(examples.idf), examples.toxic.mean() if len(examples.toxic) else 0.0
     if not 0 < rate < 1:
         return np.ones(size)
+    label = np.repeat(examples.toxic, np.diff(examples.ends, prepend=0))
+    total = np.bincount(examples.ids, minlength=size).astype(float)
+    toxic = np.bincount(examples.ids, label, size)
 
     def part(x, p):
         return x * np.log(np.where(x > 0, x, 1) / np.where(x > 0, total * p, 1))
 
-    gain = np.maximum(2 * (part(seen[1], rate) + part(seen[0], 1 - rate)), 0)
-    return FLOOR + np.sqrt(np.where(seen[1] > rate * total, gain, 0))
+    gain = np.maximum(2 * (part(toxic, rate) + part(total - toxic, 1 - rate)), 0)
+    return FLOOR + np.sqrt(np.where(toxic > rate * total, gain, 0))
 
 
 def weigh(ids, counts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit vector of (1 + ln tf) * idf."""
-    ids = np.asarray(ids, "int64")
+    ids = np.asarray(ids, "int32")
     w = (1 + np.log(np.asarray(counts, float))) * idf[ids]
     norm = np.sqrt((w * w).sum())
     return ids, w / norm if norm else w
@@ -152,7 +177,7 @@ class BlockMaxIndex:
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], size: int):
         self.n, self.size = len(rows), size
         lengths = np.array([len(ids) for ids, _ in rows], "int64")
-        everything = np.concatenate([ids for ids, _ in rows]) if rows else np.empty(0, "int64")
+        everything = np.concatenate([np.empty(0, "int32"), *(ids for ids, _ in rows)])
         df = np.bincount(everything, minlength=size)
         common = [tuple(ids[np.argsort(-df[ids], kind="stable")[:3]].tolist()) for ids, _ in rows]
         self.row = np.array(sorted(range(self.n), key=common.__getitem__), "int64")
@@ -164,8 +189,8 @@ class BlockMaxIndex:
             self.words[self.ends[at] : self.ends[at + 1]] = rows[i][0]
             self.exact[self.ends[at] : self.ends[at + 1]] = rows[i][1]
         by_word = np.argsort(self.words, kind="stable")
-        self.places = np.repeat(np.arange(self.n), np.diff(self.ends))[by_word]
-        self.weights = self.exact[by_word]
+        self.places = np.repeat(np.arange(self.n, dtype="int32"), np.diff(self.ends))[by_word]
+        self.weights = self.exact[by_word].astype("float32")
         self.starts = np.concatenate([[0], np.cumsum(df)]).astype("int64")
         # One entry for each block that a word occurs in, with its greatest weight there.
         block = self.places // BLOCK
@@ -181,9 +206,6 @@ class BlockMaxIndex:
         self.length = len(everything) / max(self.n, 1)
         self.scratch = None
 
-    def __getstate__(self):
-        return {**self.__dict__, "scratch": None}
-
     def scores(self, places, ids, weights) -> np.ndarray:
         """Exact cosines of the examples at these places."""
         if self.scratch is None:
@@ -224,8 +246,8 @@ class BlockMaxIndex:
                 if kth > 0:  # their whole scores are a higher bar
                     kth = self.scores(top, ids, weights).min()
                 greatest = least + np.repeat(self.bounds(words[done:], w[done:]), BLOCK)[: self.n]
-            # The slack is far above what sums in another order differ by.
-            left = np.flatnonzero((greatest >= kth - 1e-9) & (greatest > 0))
+            # The slack is far above what single precision rounds away.
+            left = np.flatnonzero((greatest >= kth - 1e-5) & (greatest > 0))
             # Scoring them in full must cost less than reading on.
             if len(left) * self.length <= read[-1] - read[done - 1]:
                 break
@@ -253,24 +275,22 @@ def summed(keys, values, starts, ends, factors, size: int) -> np.ndarray:
 
 
 class Scorer:
-    """The index over the examples with its votes and calibration."""
-
-    def __init__(self, rows: list, idf: np.ndarray):
-        """rows: (doc_id, toxic, ids, counts) of the examples."""
-        self.idf = idf * word_weights(rows, len(idf))
-        filled = [r for r in rows if len(r[2])]
-        bare = [r[1] for r in rows if not len(r[2])]
-        self.rate = sum(r[1] for r in rows) / len(rows) if rows else 0.0
-        self.bare = sum(bare) / len(bare) if bare else self.rate
-        self.doc_ids = [r[0] for r in filled]
-        self.toxic = np.array([r[1] for r in filled], float)
-        self.index = BlockMaxIndex([weigh(r[2], r[3], self.idf) for r in filled], len(idf))
+    """The index over the examples with its votes; `x` and `y` are the calibration's steps."""
+
+    def __init__(self, examples: Examples):
+        e = examples
+        self.idf = e.idf * word_weights(e)
+        starts = e.ends - np.diff(e.ends, prepend=0)
+        filled = np.flatnonzero(e.ends > starts)
+        bare = e.toxic[e.ends == starts]
+        self.rate = float(e.toxic.mean()) if len(e.toxic) else 0.0
+        self.bare = float(bare.mean()) if len(bare) else self.rate
+        self.doc_ids = [e.doc_ids[i] for i in filled]
+        self.toxic = e.toxic[filled].astype(float)
+        parts = [slice(a, b) for a, b in zip(starts[filled], e.ends[filled], strict=True)]
+        self.index = BlockMaxIndex([weigh(e.ids[p], e.counts[p], self.idf) for p in parts], len(e.idf))
         self.x = self.y = np.empty(0)
 
-    def calibrate(self, votes: np.ndarray) -> None:
-        """Fit the scores to the examples' votes, each made without the example."""
-        self.x, self.y = isotonic(votes, self.toxic)
-
     def own_vote(self, i: int) -> float:
         """The vote on an example by the others."""
         at = self.index.place[i]
@@ -307,16 +327,26 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
-def own_votes(spark: SparkSession, scorer: Scorer) -> np.ndarray:
-    """Every example's vote by the others, as a job over the examples."""
-    shared = spark.sparkContext.broadcast(scorer)
-    n = len(scorer.doc_ids)
+_built: dict[str, Scorer] = {}
+
+
+def scorer(name: str, examples) -> Scorer:
+    """The scorer of broadcast examples, built once in a Python worker."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Scorer(examples.value)
+    return _built[name]
+
+
+def own_votes(spark: SparkSession, name: str, shared, n: int) -> np.ndarray:
+    """Every example's vote by the others, as a job over the `n` examples with words."""
 
     def voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(vote=[shared.value.own_vote(i) for i in batch["id"]])
+            judge = scorer(name, shared)
+            yield batch.assign(vote=[judge.own_vote(i) for i in batch["id"]])
 
-    votes = spark.range(0, n, 1, max(1, n // 500)).mapInPandas(voted, "id long, vote double")
+    votes = spark.range(0, n, 1, -(-n // VOTES) or 1).mapInPandas(voted, "id long, vote double")
     return votes.toPandas().sort_values("id")["vote"].to_numpy()  # within the sample's size
 
 
@@ -332,18 +362,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLE
     df[counted["i"].to_numpy("int64")] = counted["count"].to_numpy()
     idf = np.log((1 + n) / (1 + df)) + 1
     found = join_keyed(every, F.broadcast(chosen), "inner")  # within `limit` rows
-    rows = found.dropDuplicates(KEY).select("doc_id", "toxic", "ids", "counts").toPandas()
-    rows["order"] = [(i, tuple(ids)) for i, ids in zip(rows["doc_id"], rows["ids"], strict=True)]
-    rows["toxic"] = (rows["toxic"] > 0).astype(int)
-    rows = rows.sort_values("order").drop(columns="order")
-    scorer = Scorer(list(rows.itertuples(index=False, name=None)), idf)
-    scorer.calibrate(own_votes(spark, scorer))
-    shared = spark.sparkContext.broadcast(scorer)
+    rows = found.dropDuplicates(KEY).orderBy(KEY).select("doc_id", "toxic", "ids", "counts")
+    learnt = Examples.collected(rows, idf)
+    shared, name = spark.sparkContext.broadcast(learnt), uuid.uuid4().hex
+    toxic = learnt.toxic[np.diff(learnt.ends, prepend=0) > 0].astype(float)
+    steps = isotonic(own_votes(spark, name, shared, len(toxic)), toxic)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge, known = shared.value, {}
+        known = {}
         for batch in slices(batches, 2_000):
-            found = []
+            judge, found = scorer(name, shared), []
+            judge.x, judge.y = steps
             for text, ids, counts in zip(batch["text_key"], batch["ids"], batch["counts"], strict=True):
                 # Equal texts have one key, but so may others: the sizes are compared too.
                 key = (text, len(ids), int(np.sum(counts)))
