@@ -25,11 +25,12 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -89,8 +90,8 @@ def examples(
     return taken.withColumn("so_far", so_far).filter(F.col("so_far") <= max_bytes).select(*KEY, "toxic")
 
 
-def list_vocabulary(docs: DataFrame, chosen: DataFrame) -> list[str]:
-    """All words of the examples; their texts' bytes bound them."""
+def list_vocabulary(docs: DataFrame, chosen: DataFrame) -> pa.Array:
+    """All words of the examples, sorted; their texts' bytes bound them."""
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in slices(batches):
@@ -99,15 +100,27 @@ def list_vocabulary(docs: DataFrame, chosen: DataFrame) -> list[str]:
 
     texts = join_keyed(keyed(docs), F.broadcast(chosen.select(*KEY)), "left_semi")
     words = texts.select("text").mapInPandas(listed, "word string").distinct()
-    return sorted(words.toPandas()["word"])
+    found = words.toArrow()["word"].combine_chunks()
+    return found.take(pc.sort_indices(found))
 
 
-def vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+_built: dict[str, object] = {}
+
+
+def once(name: str, make: Callable):
+    """What `make` makes, kept for later tasks of this Python worker until another is asked for."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = make()
+    return _built[name]
+
+
+def vectors(docs: DataFrame, vocabulary: pa.Array) -> DataFrame:
     """(doc_id, text_key, ids, counts): the vocabulary's words in every text."""
-    numbers = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
+    shared, name = docs.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = numbers.value
+        number = once(name, lambda: {w: i for i, w in enumerate(shared.value.to_pylist())})
         for batch in slices(batches):
             ids, counts = [], []
             for text in batch["text"]:
@@ -327,23 +340,12 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
-_built: dict[str, Scorer] = {}
-
-
-def scorer(name: str, examples) -> Scorer:
-    """The scorer of broadcast examples, built once in a Python worker."""
-    if name not in _built:
-        _built.clear()
-        _built[name] = Scorer(examples.value)
-    return _built[name]
-
-
 def own_votes(spark: SparkSession, name: str, shared, n: int) -> np.ndarray:
     """Every example's vote by the others, as a job over the `n` examples with words."""
 
     def voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            judge = scorer(name, shared)
+            judge = once(name, lambda: Scorer(shared.value))
             yield batch.assign(vote=[judge.own_vote(i) for i in batch["id"]])
 
     votes = spark.range(0, n, 1, -(-n // VOTES) or 1).mapInPandas(voted, "id long, vote double")
@@ -361,6 +363,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLE
     df = np.zeros(len(vocabulary))
     df[counted["i"].to_numpy("int64")] = counted["count"].to_numpy()
     idf = np.log((1 + n) / (1 + df)) + 1
+    del counted, vocabulary  # the driver keeps numbers only
     found = join_keyed(every, F.broadcast(chosen), "inner")  # within `limit` rows
     rows = found.dropDuplicates(KEY).orderBy(KEY).select("doc_id", "toxic", "ids", "counts")
     learnt = Examples.collected(rows, idf)
@@ -371,7 +374,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLE
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = {}
         for batch in slices(batches, 2_000):
-            judge, found = scorer(name, shared), []
+            judge, found = once(name, lambda: Scorer(shared.value)), []
             judge.x, judge.y = steps
             for text, ids, counts in zip(batch["text_key"], batch["ids"], batch["counts"], strict=True):
                 # Equal texts have one key, but so may others: the sizes are compared too.
