@@ -60,15 +60,17 @@ def op6_ngram_jaccard_join(spark, sf_dir):
 
 
 def op7_token_output(spark, sf_dir):
-    """The place and check sums of every sequence of BPE ids that was written."""
+    """Where every piece of a text's BPE ids was written, and its sequence's check sum as read
+    from the shards."""
     ready(spark)
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    out = token_output.materialised(table(spark, sf_dir, "documents"), path)
-    return out.select(
-        "slot", "shard", "row", "doc_id", "part", "n_ids",
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    path = token_output.materialise(table(spark, sf_dir, "documents"), vocabulary)
+    sums = token_output.read_sequences(spark, path).select(
+        "slot",
         F.octet_length("ids").cast("long").alias("stride"),
         F.sha2("ids", 256).alias("ids_sha256"),
-    )
+    )
+    return token_output.read_index(spark, path).drop("text_key").join(sums, "slot")
 
 
 def op8_sharding(spark, sf_dir):

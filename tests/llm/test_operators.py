@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -535,6 +536,57 @@ def test_token_output_of_bpe_ids(spark, docs, tokenizer):
         assert sum(r.n_ids for r in own) == len(expected)
 
 
+def test_token_stream_in_fixed_strides(spark, docs, tokenizer):
+    path = common.new_path(spark, "test_shards")
+    ids, width, end, pad = token_output.bpe_ids(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    n = token_output.write_ids(ids, path, width, pad, 128, 16, apart=False)
+    # The order, counted anew: an unsigned hash of id and text, then both.
+    rows = docs.select("doc_id", F.xxhash64("text").alias("k"), "text")
+    rows = rows.select(F.xxhash64("doc_id", "k").alias("h"), "doc_id", "k", "text").collect()
+    rows.sort(key=lambda r: (r.h % 2**64, r.doc_id is not None, r.doc_id or 0, r.k))
+    stream, starts = [], []
+    for r in rows:
+        own = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, end]
+        starts.append((len(stream), len(own)))
+        stream += own
+    assert n == -(-len(stream) // 128)
+    stream += [pad] * (-len(stream) % 128)
+    slots = token_output.permuted(np.arange(n), n).tolist()
+    expected = {slots[i]: stream[128 * i : 128 * (i + 1)] for i in range(n)}
+    folder = path.removeprefix("file:")
+    for slot, own in expected.items():  # a reader of the files alone
+        with open(f"{folder}/shards/{slot // 16:09d}.bin", "rb") as file:
+            file.seek(slot % 16 * 256)
+            assert np.frombuffer(file.read(256), "<u2").tolist() == own
+    later = token_output.read_sequences(spark, path, 21).orderBy("slot").collect()
+    assert [r.slot for r in later] == list(range(21, n))
+    assert all(np.frombuffer(bytes(r.ids), "<u2").tolist() == expected[r.slot] for r in later)
+    pieces = []
+    for r, (start, size) in zip(rows, starts, strict=True):
+        for part, number in enumerate(range(start // 128, (start + size - 1) // 128 + 1)):
+            a, b = max(start, 128 * number), min(start + size, 128 * (number + 1))
+            slot = slots[number]
+            place = slot, slot // 16, slot % 16, a % 128
+            pieces.append((*place, r.doc_id, r.k, part, a - start, b - a))
+    assert bag(map(tuple, token_output.read_index(spark, path).collect())) == bag(pieces)
+
+
+def test_lost_shards_are_rewritten_alike(spark, docs):
+    path = common.new_path(spark, "test_shards")
+    token_output.write_ids(token_output.byte_ids(docs), path, 1, 0, 64, 8, apart=False)
+    shards = Path(path.removeprefix("file:")) / "shards"
+    before = {f.name: f.read_bytes() for f in shards.iterdir()}
+    assert len(before) > 40 and token_output.lost_shards(spark, path) == []
+    for shard in (3, 17):
+        (shards / f"{shard:09d}.bin").unlink()
+    cut = shards / "000000030.bin"
+    cut.write_bytes(before[cut.name][:100])
+    assert token_output.lost_shards(spark, path) == [3, 17, 30]
+    token_output.rewrite_shards(token_output.byte_ids(docs.repartition(5)), path, [3, 17, 30])
+    assert token_output.lost_shards(spark, path) == []
+    assert {f.name: f.read_bytes() for f in shards.iterdir()} == before
+
+
 # 8
 
 
