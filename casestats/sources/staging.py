@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from urllib.parse import urlsplit
 
@@ -71,9 +72,18 @@ def release(spark: SparkSession) -> None:
 
     It does so for shuffles that the driver's garbage collection finds unused, by itself every
     half hour (`spark.cleaner.periodicGC.interval`): too seldom for a step after step job.
+    A frame that Python dropped is in use until the gateway has passed that on, which it does
+    about once a second; so this waits for it, a few seconds at most.
     """
     gc.collect()
-    spark._jvm.System.gc()
+    dropped = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+    until = time.monotonic() + 3
+    while dropped and time.monotonic() < until:
+        time.sleep(0.02)
+    # As measured, the files go after the second collection, not after the first.
+    for _ in range(2):
+        time.sleep(0.2)
+        spark._jvm.System.gc()
 
 
 class Staging:

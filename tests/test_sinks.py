@@ -1,3 +1,4 @@
+import time
 from datetime import date
 
 import pytest
@@ -8,7 +9,7 @@ from casestats.plans.marts import LazyMarts
 from casestats.sinks.csv import export_csv, read_export
 from casestats.sinks.marts import build_marts, read_marts, run_name, write_marts
 from casestats.sources.schemas import CASE_TABLES, MARTS
-from casestats.sources.staging import require_shared, shared_dir, stage
+from casestats.sources.staging import release, require_shared, shared_dir, stage
 from casestats.sources.tables import jdbc_options
 
 
@@ -140,3 +141,21 @@ def test_staging_refuses_a_local_folder_on_a_cluster():
     require_shared("hdfs:/x", "yarn")
     with pytest.raises(ValueError, match="share"):
         require_shared("file:///tmp/x", "yarn")
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = {files.apply(i).getName() for i in range(files.size())}
+    return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+
+def test_release_frees_the_shuffle_of_a_written_table(spark, tmp_path):
+    release(spark)
+    before = shuffle_files(spark)
+    spark.range(1000).repartition(3, "id").write.parquet(str(tmp_path / "written"))
+    assert shuffle_files(spark) - before
+    release(spark)
+    until = time.monotonic() + 5
+    while (left := shuffle_files(spark) - before) and time.monotonic() < until:
+        time.sleep(0.05)
+    assert not left
