@@ -188,6 +188,7 @@ def write_ids(
         out.write(json.dumps(said).encode())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=1)
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
                 rows = batch.slice(at, AT_ONCE)
@@ -205,7 +206,7 @@ def write_ids(
                 slot = permuted(number, n, key) if len(number) else number
                 data = rows["ids"].to_pylist()
                 own = [
-                    data[i][a * width : b * width]
+                    codec.compress(data[i][a * width : b * width], asbytes=True)
                     for i, a, b in zip(which.tolist(), start.tolist(), end.tolist(), strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
@@ -225,7 +226,7 @@ def write_ids(
                 )
 
     pieces = rows.mapInArrow(cut, f"{INDEX}, data binary")
-    written(pieces, path, said).write.option("compression", "zstd").parquet(f"{path}/index")
+    written(pieces, path, said, packed=True).write.option("compression", "zstd").parquet(f"{path}/index")
     delete(spark, staged)
     return n
 
@@ -238,9 +239,9 @@ def rows_in(said: dict, shard: int) -> int:
     return min(said["per_shard"], said["sequences"] - shard * said["per_shard"])
 
 
-def written(pieces: DataFrame, path: str, said: dict) -> DataFrame:
+def written(pieces: DataFrame, path: str, said: dict, packed: bool = False) -> DataFrame:
     """The index of pieces; whoever reads it writes their shards. All pieces of a shard must be
-    among them."""
+    among them. Their `data` may be packed for the shuffle; the files hold plain ids."""
     per_shard, length, width = said["per_shard"], said["length"], said["width"]
     filler = said["pad"].to_bytes(width, "little")
     stride = length * width
@@ -251,6 +252,7 @@ def written(pieces: DataFrame, path: str, said: dict) -> DataFrame:
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = FileSystem.from_uri(path)
         files.create_dir(f"{folder}/shards", recursive=True)
+        codec = pa.Codec("zstd")
         shard, out, at, name = -1, None, 0, ""
 
         def finish():
@@ -259,8 +261,8 @@ def written(pieces: DataFrame, path: str, said: dict) -> DataFrame:
             files.move(name, shard_file(folder, shard))
 
         for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("shard", "row", "offset", "data")]
-            for of, row, offset, data in zip(*columns, strict=True):
+            columns = [batch[c].to_pylist() for c in ("shard", "row", "offset", "n_ids", "data")]
+            for of, row, offset, n_ids, data in zip(*columns, strict=True):
                 if of != shard:
                     if out is not None:
                         finish()
@@ -269,6 +271,8 @@ def written(pieces: DataFrame, path: str, said: dict) -> DataFrame:
                     out = files.open_output_stream(name, buffer_size=1 << 20)
                 start = row * stride + offset * width
                 out.write(filler * ((start - at) // width))
+                if packed:
+                    data = codec.decompress(data, n_ids * width, asbytes=True)
                 out.write(data)
                 at = start + len(data)
             yield batch.drop_columns(["data"])
