@@ -3,8 +3,11 @@
 A signature is a common word (the anchor) with the two content words that follow it; the
 fingerprint is the sorted set of a text's signatures, eight hexadecimal digits each. Texts
 with words but without a full chain have one signature, of all their words. Likeness is the
-Jaccard value of two sets. `near_duplicates` links sets of 0.8 or more: only sets of fitting
-length meet, through prefixes, and are then compared exactly.
+Jaccard value of two sets. `near_duplicates` links sets of 0.8 or more. Sets are partitioned by
+length so that partners stand in the same or in the next partition; there they meet in inverted
+lists of their rarest signatures, lengths and places in the lists' order bound what they can
+share, and the pairs left are compared exactly. Equal sets are one; each set is first compared
+with the least one of its lists, and only sets of different components are then paired.
 
 The next document in descending order of ids is found by sorting ranges of ids: a range is
 read in order, one row ahead, and is handed a copy of the first row of the following one.
@@ -26,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casestats.llm import ngram_join
-from casestats.llm.common import KEY, keyed, slices
+from casestats.llm.common import KEY, drop_staged, if_small, keyed, release, slices, stage
+from casestats.llm.ngram_join import components
 
 # Common words of English, French, German and Spanish.
 ANCHORS = frozenset(
@@ -71,9 +74,120 @@ def signature_set(text: str | None) -> np.ndarray:
     return np.array(sorted(int(s, 16) for s in signatures(text)), "int64")
 
 
+def partition_starts(longest: int) -> list[int]:
+    """The least length of each partition: lengths of linked sets (5 * least >= 4 * greatest)
+    lie in one partition or in two that follow each other."""
+    starts = [1]
+    while starts[-1] <= longest:
+        starts.append(5 * starts[-1] // 4 + 1)
+    return starts
+
+
+def signature_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n, node, set) of every row; `node` is a hash of the set, NULL if empty."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in slices(batches):
+            sets = [signature_set(t) for t in batch["text"]]
+            node = [xxhash.xxh3_64_intdigest(own.tobytes()) if len(own) else None for own in sets]
+            out = pd.DataFrame({"text_key": batch["text_key"], "doc_id": batch["doc_id"]})
+            out["n"] = [len(own) for own in sets]
+            signed = [None if x is None else x - (x >> 63 << 64) for x in node]
+            out["node"] = pd.array(signed, "Int64")
+            out["set"] = sets
+            yield out[[*KEY, "n", "node", "set"]]
+
+    schema = "doc_id long, text_key long, n int, node long, set array<long>"
+    return keyed(docs).mapInPandas(made, schema)
+
+
+def inverted_lists(sets: DataFrame) -> DataFrame:
+    """(part, signature, node, n, place, home): the rarest signatures of each set, as many as one
+    shared by any two linked sets must be among; in its own partition (`home`) and the next."""
+    spots = sets.select("node", "n", F.explode("set").alias("signature"))
+    seen = spots.groupBy("signature").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1")
+    # A signature of one set alone is the rarest there is, but leads nowhere: its place counts.
+    alone = F.struct(F.coalesce("seen", F.lit(1)).alias("seen"), "signature")
+    rows = spots.join(seen, "signature", "left").groupBy("node", "n").agg(
+        F.sort_array(F.collect_list(alone)).alias("ordered")  # within one set
+    )
+    prefix = F.expr("slice(ordered, 1, n - cast(ceil(4 * n / 5) as int) + 1)")
+    listed = rows.select("node", "n", F.posexplode(prefix).alias("place", "spot"))
+    longest = sets.agg(F.max("n")).first()[0] or 0
+    starts = F.lit(partition_starts(longest)).cast("array<int>")  # grows with the logarithm
+    own = F.size(F.filter(starts, lambda start: start <= F.col("n")))
+    both = F.explode(F.array(F.lit(0), F.lit(1))).alias("ahead")
+    return (
+        listed.filter("spot.seen > 1")
+        .select(own.alias("own"), F.col("spot.signature").alias("signature"), "node", "n", "place", both)
+        .select(
+            (F.col("own") + F.col("ahead")).alias("part"), "signature", "node", "n", "place",
+            (F.col("ahead") == 0).alias("home"),
+        )
+    )
+
+
+# Two sets of lengths n and m are linked from this many shared signatures on.
+NEEDED = "ceil(4 * (n + m) / 9)"
+# What they can share if the first signature they share stands in these places.
+POSSIBLE = "1 + least(n - place - 1, m - place_b - 1)"
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of `pairs` whose sets have 100 * intersection >= 80 * union."""
+    a = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
+    b = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+    both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
+    union = F.size("set_a") + F.size("set_b") - both
+    rows = pairs.select("a", "b").join(a, "a").join(b, "b")
+    return rows.filter(100 * both >= 80 * union).select("a", "b")
+
+
+def least_of_lists(lists: DataFrame) -> DataFrame:
+    """(a, b): each set with the set that is least at home in most of its lists."""
+    least = lists.filter("home").groupBy("part", "signature").agg(F.min("node").alias("b"))
+    votes = (
+        lists.join(least, ["part", "signature"])
+        .filter("node <> b")
+        .groupBy(F.col("node").alias("a"), "b")
+        .agg(F.count(F.lit(1)).alias("votes"))
+    )
+    return votes.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b"))
+
+
+def pruned_pairs(lists: DataFrame, component: DataFrame) -> DataFrame:
+    """(a, b) of sets in different components that meet in a list of a partition where b is at
+    home, and whose lengths and places allow enough shared signatures."""
+    rows = lists.join(if_small(component), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    held = rows.filter("home").select(
+        "part", "signature", F.col("node").alias("b"), F.col("n").alias("m"),
+        F.col("place").alias("place_b"), F.col("comp").alias("comp_b"),
+    )
+    met = rows.withColumnRenamed("node", "a").join(held, ["part", "signature"])
+    once = "comp <> comp_b and (not home or a < b)"
+    return met.filter(once).filter(f"{POSSIBLE} >= {NEEDED}").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles (signatures), component_id."""
-    return ngram_join.near_duplicates(docs, make_set=signature_set)
+    """doc_id, text_key, n_shingles (signatures), component_id. Empty sets link with nothing."""
+    rows = stage(signature_sets(docs), "signature_sets")
+    several = rows.filter("node is not null").select("node", "n", "set")
+    sets = stage(several.dropDuplicates(["node"]), "distinct_sets")
+    lists = stage(inverted_lists(sets), "signature_lists")
+    release(docs.sparkSession)
+    found = components(stage(compared(least_of_lists(lists), sets), "links"))
+    more = stage(compared(pruned_pairs(lists, found), sets), "links")
+    comp = components(found.union(more))
+    drop_staged(sets, lists)
+    own = rows.join(if_small(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    low = own.filter("comp is not null").groupBy(F.col("comp").alias("_comp")).agg(
+        F.min("doc_id").alias("low")
+    )
+    return own.join(low, own["comp"] == F.col("_comp"), "left").select(
+        *KEY,
+        F.col("n").cast("long").alias("n_shingles"),
+        F.coalesce("low", "doc_id").alias("component_id"),
+    )
 
 
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:

@@ -205,6 +205,42 @@ def test_signatures_and_near_duplicates(docs):
     assert found[0] == found[1] == found[2] == found[40] == 0
 
 
+def test_partitions_hold_partners_next_to_each_other():
+    starts = spotsigs.partition_starts(500)
+    part = [sum(start <= n for start in starts) for n in range(501)]
+    for n in range(1, 400):
+        assert part[n * 5 // 4] - part[n] <= 1
+
+
+def test_spotsigs_join_equals_brute_force(spark, docs):
+    rng = random.Random(11)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    template = prose(20, 300)
+    for k in range(60):  # copies of a template, edited apart and cut to many lengths
+        words = template.split()
+        for _ in range(rng.randrange(14)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(9)}"
+        rows.append((100 + k, " ".join(words[: rng.randrange(200, 301)])))
+    for k in range(60):  # short texts, one signature more or less
+        rows.append((200 + k, " ".join(f"the a{i % 7} b{i % 9}" for i in range(3 + k % 20))))
+    sets = [spotsigs.signatures(t) for _, t in rows]
+    low = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b) and low[i] != low[j]:
+                gone, stays = max(low[i], low[j]), min(low[i], low[j])
+                low = [stays if x == gone else x for x in low]
+    ids = {}
+    for group, (i, _) in zip(low, rows, strict=True):
+        ids.setdefault(group, []).append(i)
+    least = {g: min((i for i in own if i is not None), default=None) for g, own in ids.items()}
+    expected = [(i, len(a), least[g]) for (i, _), a, g in zip(rows, sets, low, strict=True)]
+    found = spotsigs.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = found.select("doc_id", "n_shingles", "component_id").collect()
+    assert bag(map(tuple, found)) == bag(expected)
+    assert 20 < len(set(low)) < len(rows) - 60
+
+
 # 4
 
 
