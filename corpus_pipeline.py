@@ -5,8 +5,8 @@ all but the last return the columns of `documents`. ORACLE_SQL is None: nearest-
 scores, linked components and BPE can't be expressed in SQL; tests compare each stage but the
 first, whose score is tested by itself, with a brute-force version.
 
-In every stage: NULL and empty texts are neither boilerplate, near copies nor contaminated, stay
-as they are and have no ids at the end. NULL ids are ids of their own; a near copy with a NULL id
+NULL and empty texts have the toxicity of the labelled texts without words; else they are neither
+boilerplate, near copies nor contaminated, stay as they are and have no ids at the end. NULL ids are ids of their own; a near copy with a NULL id
 goes before one with an id. Of repeated rows one stays. Other columns keep their values under any name
 (but `n_chars`, where lines went) up to the last stage. Whole texts are read, however long. Without
 labels nobody is toxic; an empty table gives an empty one.
