@@ -1,5 +1,9 @@
+import os
+import subprocess
+import sys
 import time
 from datetime import date
+from pathlib import Path
 
 import pytest
 from conftest import rows
@@ -143,6 +147,43 @@ def test_staging_refuses_a_local_folder_on_a_cluster():
         require_shared("file:///tmp/x", "yarn")
 
 
+WITHOUT_SETTING = """
+from pyspark.sql import SparkSession
+from casestats.sources.staging import CHECKPOINT_DIR, shared_dir, stage
+build = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+spark = build.config("spark.sql.shuffle.partitions", "1").getOrCreate()
+assert spark.conf.get(CHECKPOINT_DIR, None) is None
+kept = stage(spark.range(3).toDF("id"), "ids")
+assert kept.count() == 3 and shared_dir(spark) in kept.inputFiles()[0]
+assert shared_dir(spark) == shared_dir(spark.newSession())
+assert shared_dir(spark).startswith("file:///")
+spark.sparkContext.setCheckpointDir("NAMED")
+assert shared_dir(spark).startswith("file:NAMED/")
+assert stage(spark.range(2).toDF("id"), "ids").count() == 2
+print("staged")
+"""
+
+
+def test_staging_without_the_setting(tmp_path):
+    """A session of its own, as defaults may name the folder for this one."""
+    for name in ("defaults", "temp", "named"):
+        (tmp_path / name).mkdir()
+    script = WITHOUT_SETTING.replace("NAMED", str(tmp_path / "named"))
+    environment = os.environ | {
+        "SPARK_CONF_DIR": str(tmp_path / "defaults"),
+        "TMPDIR": str(tmp_path / "temp"),
+        "PYTHONPATH": str(Path(__file__).resolve().parents[1]),
+    }
+    # The tests' own gateway is not to be shared.
+    for name in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET"):
+        environment.pop(name, None)
+    run = subprocess.run(
+        [sys.executable, "-c", script], env=environment, cwd=tmp_path, capture_output=True,
+        text=True, timeout=120,
+    )
+    assert run.stdout.endswith("staged\n"), run.stderr[-2000:]
+
+
 def shuffle_files(spark):
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
     names = {files.apply(i).getName() for i in range(files.size())}
