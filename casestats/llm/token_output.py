@@ -13,7 +13,8 @@ permutation of 0..N-1. Shard `slot // per_shard` is one file of raw bytes in whi
 Ranges of shards are tasks; a task writes its files under a name of its own and renames them
 when they are whole, so a task that is repeated leaves the same files. Beside them lie a manifest
 and an index of the pieces of texts, by which `rewrite_shards` makes lost shards again without
-numbering anything anew. The same rows and key give the same files.
+numbering anything anew. The same rows and key give the same files. The manifest is written last:
+what was cut off has none, and can't be read.
 
 NULL texts count as empty: one piece that holds END alone. Repeated rows get places of their own
 (rows of one id and text meet in one range). An empty table writes no shard. A text's ids are one
@@ -25,6 +26,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from functools import partial
 from pathlib import Path
 
 import numpy as np
@@ -49,6 +51,8 @@ ROUNDS = 6
 MOST_TASKS = 20_000
 # Rows that are read or cut at a time.
 AT_ONCE = 256
+# Shards are written in so many turns, so that only one turn's pieces lie in a shuffle at a time.
+TURNS = 2
 
 INDEX = (
     "slot long, shard long, row int, offset int, doc_id long, text_key long, part int, "
@@ -182,12 +186,8 @@ def write_ids(
         "sequences": n, "length": length, "width": width, "pad": pad, "per_shard": per_shard,
         "key": key,
     }
-    files, folder = FileSystem.from_uri(path)
-    files.create_dir(folder, recursive=True)
-    with files.open_output_stream(f"{folder}/manifest.json") as out:
-        out.write(json.dumps(said).encode())
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch], within: tuple[int, int]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=1)
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
@@ -204,6 +204,8 @@ def write_ids(
                 start = np.maximum(number * length - first[which], 0)
                 end = np.minimum((number + 1) * length - first[which], size[which])
                 slot = permuted(number, n, key) if len(number) else number
+                mine = (slot >= within[0] * per_shard) & (slot < within[1] * per_shard)
+                which, part, start, end, slot = (x[mine] for x in (which, part, start, end, slot))
                 data = rows["ids"].to_pylist()
                 own = [
                     codec.compress(data[i][a * width : b * width], asbytes=True)
@@ -225,9 +227,20 @@ def write_ids(
                     names=[c.split()[0] for c in INDEX.split(", ")] + ["data"],
                 )
 
-    pieces = rows.mapInArrow(cut, f"{INDEX}, data binary")
-    written(pieces, path, said, packed=True).write.option("compression", "zstd").parquet(f"{path}/index")
+    shards = max(-(-n // per_shard), 1)
+    turns = min(TURNS, shards)
+    for turn in range(turns):
+        within = turn * shards // turns, (turn + 1) * shards // turns
+        pieces = rows.mapInArrow(partial(cut, within=within), f"{INDEX}, data binary")
+        index = written(pieces, path, said, True, within).write.option("compression", "zstd")
+        index.mode("append" if turn else "error").parquet(f"{path}/index")
+        del pieces, index
+        release(spark)
     delete(spark, staged)
+    files, folder = FileSystem.from_uri(path)
+    files.create_dir(folder, recursive=True)
+    with files.open_output_stream(f"{folder}/manifest.json") as out:
+        out.write(json.dumps(said).encode())
     return n
 
 
@@ -239,15 +252,18 @@ def rows_in(said: dict, shard: int) -> int:
     return min(said["per_shard"], said["sequences"] - shard * said["per_shard"])
 
 
-def written(pieces: DataFrame, path: str, said: dict, packed: bool = False) -> DataFrame:
+def written(
+    pieces: DataFrame, path: str, said: dict, packed: bool = False, within: tuple | None = None
+) -> DataFrame:
     """The index of pieces; whoever reads it writes their shards. All pieces of a shard must be
-    among them. Their `data` may be packed for the shuffle; the files hold plain ids."""
+    among them; `within` (from, to) tells which shards there may be. Their `data` may be packed
+    for the shuffle; the files hold plain ids."""
     per_shard, length, width = said["per_shard"], said["length"], said["width"]
     filler = said["pad"].to_bytes(width, "little")
     stride = length * width
-    shards = max(-(-said["sequences"] // per_shard), 1)
-    each = -(-shards // MOST_TASKS)
-    task = F.floor(F.col("shard") / each).cast("int")
+    begin, end = within or (0, max(-(-said["sequences"] // per_shard), 1))
+    each = -(-(end - begin) // MOST_TASKS)
+    task = F.floor((F.col("shard") - begin) / each).cast("int")
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = FileSystem.from_uri(path)
@@ -280,7 +296,7 @@ def written(pieces: DataFrame, path: str, said: dict, packed: bool = False) -> D
             finish()
 
     return (
-        pieces.repartitionById(-(-shards // each), task)
+        pieces.repartitionById(-(-(end - begin) // each), task)
         .sortWithinPartitions("slot", "offset")
         .mapInArrow(filled, INDEX)
     )

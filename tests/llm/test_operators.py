@@ -607,6 +607,23 @@ def test_token_stream_in_fixed_strides(spark, docs, tokenizer):
     assert bag(map(tuple, token_output.read_index(spark, path).collect())) == bag(pieces)
 
 
+def test_shards_are_written_in_turns(spark, docs, monkeypatch):
+    """A turn shuffles the pieces of its own shards alone; until the last one nothing is read."""
+    path, seen, plain = common.new_path(spark, "test_shards"), [], token_output.written
+
+    def watched(pieces, *others):
+        assert not (Path(path.removeprefix("file:")) / "manifest.json").exists()
+        seen.append({r.shard for r in pieces.select("shard").distinct().collect()})
+        return plain(pieces, *others)
+
+    monkeypatch.setattr(token_output, "written", watched)
+    n = token_output.write_ids(token_output.byte_ids(docs), path, 1, 0, 64, 8, apart=False)
+    shards = -(-n // 8)
+    assert [sorted(s) for s in seen] == [[*range(shards // 2)], [*range(shards // 2, shards)]]
+    assert token_output.lost_shards(spark, path) == []
+    assert token_output.read_index(spark, path).select("slot").distinct().count() == n
+
+
 def test_lost_shards_are_rewritten_alike(spark, docs):
     path = common.new_path(spark, "test_shards")
     token_output.write_ids(token_output.byte_ids(docs), path, 1, 0, 64, 8, apart=False)
