@@ -181,6 +181,19 @@ def weigh(ids, counts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, w / norm if norm else w
 
 
+def weigh_all(ids, counts, ends, idf: np.ndarray) -> np.ndarray:
+    """`weigh` of rows one after the other, none of them empty."""
+    if not len(ids):
+        return np.empty(0)
+    w = np.log(counts.astype(float))
+    w += 1
+    w *= idf[ids]
+    lengths = np.diff(ends, prepend=0)
+    norms = np.sqrt(np.add.reduceat(w * w, ends - lengths))
+    w /= np.repeat(norms, lengths)
+    return w
+
+
 class BlockMaxIndex:
     """Inverted lists over blocks of examples with the greatest weight of each block.
 
@@ -188,26 +201,47 @@ class BlockMaxIndex:
     """
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], size: int):
-        self.n, self.size = len(rows), size
-        lengths = np.array([len(ids) for ids, _ in rows], "int64")
-        everything = np.concatenate([np.empty(0, "int32"), *(ids for ids, _ in rows)])
-        df = np.bincount(everything, minlength=size)
-        common = [tuple(ids[np.argsort(-df[ids], kind="stable")[:3]].tolist()) for ids, _ in rows]
-        self.row = np.array(sorted(range(self.n), key=common.__getitem__), "int64")
+        ends = np.cumsum([len(ids) for ids, _ in rows], dtype="int64")
+        ids = np.concatenate([np.empty(0, "int32"), *(ids for ids, _ in rows)])
+        self.fill(ids, np.concatenate([np.empty(0), *(w for _, w in rows)]), ends, size)
+
+    @classmethod
+    def of_counts(cls, ids, counts, ends, idf: np.ndarray) -> BlockMaxIndex:
+        """Of rows that stand one after the other, not yet weighed; row i ends at `ends[i]`."""
+        index = cls.__new__(cls)
+        index.fill(ids, counts, ends, len(idf), idf)
+        return index
+
+    def fill(self, ids, values, ends, size: int, idf: np.ndarray | None = None) -> None:
+        """`values` are weights, or counts to be weighed by `idf`. Whole columns at a time,
+        dropped as soon as they are used: each worker holds them."""
+        self.n, self.size = len(ends), size
+        lengths = np.diff(ends, prepend=0)
+        begun = ends - lengths
+        df = np.bincount(ids, minlength=size)
+
+        def common(i):
+            own = ids[begun[i] : ends[i]]
+            return tuple(own[np.argsort(-df[own], kind="stable")[:3]].tolist())
+
+        self.row = np.array(sorted(range(self.n), key=common), "int64")
         self.place = np.argsort(self.row, kind="stable")
         self.ends = np.concatenate([[0], np.cumsum(lengths[self.row])]).astype("int64")
-        self.words = np.empty(len(everything), "int32")
-        self.exact = np.empty(len(everything))
-        for at, i in enumerate(self.row):
-            self.words[self.ends[at] : self.ends[at + 1]] = rows[i][0]
-            self.exact[self.ends[at] : self.ends[at + 1]] = rows[i][1]
+        kind = "int32" if len(ids) < 1 << 31 else "int64"
+        at = np.repeat((begun[self.row] - self.ends[:-1]).astype(kind), lengths[self.row])
+        at += np.arange(len(ids), dtype=kind)
+        self.words, self.exact = ids[at], values[at]
+        del at
+        if idf is not None:
+            self.exact = weigh_all(self.words, self.exact, self.ends[1:], idf)
         by_word = np.argsort(self.words, kind="stable")
         self.places = np.repeat(np.arange(self.n, dtype="int32"), np.diff(self.ends))[by_word]
-        self.weights = self.exact[by_word].astype("float32")
+        self.weights = self.exact.astype("float32")[by_word]
         self.starts = np.concatenate([[0], np.cumsum(df)]).astype("int64")
         # One entry for each block that a word occurs in, with its greatest weight there.
-        block = self.places // BLOCK
         word = self.words[by_word]
+        del by_word
+        block = self.places // np.int32(BLOCK)
         first = np.ones(len(word), bool)
         first[1:] = (word[1:] != word[:-1]) | (block[1:] != block[:-1])
         at = np.flatnonzero(first)
@@ -216,7 +250,7 @@ class BlockMaxIndex:
         self.block_starts = np.searchsorted(word[at], np.arange(size + 1))
         self.peak = np.zeros(size)
         np.maximum.at(self.peak, word[at], self.most)
-        self.length = len(everything) / max(self.n, 1)
+        self.length = len(self.words) / max(self.n, 1)
         self.scratch = None
 
     def scores(self, places, ids, weights) -> np.ndarray:
@@ -300,8 +334,7 @@ class Scorer:
         self.bare = float(bare.mean()) if len(bare) else self.rate
         self.doc_ids = [e.doc_ids[i] for i in filled]
         self.toxic = e.toxic[filled].astype(float)
-        parts = [slice(a, b) for a, b in zip(starts[filled], e.ends[filled], strict=True)]
-        self.index = BlockMaxIndex([weigh(e.ids[p], e.counts[p], self.idf) for p in parts], len(e.idf))
+        self.index = BlockMaxIndex.of_counts(e.ids, e.counts, e.ends[filled], self.idf)
         self.x = self.y = np.empty(0)
 
     def own_vote(self, i: int) -> float:
