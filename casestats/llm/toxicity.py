@@ -4,10 +4,12 @@ A text is the TF-IDF vector of all its words that examples have, with document f
 counted over all documents. A word weighs `FLOOR` plus the root of its log-likelihood gain if
 it is commoner in toxic examples: no word is left out, so every text with a word of any example
 has neighbours. The k nearest examples by exact cosine come from a block-max inverted index:
-words enter in the order of what they can add for the postings they cost; then the greatest
-weights of the remaining words in each block tell which examples can still be among the nearest.
-If these are few they are scored in full, else the remaining lists are read first. Votes weigh by closeness and pass through a monotone calibration fitted on the
-examples' own leave-one-out votes; the ids of the nearest examples are the evidence.
+the lists of all words but the commonest are read; then the greatest weights of the commonest
+in each block tell which examples can still be among the nearest. If these are few they are
+scored in full; else what the commonest words add to every example is a product of matrices, for
+many texts at once, and the examples that it leaves are scored in full. Votes weigh by closeness
+and pass through a monotone calibration fitted on the examples' own leave-one-out votes; the ids
+of the nearest examples are the evidence.
 
 Examples are a bounded sample of labelled rows in the order of an id hash: at most
 `MAX_EXAMPLES` rows whose whole texts have at most `MAX_EXAMPLE_BYTES` together; a text above a
@@ -23,10 +25,12 @@ score is 0. Repeated rows get equal results, and are one example.
 from __future__ import annotations
 
 import re
+import sys
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -42,17 +46,35 @@ MAX_EXAMPLE_BYTES = 128 << 20
 FLOOR = 0.1
 NEAREST = 25
 BLOCK = 64
-# Share of a query's postings after which the bounds are tried.
-TRIAL = 0.4
+# Words whose weights are kept for every example: so many at most, each in this share of the
+# examples or more. The others have lists.
+COMMON, COMMON_SHARE = 512, 1 / 32
+# Texts whose products with these are made at once.
+TOGETHER = 128
+# Products that cost as much as one entry of an example scored in full.
+PRODUCTS = 256
+# Far above what single precision rounds away in a sum of that many products.
+SLACK = 1e-4
 PRIOR_WEIGHT = 1.0
 # Examples whose votes one task counts.
 VOTES = 2_500
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def features(text: str | None) -> Counter:
-    """Counts of words."""
-    return Counter(WORD.findall((text or "").lower()))
+@cache
+def letters() -> np.ndarray:
+    """Whether each code point stands in words."""
+    known = np.zeros(sys.maxunicode + 1, bool)
+    for found in WORD.finditer("".join(map(chr, range(len(known))))):
+        known[found.start() : found.end()] = True
+    return known
+
+
+def words_of(text: str | None) -> list[str]:
+    """The matches of `WORD` in lower case; all else becomes blanks, as a search takes longer."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    codes = np.where(letters()[codes], codes, np.uint32(32))
+    return codes.tobytes().decode("utf-32-le", "surrogatepass").split()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -95,7 +117,7 @@ def list_vocabulary(docs: DataFrame, chosen: DataFrame) -> pa.Array:
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in slices(batches):
-            words = set().union(*(features(text) for text in batch["text"]))
+            words = set().union(*(words_of(text) for text in batch["text"]))
             yield pd.DataFrame({"word": list(words)})
 
     texts = join_keyed(keyed(docs), F.broadcast(chosen.select(*KEY)), "left_semi")
@@ -124,9 +146,11 @@ def vectors(docs: DataFrame, vocabulary: pa.Array) -> DataFrame:
         for batch in slices(batches):
             ids, counts = [], []
             for text in batch["text"]:
-                own = sorted((number[w], n) for w, n in features(text).items() if w in number)
-                ids.append([i for i, _ in own])
-                counts.append([n for _, n in own])
+                words = words_of(text)
+                own = np.fromiter(map(number.get, words, repeat(-1)), "int32", len(words))
+                own, n = np.unique(own[own >= 0], return_counts=True)
+                ids.append(own)
+                counts.append(n)
             out = batch[KEY].copy()
             out["ids"], out["counts"] = ids, counts
             yield out
@@ -152,6 +176,8 @@ class Examples:
         table = rows.toArrow().combine_chunks()
         lengths = pc.list_value_length(table["ids"]).to_numpy()
         ids, counts = (pc.list_flatten(table[c]).to_numpy() for c in ("ids", "counts"))
+        # Each worker holds them: in the smallest type.
+        counts = counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0))
         toxic = (table["toxic"].to_numpy() > 0).astype("int64")
         return cls(table["doc_id"].to_pylist(), toxic, ids, counts, np.cumsum(lengths), idf)
 
@@ -195,7 +221,8 @@ def weigh_all(ids, counts, ends, idf: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Inverted lists over blocks of examples with the greatest weight of each block.
+    """Inverted lists over the examples; the weights of the commonest words in every example,
+    with the greatest in each block of examples.
 
     Examples that share their commonest words stand together, so that blocks differ.
     """
@@ -213,9 +240,9 @@ class BlockMaxIndex:
         return index
 
     def fill(self, ids, values, ends, size: int, idf: np.ndarray | None = None) -> None:
-        """`values` are weights, or counts to be weighed by `idf`. Whole columns at a time,
-        dropped as soon as they are used: each worker holds them."""
-        self.n, self.size = len(ends), size
+        """`values` are weights, or counts to be weighed by `idf`, which stay counts. Whole
+        columns at a time, dropped as soon as they are used: each worker holds them."""
+        self.n, self.size, self.idf = len(ends), size, idf
         lengths = np.diff(ends, prepend=0)
         begun = ends - lengths
         df = np.bincount(ids, minlength=size)
@@ -227,99 +254,189 @@ class BlockMaxIndex:
         self.row = np.array(sorted(range(self.n), key=common), "int64")
         self.place = np.argsort(self.row, kind="stable")
         self.ends = np.concatenate([[0], np.cumsum(lengths[self.row])]).astype("int64")
-        kind = "int32" if len(ids) < 1 << 31 else "int64"
-        at = np.repeat((begun[self.row] - self.ends[:-1]).astype(kind), lengths[self.row])
-        at += np.arange(len(ids), dtype=kind)
-        self.words, self.exact = ids[at], values[at]
-        del at
+        self.words = np.empty(len(ids), "int32")
         if idf is not None:
-            self.exact = weigh_all(self.words, self.exact, self.ends[1:], idf)
-        by_word = np.argsort(self.words, kind="stable")
-        self.places = np.repeat(np.arange(self.n, dtype="int32"), np.diff(self.ends))[by_word]
-        self.weights = self.exact.astype("float32")[by_word]
-        self.starts = np.concatenate([[0], np.cumsum(df)]).astype("int64")
-        # One entry for each block that a word occurs in, with its greatest weight there.
-        word = self.words[by_word]
-        del by_word
-        block = self.places // np.int32(BLOCK)
-        first = np.ones(len(word), bool)
-        first[1:] = (word[1:] != word[:-1]) | (block[1:] != block[:-1])
-        at = np.flatnonzero(first)
-        self.blocks = block[at]
-        self.most = np.maximum.reduceat(self.weights, at) if len(at) else self.weights
-        self.block_starts = np.searchsorted(word[at], np.arange(size + 1))
-        self.peak = np.zeros(size)
-        np.maximum.at(self.peak, word[at], self.most)
+            most = int(values.max()) if len(values) else 0
+            # What a count weighs before `idf`.
+            self.tf = 1 + np.log(np.maximum(np.arange(most + 1), 1).astype(float))
+            values = values.astype(np.min_scalar_type(most), copy=False)
+        self.values = np.empty(len(ids), values.dtype)
+        self.norms = np.ones(self.n)
+        often = np.argsort(-df, kind="stable")[:COMMON]
+        often = often[df[often] >= max(self.n * COMMON_SHARE, 1)]
+        self.column = np.full(size, -1, "int32")
+        self.column[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.n), "float32")
+        self.starts = np.concatenate([[0], np.cumsum(np.where(self.column < 0, df, 0))]).astype("int64")
+        word = np.empty(self.starts[-1], "int32")
+        # Place and weight side by side, as they are read together.
+        entries = np.empty((len(word), 2), "int32")
+        weights = entries.view("float32")[:, 1]
+        done = 0
+        for at, i in enumerate(self.row.tolist()):
+            part = slice(self.ends[at], self.ends[at + 1])
+            own = self.words[part] = ids[begun[i] : ends[i]]
+            self.values[part] = values[begun[i] : ends[i]]
+            w = self.values[part]
+            if idf is not None and len(own):
+                w = self.tf[w] * idf[own]
+                self.norms[at] = np.sqrt(np.add.reduceat(w * w, [0])[0])
+                w /= self.norms[at]
+            column = self.column[own]
+            listed = column < 0
+            self.dense[column[~listed], at] = w[~listed]
+            to = slice(done, done := done + int(listed.sum()))
+            word[to], entries[to, 0], weights[to] = own[listed], at, w[listed]
+        by_word = np.argsort(word, kind="stable")
+        del word, weights
+        self.entries = entries.view("int64")[:, 0][by_word]
+        del entries, by_word
+        self.blocks = np.arange(self.n, dtype="int32") // np.int32(BLOCK)
+        self.block_starts = np.arange(0, self.n, BLOCK)
+        self.most = self.dense[:, :0]
+        if self.n:
+            self.most = np.maximum.reduceat(self.dense, self.block_starts, axis=1)
+        self.peak = self.most.max(axis=1, initial=0)
         self.length = len(self.words) / max(self.n, 1)
         self.scratch = None
 
+    @property
+    def places(self) -> np.ndarray:
+        return self.entries.view("int32")[::2]
+
+    @property
+    def weights(self) -> np.ndarray:
+        return self.entries.view("float32")[1::2]
+
+    @property
+    def exact(self) -> np.ndarray:
+        """The weights of all rows, one after the other."""
+        return self.weighed(slice(None), np.repeat(self.norms, np.diff(self.ends)))
+
+    def weighed(self, part: slice, norms) -> np.ndarray:
+        """Exact weights of what stands there, in rows of these norms."""
+        if self.idf is None:
+            return self.values[part]
+        w = self.tf[self.values[part]]
+        w *= self.idf[self.words[part]]
+        w /= norms
+        return w
+
+    def vector(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row i's words and weights."""
+        at = self.place[i]
+        part = slice(self.ends[at], self.ends[at + 1])
+        return self.words[part].astype("int64"), self.weighed(part, self.norms[at])
+
     def scores(self, places, ids, weights) -> np.ndarray:
         """Exact cosines of the examples at these places."""
         if self.scratch is None:
             self.scratch = np.zeros(self.size)
-        lengths = self.ends[places + 1] - self.ends[places]
-        starts = np.cumsum(lengths) - lengths
-        at = np.arange(lengths.sum()) + np.repeat(self.ends[places] - starts, lengths)
-        self.scratch[ids] = weights
-        products = self.exact[at] * self.scratch[self.words[at]]
+        lo, hi = self.ends[places], self.ends[places + 1]
+        parts = [slice(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+        values = np.concatenate([self.values[part] for part in parts])
+        self.scratch[ids] = weights if self.idf is None else weights * self.idf[ids]
+        products = self.scratch[np.concatenate([self.words[part] for part in parts])]
         self.scratch[ids] = 0
-        return np.add.reduceat(products, starts)
+        products *= values if self.idf is None else self.tf[values]
+        return np.add.reduceat(products, np.cumsum(hi - lo) - (hi - lo)) / self.norms[places]
 
     def nearest(self, ids, weights, k: int, leave_out: int = -1):
         """Row numbers and cosines of the k nearest rows with a cosine above 0, nearest
         first, equal ones by row number."""
-        if not self.n or not len(ids):
-            return np.empty(0, "int64"), np.empty(0)
-        size = np.maximum(self.starts[ids + 1] - self.starts[ids], 1)
-        order = np.argsort(-weights * self.peak[ids] / size, kind="stable")
-        words, w = ids[order], weights[order]
+        return self.all_nearest([(ids, weights)], k, [leave_out])[0]
+
+    def all_nearest(self, queries: list, k: int, leave_out: list[int] | None = None) -> list:
+        """`nearest` of each (ids, weights)."""
+        found: list = [(np.empty(0, "int64"), np.empty(0))] * len(queries)
+        if not self.n:
+            return found
+        # Texts that share their commonest word have few common words and blocks together.
+        first = [self.column[ids][self.column[ids] >= 0].min(initial=COMMON) for ids, _ in queries]
+        order = np.argsort(first, kind="stable").tolist()
+        for start in range(0, len(order), TOGETHER):
+            some = order[start : start + TOGETHER]
+            out = [leave_out[i] if leave_out else -1 for i in some]
+            for i, rows in zip(some, self.some_nearest([queries[i] for i in some], k, out), strict=True):
+                found[i] = rows
+        return found
+
+    def some_nearest(self, queries: list, k: int, leave_out: list[int]) -> list:
+        common = np.zeros((len(queries), len(self.dense)), "float32")
+        least = np.empty((len(queries), self.n), "float32")
+        for sums, often, out, (ids, weights) in zip(least, common, leave_out, queries, strict=True):
+            column = self.column[ids]
+            listed = column < 0
+            often[column[~listed]] = weights[~listed]
+            sums[:] = self.summed(ids[listed], weights[listed])
+            if out >= 0:
+                sums[self.place[out]] = 0
+        bounds = common @ self.most
+        left = [self.left_by_bounds(*row, k) for row in zip(least, bounds, queries, strict=True)]
+        some = [j for j, places in enumerate(left) if places is None]
+        used = np.flatnonzero(common[some].any(axis=0))
+        if 4 * len(used) > 3 * len(self.dense):
+            products = common[some] @ self.dense
+        else:
+            products = common[np.ix_(some, used)] @ self.dense[used]
+        for j, sums in zip(some, products, strict=True):
+            sums += least[j]
+            if leave_out[j] >= 0:
+                sums[self.place[leave_out[j]]] = 0
+            left[j] = self.left_by_sums(sums, k)
+        return [self.best(*row, k) for row in zip(left, queries, leave_out, strict=True)]
+
+    def summed(self, words, weights) -> np.ndarray:
+        """What these words add to each example by their lists."""
+        if not len(words):
+            return np.zeros(self.n)
         lo, hi = self.starts[words], self.starts[words + 1]
-        read = np.cumsum(hi - lo)
-        trial = int(np.searchsorted(read, read[-1] * TRIAL)) + 1
-        least = np.zeros(self.n)
-        done = 0
-        for edge in (min(trial, len(words)), len(words)):
-            if edge > done:
-                part = slice(done, edge)
-                least += summed(self.places, self.weights, lo[part], hi[part], w[part], self.n)
-                done = edge
-            if leave_out >= 0:
-                least[self.place[leave_out]] = 0
-            kth, greatest = 0.0, least
-            if self.n > k:
-                top = np.argpartition(least, -k)[-k:]
-                kth = least[top].min()
-            if done < len(words):
-                if kth > 0:  # their whole scores are a higher bar
-                    kth = self.scores(top, ids, weights).min()
-                greatest = least + np.repeat(self.bounds(words[done:], w[done:]), BLOCK)[: self.n]
-            # The slack is far above what single precision rounds away.
-            left = np.flatnonzero((greatest >= kth - 1e-5) & (greatest > 0))
-            # Scoring them in full must cost less than reading on.
-            if len(left) * self.length <= read[-1] - read[done - 1]:
-                break
+        parts = zip(lo.tolist(), hi.tolist(), strict=True)
+        read = np.concatenate([self.entries[a:b] for a, b in parts])
+        found = read.view("float32")[1::2] * np.repeat(weights, hi - lo)
+        return np.bincount(read.view("int32")[::2], found, self.n)
+
+    def left_by_bounds(self, least, bounds, query, k: int):
+        """Places of the rows that can be among the nearest by what the listed words add and
+        the bounds of the common ones; None if scoring them costs more than the product."""
+        if bounds.max(initial=0) == 0:
+            return self.left_by_sums(least, k)
+        kth, greatest = self.bar(least, k)
+        # Where half of the blocks are open by a low bar, a higher one seldom leaves few rows.
+        if kth <= 0 or 2 * (greatest + bounds >= kth - SLACK).sum() > len(bounds):
+            return None
+        top = np.flatnonzero(least >= kth)
+        top = top[np.argpartition(least[top], -k)[-k:]]
+        kth = self.scores(top, *query).min()  # whole scores are a higher bar
+        left = np.flatnonzero(least + bounds[self.blocks] >= kth - SLACK)
+        few = len(left) * self.length * PRODUCTS <= self.dense.size
+        return left if few else None
+
+    def left_by_sums(self, sums, k: int) -> np.ndarray:
+        """Places of the rows that can be among the nearest by their rounded cosines."""
+        kth, _ = self.bar(sums, k)
+        left = np.flatnonzero((sums >= kth - SLACK) & (sums > 0))
+        if len(left) > k:
+            near = sums[left]
+            left = left[near >= np.partition(near, -k)[-k] - SLACK]
+        return left
+
+    def bar(self, sums, k: int):
+        """What k rows reach, or 0; and the greatest sum of each block. The k greatest sums are
+        not below the k-th greatest of the blocks'."""
+        greatest = np.maximum.reduceat(sums, self.block_starts)
+        of = greatest if len(greatest) >= k else sums
+        return np.partition(of, -k)[-k] if len(of) >= k else 0, greatest
+
+    def best(self, left, query, leave_out: int, k: int):
         left = left[self.row[left] != leave_out]
         if not len(left):
             return left, np.empty(0)
-        scores, rows = self.scores(left, ids, weights), self.row[left]
+        scores, rows = self.scores(left, *query), self.row[left]
         best = np.lexsort((rows, -np.round(scores, 12)))[:k]
         best = best[scores[best] > 0]
         return rows[best], scores[best]
 
-    def bounds(self, words, weights) -> np.ndarray:
-        """What these words can add at most to an example of each block."""
-        lo, hi = self.block_starts[words], self.block_starts[words + 1]
-        return summed(self.blocks, self.most, lo, hi, weights, -(-self.n // BLOCK))
-
-
-def summed(keys, values, starts, ends, factors, size: int) -> np.ndarray:
-    """Sums by key of values times their list's factor, over the lists `starts` to `ends`."""
-    parts = [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-    if not parts:
-        return np.zeros(size)
-    found = np.concatenate([values[p] for p in parts]) * np.repeat(factors, ends - starts)
-    return np.bincount(np.concatenate([keys[p] for p in parts]), found, size)
-
 
 class Scorer:
     """The index over the examples with its votes; `x` and `y` are the calibration's steps."""
@@ -337,23 +454,29 @@ class Scorer:
         self.index = BlockMaxIndex.of_counts(e.ids, e.counts, e.ends[filled], self.idf)
         self.x = self.y = np.empty(0)
 
-    def own_vote(self, i: int) -> float:
-        """The vote on an example by the others."""
-        at = self.index.place[i]
-        part = slice(self.index.ends[at], self.index.ends[at + 1])
-        words = self.index.words[part].astype("int64")
-        return self.count_votes(words, self.index.exact[part], i)[0]
-
-    def count_votes(self, ids, weights, leave_out: int = -1):
-        rows, close = self.index.nearest(ids, weights, NEAREST, leave_out)
-        w = close**2
-        vote = (w @ self.toxic[rows] + PRIOR_WEIGHT * self.rate) / (w.sum() + PRIOR_WEIGHT)
-        return vote, [self.doc_ids[i] for i in rows[:3]]
-
-    def score(self, ids, counts) -> tuple[float, list]:
-        if not len(ids):
-            return self.bare, []
-        vote, evidence = self.count_votes(*weigh(ids, counts, self.idf))
+    def own_votes(self, rows: list[int]) -> list[float]:
+        """The votes on examples, each by the others."""
+        found = []
+        for start in range(0, len(rows), TOGETHER):
+            some = rows[start : start + TOGETHER]
+            found += [vote for vote, _ in self.count_votes([self.index.vector(i) for i in some], some)]
+        return found
+
+    def count_votes(self, queries: list, leave_out: list[int] | None = None) -> list:
+        votes = []
+        for rows, close in self.index.all_nearest(queries, NEAREST, leave_out):
+            w = close**2
+            vote = (w @ self.toxic[rows] + PRIOR_WEIGHT * self.rate) / (w.sum() + PRIOR_WEIGHT)
+            votes.append((vote, [self.doc_ids[i] for i in rows[:3]]))
+        return votes
+
+    def score(self, texts: list) -> list[tuple[float, list]]:
+        """Score and evidence of each (ids, counts)."""
+        some = [weigh(ids, counts, self.idf) for ids, counts in texts if len(ids)]
+        votes = iter(self.count_votes(some))
+        return [self.judged(*next(votes)) if len(ids) else (self.bare, []) for ids, _ in texts]
+
+    def judged(self, vote: float, evidence: list) -> tuple[float, list]:
         return float(np.interp(vote, self.x, self.y)) if len(self.x) else self.rate, evidence
 
 
@@ -379,7 +502,7 @@ def own_votes(spark: SparkSession, name: str, shared, n: int) -> np.ndarray:
     def voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             judge = once(name, lambda: Scorer(shared.value))
-            yield batch.assign(vote=[judge.own_vote(i) for i in batch["id"]])
+            yield batch.assign(vote=judge.own_votes(batch["id"].tolist()))
 
     votes = spark.range(0, n, 1, -(-n // VOTES) or 1).mapInPandas(voted, "id long, vote double")
     return votes.toPandas().sort_values("id")["vote"].to_numpy()  # within the sample's size
@@ -407,16 +530,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLE
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = {}
         for batch in slices(batches, 2_000):
-            judge, found = once(name, lambda: Scorer(shared.value)), []
+            judge = once(name, lambda: Scorer(shared.value))
             judge.x, judge.y = steps
-            for text, ids, counts in zip(batch["text_key"], batch["ids"], batch["counts"], strict=True):
-                # Equal texts have one key, but so may others: the sizes are compared too.
-                key = (text, len(ids), int(np.sum(counts)))
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = judge.score(ids, counts)
-                found.append(known[key])
+            # Equal texts have one key, but so may others: the sizes are compared too.
+            keys = [
+                (text, len(ids), int(np.sum(counts)))
+                for text, ids, counts in zip(batch["text_key"], batch["ids"], batch["counts"], strict=True)
+            ]
+            if len(known) > 50_000:
+                known.clear()
+            rows = zip(keys, batch["ids"], batch["counts"], strict=True)
+            new = {key: (ids, counts) for key, ids, counts in rows if key not in known}
+            known |= zip(new, judge.score(list(new.values())), strict=True)
+            found = [known[key] for key in keys]
             out = batch[KEY].copy()
             out["score"] = [s for s, _ in found]
             out["evidence"] = [e for _, e in found]

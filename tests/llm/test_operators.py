@@ -336,6 +336,60 @@ def test_block_max_index_of_counts():
         tracemalloc.stop()
 
 
+def test_block_max_index_of_many_texts():
+    """Texts scored together, each without itself, by bounds or by products with the weights
+    of common words, against dense vectors; of equal rows the first are nearest."""
+    rng = np.random.default_rng(9)
+    size, n = 2_000, 2_400
+    idf = np.concatenate([np.full(300, 0.5), rng.random(size - 300) + 2])
+    rows, counts = [], []
+    for i in range(n):
+        if i % 40 == 1:  # as the row before
+            rows.append(rows[-1])
+            counts.append(counts[-1])
+            continue
+        tongue = i % 3 * 100 + rng.choice(100, 60, False)
+        rows.append(np.sort(np.concatenate([tongue, 300 + rng.choice(size - 300, 12, False)])).astype("int32"))
+        counts.append(rng.integers(1, 300, len(rows[-1])).astype("int32"))
+    ends = np.cumsum([len(x) for x in rows])
+    index = toxicity.BlockMaxIndex.of_counts(np.concatenate(rows), np.concatenate(counts), ends, idf)
+    assert len(index.dense) == 300 and len(index.places) == 12 * n
+    dense = np.zeros((n, size))
+    for row, ids, tf in zip(dense, rows, counts, strict=True):
+        row[ids] = toxicity.weigh(ids, tf, idf)[1]
+    asked = [*range(0, n, 7)]
+    found = index.all_nearest([index.vector(i) for i in asked], 25, asked)
+    for q, (got, scores) in zip(asked, found, strict=True):
+        cos = dense @ dense[q]
+        cos[q] = 0
+        best = np.lexsort((np.arange(n), -np.round(cos, 12)))[:25]
+        assert got.tolist() == best.tolist() and np.allclose(scores, cos[best], rtol=1e-12)
+    assert index.all_nearest([], 25) == []
+
+
+def test_toxicity_index_keeps_little():
+    """Each worker holds one: words, counts and lists, no weights in double precision."""
+    rng = np.random.default_rng(10)
+    n, size, each = 1_000, 20_000, 300
+    ids = np.concatenate([np.sort(rng.choice(size, each, False)) for _ in range(n)]).astype("int32")
+    counts, ends = rng.integers(1, 5, n * each).astype("int32"), np.arange(1, n + 1) * each
+    every = toxicity.Examples(list(range(n)), rng.integers(0, 2, n), ids, counts, ends, rng.random(size) + 1)
+    tracemalloc.start()
+    try:
+        kept = toxicity.Scorer(every)
+        assert tracemalloc.get_traced_memory()[0] < 18 * n * each
+    finally:
+        tracemalloc.stop()
+    assert kept.index.n == n
+
+
+def test_words_of():
+    """As the expression finds them, in any script; blanks of all kinds, digits and marks part words."""
+    text = "A b1c_d \u00c9t\u00e9\u00b2x\u2003\u4f60\u597d\u0663\u00bd e\u0301 \U0001d400\U0001f600z\x1c\u0130I'm\nno-one \u2167"
+    for each in (text, text[::-1], "", " ", None, "".join(map(chr, range(0x3000)))):
+        assert toxicity.words_of(each) == toxicity.WORD.findall((each or "").lower())
+
+
 def test_toxicity_equals_dense_vectors(spark):
     """Scores and evidence of every row, from all words, worked out without an index."""
     rng = random.Random(8)
