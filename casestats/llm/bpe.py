@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from casestats.llm.common import KEY, keyed, slices
+from casestats.llm.common import KEY, keyed, once, slices
 
 # Rolling hash: characters in the window, a cut every 2**CUT_BITS or so, least and greatest size.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 256, 8192
@@ -197,16 +197,10 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
-_coders: dict[str, Coder] = {}
-
-
 def coder(vocabulary: str) -> Coder:
     """One per worker and vocabulary."""
     name = hashlib.md5(vocabulary.encode()).hexdigest()
-    if name not in _coders:
-        _coders.clear()
-        _coders[name] = Coder(vocabulary)
-    return _coders[name]
+    return once(name, lambda: Coder(vocabulary))
 
 
 def encode_documents(docs: DataFrame, vocabulary_file: str, with_ids: bool = False) -> DataFrame:

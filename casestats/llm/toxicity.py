@@ -27,7 +27,7 @@ from __future__ import annotations
 import re
 import sys
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 from itertools import repeat
@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casestats.llm.common import KEY, join_keyed, keyed, slices, stage, without_rows
+from casestats.llm.common import KEY, join_keyed, keyed, once, slices, stage, without_rows
 
 MAX_EXAMPLES = 20_000
 MAX_EXAMPLE_BYTES = 128 << 20
@@ -126,17 +126,6 @@ def list_vocabulary(docs: DataFrame, chosen: DataFrame) -> pa.Array:
     return found.take(pc.sort_indices(found))
 
 
-_built: dict[str, object] = {}
-
-
-def once(name: str, make: Callable):
-    """What `make` makes, kept for later tasks of this Python worker until another is asked for."""
-    if name not in _built:
-        _built.clear()
-        _built[name] = make()
-    return _built[name]
-
-
 def vectors(docs: DataFrame, vocabulary: pa.Array) -> DataFrame:
     """(doc_id, text_key, ids, counts): the vocabulary's words in every text."""
     shared, name = docs.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex

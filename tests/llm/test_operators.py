@@ -383,6 +383,19 @@ def test_toxicity_index_keeps_little():
     assert kept.index.n == n
 
 
+def test_a_worker_keeps_one_thing():
+    """The coder of a stage before is gone when the next operator builds its own."""
+    import gc
+    import weakref
+
+    vocabulary = open(public_tokenizers.path("byte_bpe_50k.json")).read()
+    kept = weakref.ref(bpe.coder(vocabulary))
+    assert bpe.coder(vocabulary) is kept()
+    assert common.once("an index", lambda: [1]) == [1]
+    gc.collect()
+    assert kept() is None
+
+
 def test_words_of():
     """As the expression finds them, in any script; blanks of all kinds, digits and marks part words."""
     text = "A b1c_d \u00c9t\u00e9\u00b2x\u2003\u4f60\u597d\u0663\u00bd e\u0301 \U0001d400\U0001f600z\x1c\u0130I'm\nno-one \u2167"
