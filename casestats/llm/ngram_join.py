@@ -14,9 +14,11 @@ first |x| - ceil(0.8 |x|) + 1 (the prefix).
    the others only), rounds of pivots follow: the least by several hashes, for each node the
    pivot of each hash it shares most shingles with. Texts are read only for pairs whose
    first prefixes, which stand next to the texts, share enough.
-4. Pairs that share a prefix shingle but are in different components yet are counted; a pair
-   needs as many shared prefix shingles as its sizes and prefixes demand before its texts are
-   compared exactly. What passes is linked, so no link between components is missed.
+4. Pairs that share a prefix shingle but are in different components yet: a pair needs as many
+   shared prefix shingles as its sizes and prefixes demand, so it meets in a shingle after which
+   both have that many left, itself included. Only shingles that other components have count,
+   the rarest first. What also passes the count of `plausible` is compared exactly and linked,
+   so no link between components is missed.
 
 Components are found by rounds of star contractions on edges kept in tables. A shingle is
 known by 64 bits, a set by 64 bits.
@@ -48,27 +50,68 @@ COSTLY = 48
 MANY, PIVOTS, ROUNDS = 16, 8, 2
 # Shingles beyond a prefix that are read ahead, besides two for each costly one.
 AHEAD = 32
-MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+# Bytes in lower case, those that part words, and masks of an integer's lowest bytes.
+FOLD = np.frombuffer(bytes(range(256)).lower(), "uint8")
+BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+LOWEST = np.array([(1 << 8 * n) - 1 for n in range(9)], "uint64")
+# Bytes of a word beyond which it is hashed by itself.
+LONG = 64
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash (uint64) of each word, made eight bytes at a time for all words at once."""
+    raw = (text or "").encode()
+    data = FOLD[np.frombuffer(b" %b%b" % (raw, b" " * 8), "uint8")]
+    blank = BLANK[data]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))
+    out = eight[starts] & LOWEST[np.minimum(lengths, 8)]
+    out += lengths.astype("uint64") * MIX[1]
+    _mix(out)
+    rest, at = np.flatnonzero(lengths > 8), 8
+    while len(rest):
+        part = eight[starts[rest] + at] & LOWEST[np.minimum(lengths[rest] - at, 8)]
+        part ^= out[rest]
+        _mix(part)
+        out[rest] = part
+        at += 8
+        if at > LONG:
+            for i in rest[lengths[rest] > at]:
+                word = data[starts[i] : starts[i] + lengths[i]]
+                out[i] = xxhash.xxh3_64_intdigest(word.tobytes())
+            break
+        rest = rest[lengths[rest] > at]
+    return out
+
+
+def _mix(x: np.ndarray) -> None:
+    x ^= x >> np.uint64(32)
+    x *= MIX[0]
+    x ^= x >> np.uint64(29)
+    x *= MIX[1]
+    x ^= x >> np.uint64(32)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct hashes (int64) of the shingles of a text."""
-    words = (text or "").encode().lower().split()
-    if not words:
+    hashes = word_hashes(text)
+    if not len(hashes):
         return np.empty(0, "int64")
-    if len(words) < WORDS:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], "uint64").view("int64")
-    digest = xxhash.xxh3_64_intdigest
-    known: dict[bytes, int] = {}
-    hashes = np.array(
-        [known.get(w) or known.setdefault(w, digest(w)) for w in words], "uint64"
-    )
-    n = len(words) - WORDS + 1
-    out = hashes[:n].copy()
-    for i in range(1, WORDS):
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(MIX[0]) + hashes[i : i + n]
-    out = (out ^ (out >> np.uint64(32))) * np.uint64(MIX[1])
-    return np.unique((out ^ (out >> np.uint64(29))).view("int64"))
+    # Fewer words are one shingle, told from longer ones by their number.
+    n, width = max(len(hashes) - WORDS + 1, 1), min(len(hashes), WORDS)
+    out = hashes[:n] + np.uint64(WORDS - width)
+    for i in range(1, width):
+        out ^= out >> np.uint64(29)
+        out *= MIX[0]
+        out += hashes[i : i + n]
+    out ^= out >> np.uint64(32)
+    out *= MIX[1]
+    out ^= out >> np.uint64(29)
+    out = np.sort(out.view("int64"))
+    new = out[1:] != out[:-1]
+    return out if new.all() else np.concatenate([out[:1], out[1:][new]])
 
 
 def prefix_length(n: int) -> int:
@@ -316,34 +359,48 @@ def pivot_pairs(index: DataFrame, component: DataFrame, salt: int) -> DataFrame:
     return best.select("a", "b").distinct()
 
 
-def crossing_pairs(index: DataFrame, component: DataFrame) -> DataFrame:
-    """(a, b) of nodes in different components that share enough prefix shingles."""
+def crossing_rows(index: DataFrame, component: DataFrame) -> DataFrame:
+    """`index` where components meet, with `rest`: how many of the node's own tokens stand from
+    this one on, in one order for all, rarest first."""
     own = with_component(index, component)
     open_tokens = (
         own.groupBy("token")
-        .agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+        .agg(
+            F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("nodes")
+        )
         .filter("x < y")
-        .select("token")
+        .select("token", "nodes")
     )
-    rows = stage(own.join(open_tokens, "token", "left_semi"), "crossing")
+    backwards = Window.partitionBy("node").orderBy(F.desc("nodes"), F.desc("token"))
+    rows = own.join(open_tokens, "token").withColumn("rest", F.row_number().over(backwards))
+    return rows.drop("nodes")
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """(a, b), once for each token that may be the first that a linked pair of different
+    components shares: as many as they need must still follow in both."""
     other = rows.select(
         "token",
         F.col("node").alias("b"),
         F.col("n").alias("m"),
         F.col("comp").alias("comp_b"),
+        F.col("rest").alias("rest_b"),
     )
     return (
         rows.join(other, "token")
         .filter(
             (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & within_size("n", "m")
+            & (F.least("rest", "rest_b") >= needed_prefix("n", "m"))
         )
-        .groupBy(F.col("node").alias("a"), "b", needed_prefix("n", "m").alias("needed"))
-        .agg(F.count(F.lit(1)).alias("met"))
-        .filter(F.col("met") >= F.col("needed"))
-        .select("a", "b")
+        .select(F.col("node").alias("a"), "b")
     )
 
 
+def crossing_pairs(index: DataFrame, component: DataFrame) -> DataFrame:
+    """(a, b) of nodes in different components that may share enough prefix shingles."""
+    return met(stage(crossing_rows(index, component), "crossing")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the least node that links, a pair a row, lead to, for every node with a
     link.

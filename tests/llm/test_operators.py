@@ -596,6 +596,47 @@ def test_ngram_join_of_copies_edited_apart(spark):
     assert sorted(tuple(r) for r in got) == brute_components(rows)
 
 
+def test_copies_edited_apart_meet_in_few_shingles(spark):
+    """Pairs of such copies share most prefix shingles: no row for each of them."""
+    rng, sets = random.Random(6), {}
+    for i in range(60):
+        words = [f"w{k}" for k in range(150)]
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(150)] = f"y{rng.randrange(10**6)}"
+        sets[i] = ngram_join.shingle_set(" ".join(words))
+    prefixes = {i: s[: ngram_join.prefix_length(len(s))].tolist() for i, s in sets.items()}
+    rows = [(t, i, len(sets[i])) for i, own in prefixes.items() for t in own]
+    index = spark.createDataFrame(rows, "token long, node long, n int")
+    none = spark.createDataFrame([], "node long, comp long")
+    shared, linked = 0, set()
+    for a in sets:
+        for b in range(a):
+            shared += len({*prefixes[a]} & {*prefixes[b]})
+            both = len({*sets[a].tolist()} & {*sets[b].tolist()})
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                linked.add((b, a))
+    found = ngram_join.met(ngram_join.crossing_rows(index, none)).collect()
+    assert linked and linked <= {tuple(r) for r in found}
+    assert 2 * len(found) < shared
+
+
+def test_shingles_equal_those_of_split_words():
+    rng = random.Random(1)
+    parts = ["a", "B", "b", "a" * 8, "x" * 63, "y" * 64, "z" * 65, "w" * 72, "q" * 200, "é", "\0"]
+    parts += list(" \t\n\v\f\r\x1c\x85\xa0") + [" "] * 6
+    made = {}
+    for text in [None, "", " ", "a", "a ", "a" * 8, "a" * 8 + "\0", *texts()] + [
+        "".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(800)
+    ]:
+        words = (text or "").encode().lower().split()
+        own = {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+        got = ngram_join.shingle_set(text)
+        assert got.dtype == "int64" and len(got) == len(own) and (got[1:] > got[:-1]).all()
+        assert made.setdefault(frozenset(own), got.tolist()) == got.tolist()
+    assert len(set(map(tuple, made.values()))) == len(made)
+    assert ngram_join.word_hashes("a b A").tolist()[::2] == 2 * ngram_join.word_hashes("a").tolist()
+
+
 def test_ngram_join_of_templated_texts(spark):
     """Short texts with one beginning that differ by a few last words."""
     rng, rows = random.Random(8), []
