@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casestats.llm.common import KEY, join_keyed, keyed, once, slices, stage, without_rows
+from casestats.llm.common import KEY, join_keyed, keyed, let_go, once, slices, stage, without_rows
 
 MAX_EXAMPLES = 20_000
 MAX_EXAMPLE_BYTES = 128 << 20
@@ -494,7 +494,8 @@ def own_votes(spark: SparkSession, name: str, shared, n: int) -> np.ndarray:
             yield batch.assign(vote=judge.own_votes(batch["id"].tolist()))
 
     votes = spark.range(0, n, 1, -(-n // VOTES) or 1).mapInPandas(voted, "id long, vote double")
-    return votes.toPandas().sort_values("id")["vote"].to_numpy()  # within the sample's size
+    # Within the sample's size; as columns, since a row is a Python object on the driver.
+    return votes.toArrow().sort_by("id")["vote"].to_numpy()
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES) -> DataFrame:
@@ -504,9 +505,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLE
     vocabulary = list_vocabulary(docs, chosen)
     every = stage(vectors(docs, vocabulary), "toxicity_vectors")
     n, *_ = every.agg(F.count(F.lit(1))).first()
-    counted = every.select(F.explode("ids").alias("i")).groupBy("i").count().toPandas()
+    counted = every.select(F.explode("ids").alias("i")).groupBy("i").count().toArrow()
     df = np.zeros(len(vocabulary))
-    df[counted["i"].to_numpy("int64")] = counted["count"].to_numpy()
+    df[counted["i"].to_numpy()] = counted["count"].to_numpy()
     idf = np.log((1 + n) / (1 + df)) + 1
     del counted, vocabulary  # the driver keeps numbers only
     found = join_keyed(every, F.broadcast(chosen), "inner")  # within `limit` rows
@@ -551,4 +552,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLE
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` not predicted toxic, with all their columns."""
-    return without_rows(docs, score_documents(docs, labels).filter("predicted = 1"))
+    kept = without_rows(docs, score_documents(docs, labels).filter("predicted = 1"))
+    let_go(docs.sparkSession)  # the scores are made
+    return kept

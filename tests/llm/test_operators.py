@@ -269,6 +269,19 @@ def test_toxicity(spark, docs):
     assert len(none) == docs.count() and {r.score for r in none} == {0.0}
 
 
+def test_toxicity_leaves_nothing_behind(spark, docs, monkeypatch):
+    """Neither in idle workers, nor rows as Python objects on the driver."""
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: pytest.fail("rows as objects"))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    kept = toxicity.drop_toxic(docs, labels)
+
+    def held(batches):
+        yield from (batch.assign(id=len(common._built)) for batch in batches)
+
+    left = spark.range(0, 64, 1, 64).mapInPandas(held, "id long").agg(F.sum("id")).first()[0]
+    assert left == 0 and set(kept.columns) == set(docs.columns)
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(5)
     idf = rng.random(30) + 1
