@@ -17,8 +17,9 @@ first |x| - ceil(0.8 |x|) + 1 (the prefix).
 4. Pairs that share a prefix shingle but are in different components yet: a pair needs as many
    shared prefix shingles as its sizes and prefixes demand, so it meets in a shingle after which
    both have that many left, itself included. Only shingles that other components have count,
-   the rarest first. What also passes the count of `plausible` is compared exactly and linked,
-   so no link between components is missed.
+   the rarest first. It must also have parities that few enough shingles can tell apart: each
+   shingle of a set turns one bit of `BITS`. What also passes the count of `plausible` is
+   compared exactly and linked, so no link between components is missed.
 
 Components are found by rounds of star contractions on edges kept in tables. A shingle is
 known by 64 bits, a set by 64 bits.
@@ -57,6 +58,8 @@ BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 LOWEST = np.array([(1 << 8 * n) - 1 for n in range(9)], "uint64")
 # Bytes of a word beyond which it is hashed by itself.
 LONG = 64
+# Bits of a set's parity.
+BITS = 256
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -114,6 +117,12 @@ def shingle_set(text: str | None) -> np.ndarray:
     return out if new.all() else np.concatenate([out[:1], out[1:][new]])
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """For each of `BITS` bits, in longs, whether an odd number of a set's shingles fall on it."""
+    odd = np.bincount(own & (BITS - 1), minlength=BITS) & 1
+    return np.packbits(odd.astype("uint8")).view("int64")
+
+
 def prefix_length(n: int) -> int:
     return n - -(-4 * n // 5) + 1
 
@@ -286,23 +295,39 @@ def verified(pairs: DataFrame, texts: DataFrame, make_set=shingle_set) -> DataFr
 
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    rows = stage(plausible(pairs, texts), "plausible").join(a, "a").join(b, "b")
-    return rows.mapInPandas(kept, "a long, b long")
+    near = stage(plausible(pairs, texts), "plausible")
+    del pairs
+    release(texts.sparkSession)  # shuffles that made the pairs, before texts are shuffled
+    return near.join(a, "a").join(b, "b").mapInPandas(kept, "a long, b long")
+
+
+def needed(n: str, m: str):
+    """Shingles that linked sets of sizes n and m share at least."""
+    return F.ceil(4 * (F.col(n).cast("long") + F.col(m)) / 9)
 
 
 def needed_prefix(n: str, m: str):
     """Prefix shingles that linked sets of sizes n and m share at least: those that share s
     of them share at most s + |x| - |prefix| in all."""
-    overlap = F.ceil(4 * (F.col(n).cast("long") + F.col(m)) / 9)
-    return F.greatest(overlap - F.ceil(4 * F.greatest(n, m) / 5) + 1, F.lit(1))
+    return F.greatest(needed(n, m) - F.ceil(4 * F.greatest(n, m) / 5) + 1, F.lit(1))
+
+
+def like_parity(n: str, m: str, one: str, other: str):
+    """Whether sets of these sizes and parities may be linked: each bit that differs stands for
+    a shingle, or more, that only one of the two has."""
+    differ = sum(F.bit_count(F.col(one)[i].bitwiseXOR(F.col(other)[i])) for i in range(BITS // 64))
+    return differ <= F.col(n).cast("long") + F.col(m) - 2 * needed(n, m)
 
 
 def plausible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (a, b) of `pairs` whose prefixes in the order of hashes share enough shingles."""
-    a = texts.select(F.col("node").alias("a"), "n", F.col("prefix").alias("prefix_a"))
-    b = texts.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("prefix").alias("prefix_b"))
+    """The (a, b) of `pairs` whose prefixes in the order of hashes share enough shingles, and
+    whose parities allow a link."""
+    columns = ["node", "n", "prefix", "bits"]
+    a = texts.select(columns).toDF("a", "n", "prefix_a", "bits_a")
+    b = texts.select(columns).toDF("b", "m", "prefix_b", "bits_b")
     met = F.size(F.array_intersect("prefix_a", "prefix_b"))
     rows = pairs.select("a", "b").join(a, "a").join(b, "b")
+    rows = rows.filter(like_parity("n", "m", "bits_a", "bits_b"))
     return rows.filter(met >= needed_prefix("n", "m")).select("a", "b")
 
 
@@ -378,27 +403,23 @@ def crossing_rows(index: DataFrame, component: DataFrame) -> DataFrame:
 
 def met(rows: DataFrame) -> DataFrame:
     """(a, b), once for each token that may be the first that a linked pair of different
-    components shares: as many as they need must still follow in both."""
-    other = rows.select(
-        "token",
-        F.col("node").alias("b"),
-        F.col("n").alias("m"),
-        F.col("comp").alias("comp_b"),
-        F.col("rest").alias("rest_b"),
-    )
-    return (
-        rows.join(other, "token")
-        .filter(
-            (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & within_size("n", "m")
-            & (F.least("rest", "rest_b") >= needed_prefix("n", "m"))
-        )
-        .select(F.col("node").alias("a"), "b")
+    components shares: as many as they need must still follow in both, and parities, where `rows` has
+    them, must allow a link."""
+    names = {"node": "b", "n": "m", "comp": "comp_b", "rest": "rest_b", "bits": "bits_b"}
+    other = rows.select("token", *[F.col(c).alias(b) for c, b in names.items() if c in rows.columns])
+    linkable = (
+        (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & within_size("n", "m")
+        & (F.least("rest", "rest_b") >= needed_prefix("n", "m"))
     )
+    if "bits" in rows.columns:
+        linkable &= like_parity("n", "m", "bits", "bits_b")
+    return rows.join(other, "token").filter(linkable).select(F.col("node").alias("a"), "b")
 
 
-def crossing_pairs(index: DataFrame, component: DataFrame) -> DataFrame:
-    """(a, b) of nodes in different components that may share enough prefix shingles."""
-    return met(stage(crossing_rows(index, component), "crossing")).distinct()
+def crossing_pairs(index: DataFrame, component: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of nodes in different components that may share enough shingles."""
+    rows = crossing_rows(index, component).join(texts.select("node", "bits"), "node")
+    return met(stage(rows, "crossing")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -447,14 +468,12 @@ def near_duplicates(docs: DataFrame, costly: int = COSTLY, make_set=shingle_set)
     comp = components(stage(verified(nearest_least(index), texts, make_set), "links"))
     for turn in range(ROUNDS):
         release(spark)
-        pairs = pivot_pairs(index, comp, turn * PIVOTS)
-        more = stage(verified(pairs, texts, make_set), "links")
+        more = stage(verified(pivot_pairs(index, comp, turn * PIVOTS), texts, make_set), "links")
         if more.isEmpty():
             break
         comp = components(comp.union(more))
     release(spark)
-    pairs = crossing_pairs(index, comp)
-    more = stage(verified(pairs, texts, make_set), "links")
+    more = stage(verified(crossing_pairs(index, comp, texts), texts, make_set), "links")
     comp = components(comp.union(more))
     drop_staged(texts, index)
     release(spark)
@@ -475,7 +494,7 @@ def near_duplicates(docs: DataFrame, costly: int = COSTLY, make_set=shingle_set)
 
 
 def texts_of(source: DataFrame, chosen: DataFrame, make_set=shingle_set) -> DataFrame:
-    """(node, text, n, prefix): the text of each node's chosen row, known by id and text key.
+    """(node, text, n, prefix, bits): the text of each node's chosen row, known by id and text key.
 
     Only of a row that stands several times are texts shuffled, once combined within tasks.
     """
@@ -495,9 +514,10 @@ def texts_of(source: DataFrame, chosen: DataFrame, make_set=shingle_set) -> Data
             out = batch[["node", "text"]].copy()
             out["n"] = np.array([len(own) for own in sets], "int32")
             out["prefix"] = [own[: prefix_length(len(own))] for own in sets]
+            out["bits"] = [parity(own) for own in sets]
             yield out
 
-    schema = "node long, text string, n int, prefix array<long>"
+    schema = "node long, text string, n int, prefix array<long>, bits array<long>"
     return once.unionByName(often).mapInPandas(with_set, schema)
 
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 import re
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 from itertools import repeat
@@ -39,7 +39,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casestats.llm.common import KEY, join_keyed, keyed, let_go, once, slices, stage, without_rows
+from casestats.llm.common import (
+    KEY, drop_staged, join_keyed, keyed, let_go, once, slices, stage, without_rows,
+)
 
 MAX_EXAMPLES = 20_000
 MAX_EXAMPLE_BYTES = 128 << 20
@@ -500,6 +502,12 @@ def own_votes(spark: SparkSession, name: str, shared, n: int) -> np.ndarray:
 
 def score_documents(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES) -> DataFrame:
     """doc_id, text_key, held_out, score, predicted, evidence (nearest examples)."""
+    return scores_until(docs, labels, limit)[0]
+
+
+def scores_until(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[DataFrame, Callable]:
+    """The scores, and what deletes the vectors and examples they are made of, to be called when
+    nobody reads them any more."""
     spark = docs.sparkSession
     chosen = stage(examples(docs, labels, limit), "toxicity_examples")
     vocabulary = list_vocabulary(docs, chosen)
@@ -513,6 +521,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLE
     found = join_keyed(every, F.broadcast(chosen), "inner")  # within `limit` rows
     rows = found.dropDuplicates(KEY).orderBy(KEY).select("doc_id", "toxic", "ids", "counts")
     learnt = Examples.collected(rows, idf)
+    drop_staged(chosen)
     shared, name = spark.sparkContext.broadcast(learnt), uuid.uuid4().hex
     toxic = learnt.toxic[np.diff(learnt.ends, prepend=0) > 0].astype(float)
     steps = isotonic(own_votes(spark, name, shared, len(toxic)), toxic)
@@ -541,7 +550,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLE
     result = every.mapInPandas(
         scored, "doc_id long, text_key long, score double, evidence array<long>"
     )
-    return result.select(
+    result = result.select(
         *KEY,
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
@@ -549,9 +558,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLE
         "evidence",
     )
 
+    def done():
+        drop_staged(every)
+        shared.destroy()
+
+    return result, done
+
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` not predicted toxic, with all their columns."""
-    kept = without_rows(docs, score_documents(docs, labels).filter("predicted = 1"))
-    let_go(docs.sparkSession)  # the scores are made
+    scores, done = scores_until(docs, labels, MAX_EXAMPLES)
+    kept = without_rows(docs, scores.filter("predicted = 1"))  # writes the keys
+    let_go(docs.sparkSession)
+    done()
     return kept

@@ -7,6 +7,7 @@ import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
@@ -282,6 +283,16 @@ def test_toxicity_leaves_nothing_behind(spark, docs, monkeypatch):
     assert left == 0 and set(kept.columns) == set(docs.columns)
 
 
+def test_toxicity_deletes_its_vectors(spark, docs):
+    """What scores were made of is no input of the documents that stay, and goes with them."""
+    folder = Path(urlsplit(f"{common.shared_dir(spark)}/casestats").path)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    before = set(folder.glob("toxicity_*"))
+    kept = toxicity.drop_toxic(docs, labels)
+    assert set(folder.glob("toxicity_*")) == before
+    assert kept.count() <= docs.count()
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(5)
     idf = rng.random(30) + 1
@@ -633,6 +644,39 @@ def test_copies_edited_apart_meet_in_few_shingles(spark):
     assert 2 * len(found) < shared
 
 
+def test_parities_tell_sets_apart(spark):
+    """Copies edited apart share many shingles: few pairs but the linked ones are compared."""
+    rng, rows = random.Random(16), []
+    base = [f"w{k}" for k in range(150)]
+    for i in range(80):
+        words = list(base)
+        for _ in range(rng.randrange(2, 6)):
+            words[rng.randrange(150)] = f"y{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    # Too many shingles for the bits, and too few words for a shingle.
+    rows += [(80 + i, " ".join([*prose(500, 5000).split(), f"v{i}"])) for i in range(3)]
+    rows += [(90, "a b"), (91, "A b"), (92, "b a")]
+    sets = [ngram_join.shingle_set(text) for _, text in rows]
+    nodes = [
+        (i, len(s), s[: ngram_join.prefix_length(len(s))].tolist(), ngram_join.parity(s).tolist())
+        for i, s in enumerate(sets)
+    ]
+    texts = spark.createDataFrame(nodes, "node long, n int, prefix array<long>, bits array<long>")
+    index = texts.select(F.explode("prefix").alias("token"), "node", "n")
+    none = spark.createDataFrame([], "node long, comp long")
+    linked, pairs_of = set(), [(a, b) for b in range(len(rows)) for a in range(b)]
+    for a, b in pairs_of:
+        both = len({*sets[a].tolist()} & {*sets[b].tolist()})
+        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            linked.add((a, b))
+    assert (80, 82) in linked and (83, 84) in linked
+    without = {tuple(r) for r in ngram_join.met(ngram_join.crossing_rows(index, none)).collect()}
+    found = {tuple(r) for r in ngram_join.crossing_pairs(index, none, texts).collect()}
+    assert linked <= found <= without and 2 * len(found - linked) < len(without - linked)
+    every = spark.createDataFrame(pairs_of, "a long, b long")
+    assert linked <= {tuple(r) for r in ngram_join.plausible(every, texts).collect()}
+
+
 def test_shingles_equal_those_of_split_words():
     rng = random.Random(1)
     parts = ["a", "B", "b", "a" * 8, "x" * 63, "y" * 64, "z" * 65, "w" * 72, "q" * 200, "é", "\0"]
