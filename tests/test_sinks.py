@@ -13,7 +13,8 @@ from casestats.plans.marts import LazyMarts
 from casestats.sinks.csv import export_csv, read_export
 from casestats.sinks.marts import build_marts, read_marts, run_name, write_marts
 from casestats.sources.schemas import CASE_TABLES, MARTS
-from casestats.sources.staging import release, require_shared, shared_dir, stage
+from casestats.sources import staging
+from casestats.sources.staging import executors_share, release, require_shared, shared_dir, stage
 from casestats.sources.tables import jdbc_options
 
 
@@ -147,6 +148,35 @@ def test_staging_refuses_a_local_folder_on_a_cluster():
         require_shared("file:///tmp/x", "yarn")
 
 
+@pytest.fixture
+def on_a_cluster(spark, setting, monkeypatch):
+    """on_a_cluster(folder): the session takes itself for one on a cluster that names it."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://head:7077")
+    monkeypatch.setattr(staging, "CHECKPOINT_DIR", "test.checkpoint.dir")
+    monkeypatch.setattr(staging, "_found_dirs", {})
+    return lambda folder: setting("test.checkpoint.dir", folder)
+
+
+def test_staging_in_a_mounted_folder_of_a_cluster(spark, on_a_cluster, tmp_path):
+    on_a_cluster(tmp_path.as_uri())
+    kept = stage(spark.range(3).toDF("id"), "ids")
+    assert kept.count() == 3 and shared_dir(spark) == tmp_path.as_uri()
+    assert [f.name[:4] for f in (tmp_path / "casestats").iterdir()] == ["ids-"]  # the trial is gone
+
+
+def test_staging_elsewhere_where_a_cluster_shares_no_named_folder(spark, on_a_cluster, monkeypatch):
+    assert not executors_share(spark, "file:/proc/none")
+    monkeypatch.setattr(staging, "executors_share", lambda _, folder: "staging" in folder)
+    on_a_cluster("file:/proc/none")
+    with pytest.warns(UserWarning, match="file:/proc/none"):
+        found = shared_dir(spark)
+    assert found == f"{spark.conf.get('spark.sql.warehouse.dir')}/casestats-staging"
+    monkeypatch.setattr(staging, "executors_share", lambda *_: False)
+    on_a_cluster("/proc/other")
+    with pytest.raises(ValueError, match="/proc/other"):
+        shared_dir(spark)
+
+
 WITHOUT_SETTING = """
 from pyspark.sql import SparkSession
 from casestats.sources.staging import CHECKPOINT_DIR, shared_dir, stage
